@@ -87,3 +87,41 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space: the row of each, the words, their code
+    points with offsets, and a 64-bit hash of each."""
+    lists = pc.ascii_split_whitespace(texts)
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    points, offsets = codepoints(words)
+    full = np.flatnonzero(np.diff(offsets))  # leading white space gives empty ones
+    if len(full) < len(words):
+        words, row = words.take(pa.array(full)), row[full]
+        offsets = np.r_[offsets[full], offsets[-1]] if len(full) else np.zeros(1, np.int64)
+    return row, words, points, offsets, mix64(PolyHash(points)(offsets[:-1], offsets[1:]))
+
+
+class HashCache:
+    """Values by 64-bit key for one worker, emptied when it holds ``limit`` keys."""
+
+    def __init__(self, kind, limit: int = 400_000):
+        self.kind, self.limit = kind, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, self.kind)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that aren't there yet, each once."""
+        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
