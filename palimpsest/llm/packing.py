@@ -125,8 +125,8 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int, own: bool) -> tuple
     nearest first, by place on ties; ``own`` if the queries are the points, which
     then leave themselves out."""
     k = min(k, len(points) - own)
-    if k <= 0:
-        return np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+    if k <= 0 or not len(queries):
+        return np.zeros((len(queries), max(k, 0)), np.int64), np.zeros((len(queries), max(k, 0)))
     index, dist = [], []
     for a in range(0, len(queries), 2000):
         part = queries[a : a + 2000].astype(np.float64)

@@ -34,7 +34,10 @@ def measures(text: Column) -> dict[str, Column]:
     def share(count: Column, of: Column, added: int) -> Column:
         return F.floor(count * 1000 / (of + added)).cast("bigint")
 
-    echoes = F.size(F.filter(words, lambda x, i: (i > 0) & (x != "") & (x == F.get(words, i - 1))))
+    # one pass over the words: the last one, and how many were the same as that before
+    seen = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct(x.alias("last"), (a["n"] + ((x == a["last"]) & (x != "")).cast("int")).alias("n"))
+    echoes = F.aggregate(words, seen, step, lambda a: a["n"])
     return {
         "symbols": share(length - F.length(F.regexp_replace(text, SYMBOLS, "")), length, 100),
         "capitals": share(length - F.length(F.regexp_replace(text, CAPITALS, "")), length, 100),
@@ -116,7 +119,7 @@ m AS (
   SELECT doc_id, lang, source,
          {share(f"len - length(regexp_replace(text, '{SYMBOLS}', '', 'g'))", "len", 100)} AS symbols,
          {share(f"len - length(regexp_replace(text, '{CAPITALS}', '', 'g'))", "len", 100)} AS capitals,
-         {share("len(list_filter(ws, lambda x, i: i > 1 AND x <> '' AND x = ws[i - 1]))", "len(ws)", 20)} AS echoes,
+         {share("len(list_filter(list_zip(ws[2:], ws[:-2]), lambda x: x[1] <> '' AND x[1] = x[2]))", "len(ws)", 20)} AS echoes,
          {share("len(ls) - len(list_distinct(ls))", "len(ls)", 5)} AS same_lines
   FROM w),
 u AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM m" for x in metrics)}),
