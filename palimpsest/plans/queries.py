@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palimpsest.plans import files, graphs, history
+
+QUERIES = graphs.QUERIES | files.QUERIES | history.QUERIES
+ORACLES = graphs.ORACLES | files.ORACLES | history.ORACLES
