@@ -32,6 +32,7 @@ class HistoryError(ValueError):
 
 
 Tree = dict[str, Blame]
+LINES = "array<struct<line:binary,commit:string>>"
 
 
 def apply_diff(old: Blame, diff: FileDiff, commit: str) -> Blame:
@@ -159,15 +160,19 @@ class Fold:
         self.trees.pop(commit, None)
 
 
-def _history(batches) -> Iterator[tuple[str, str, list[str], dict[str, list[bytes]], int]]:
-    """Commits of sorted rows: (repo, sha, parents, diffs by parent, uses)."""
+def _history(batches) -> Iterator[tuple]:
+    """Commits of sorted rows: (repo, sha, parents, diffs by parent, uses, rows of
+    the state or None)."""
     now = None
     for b in batches:
         for r in b.to_pylist():
             if now is None or (now[0], now[1]) != (r["repo"], r["sha"]):
                 if now is not None:
                     yield now
-                now = (r["repo"], r["sha"], r["parents"] or [], {}, r["uses"] or 0)
+                now = (r["repo"], r["sha"], r["parents"] or [], {}, r["uses"] or 0, [] if r["path"] is not None else None)
+            if now[5] is not None:
+                now[5].append(r)
+                continue
             diffs = now[3].setdefault(r["diff_from"] or "", [])
             if r["diff"] is not None:
                 diffs.append(r["diff"])
@@ -175,11 +180,13 @@ def _history(batches) -> Iterator[tuple[str, str, list[str], dict[str, list[byte
         yield now
 
 
-def _rows(rows: list[tuple[str, str, str, Blame]]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
     line = pa.struct([("line", pa.binary()), ("commit", pa.string())])
-    lines = [[{"line": x, "commit": o} for x, o in zip(b.lines, b.owners)] for *_, b in rows]
-    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3].commit for r in rows], pa.string()), pa.array([r[3].binary for r in rows], pa.bool_()), pa.array(lines, pa.list_(line))]
-    return pa.RecordBatch.from_arrays(columns, ["repo", "sha", "path", "blame_commit", "is_binary", "lines"])
+    blames = [r[3] for r in rows]
+    lines = [[{"line": x, "commit": o} for x, o in zip(b.lines, b.owners)] for b in blames]
+    texts = [pa.array(v, pa.string()) for v in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [b.commit for b in blames])]
+    flags = [pa.array(v, pa.bool_()) for v in ([b.binary for b in blames], [r[4] for r in rows])]
+    return pa.RecordBatch.from_arrays([*texts, flags[0], pa.array(lines, pa.list_(line)), flags[1]], ["repo", "sha", "path", "blame_commit", "is_binary", "lines", "live"])
 
 
 def with_parents(patches: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,37 +197,65 @@ def with_parents(patches: DataFrame, edges: DataFrame) -> DataFrame:
     return patches.join(parents.select("repo", "sha", F.col("p.parent").alias("parents")), ["repo", "sha"], "left").join(uses, ["repo", "sha"], "left")
 
 
-def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
-    """A row (schema ``BLAME``) for each file that each commit changes, with the
-    commit that every line comes from; merges show deletions and what differs
-    from every parent. ``patches`` has a row without diff for a commit without changes.
+def _loaded(r: dict) -> Blame:
+    return Blame(r["blame_commit"], tuple(bytes(x["line"]) for x in r["lines"] or ()), tuple(x["commit"] for x in r["lines"] or ()), r["is_binary"])
 
-    ``keep``: finished commits that stay in memory for late children.
+
+def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
+    """Schema ``BLAME`` and ``live``: the shown versions of each commit, and with
+    ``live`` the whole trees of the commits that later ones may build on.
+
+    ``state`` has the live rows of an earlier fold. ``keep``: finished commits that
+    stay in memory for late children, as the graph may grow later. Repositories are
+    the unit of parallel work: one shuffle by repository, then a stream of its rows.
     """
 
     def run(batches):
         fold, repo, left, done, out = Fold(), None, {}, [], []
-        for name, sha, parents, parts, uses in _history(batches):
+
+        def finish():
+            live = [c for c in fold.trees if left.get(c, 1) > 0]
+            return [(repo, c, path, b, True) for c in live for path, b in sorted(fold.trees[c].items())] + [(repo, c, "", Blame(c), True) for c in live if not fold.trees[c]]
+
+        for name, sha, parents, parts, uses, old in _history(batches):
             if name != repo:
+                out += finish() if repo is not None else []
                 fold = Fold((lambda c, p, r=name: full_blame(r, c, p)) if full_blame else None)
                 repo, left, done = name, {}, []
+            if old is not None:
+                fold.trees[sha] = {r["path"]: _loaded(r) for r in old if r["path"]}
+                left[sha] = uses
+                continue
             shown = fold.step(sha, parents, {k: [file_diff(bytes(d)) for d in v] for k, v in parts.items()})
-            left[sha] = uses
+            left[sha] = uses or 1  # a head may get children later
             for p in parents:
                 left[p] = left.get(p, 1) - 1
                 if left[p] <= 0:
                     done.append(p)
             while len(done) > keep:
                 fold.forget(done.pop(0))
-            out += [(name, sha, path, b) for path, b in sorted(shown.items())]
-            if sum(len(b.lines) for *_, b in out) > 50_000 or len(out) > 2000:
+            out += [(name, sha, path, b, False) for path, b in sorted(shown.items())]
+            if sum(len(b.lines) for _, _, _, b, _ in out) > 50_000 or len(out) > 2000:
                 yield _rows(out)
                 out = []
+        out += finish() if repo is not None else []
         if out:
             yield _rows(out)
 
-    rows = with_parents(patches, edges).select("repo", "sha", "seq", "diff_from", "change_ix", "diff", "parents", "uses")
-    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "change_ix").mapInArrow(run, BLAME)
+    blank = {"blame_commit": "string", "is_binary": "boolean", "lines": LINES, "path": "string"}
+    rows = with_parents(patches, edges).select("repo", "sha", "seq", "diff_from", "change_ix", "diff", "parents", "uses", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+    if state is not None:
+        uses = edges.join(patches.select("repo", F.col("sha").alias("child")).distinct(), ["repo", "child"], "left_semi").filter("parent IS NOT NULL").groupBy("repo", F.col("parent").alias("sha")).agg(F.count("*").alias("uses"))
+        held = state.select("repo", "sha", "path", "blame_commit", "is_binary", "lines", F.lit(-1).cast("bigint").alias("seq")).join(uses, ["repo", "sha"], "left").withColumn("uses", F.coalesce("uses", F.lit(1)))
+        rows = rows.unionByName(held, allowMissingColumns=True)
+    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "sha", "change_ix").mapInArrow(run, f"{BLAME}, live boolean")
+
+
+def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
+    """A row (schema ``BLAME``) for each file that each commit changes, with the
+    commit that every line comes from; merges show deletions and what differs
+    from every parent. ``patches`` has a row without diff for a commit without changes."""
+    return fold_history(patches, edges, None, keep, full_blame).filter("NOT live").drop("live")
 
 
 def blame_lines(blame: DataFrame) -> DataFrame:

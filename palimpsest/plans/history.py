@@ -1,2 +1,124 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries on histories: orders as commits that change a ledger, line items as changed files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions.log_text import author, ref_line, zone_minutes
+from palimpsest.operators import blame, meta
+from palimpsest.storage import read_table, stash_path
+from palimpsest.streaming import checkpoint
+
+DEPTH = 5
+
+
+def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, sha, seq, parent, author_name, author_email, date): a customer's orders, one after the other."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    sha = F.col("o_orderkey").cast("string")
+    rows = read_table(spark, sf_dir, "orders")
+    return rows.select(F.col("o_custkey").cast("string").alias("repo"), sha.alias("sha"), F.row_number().over(order).cast("bigint").alias("seq"), F.lag(sha).over(order).alias("parent"), F.col("o_orderstatus").alias("author_name"), F.lower("o_orderpriority").alias("author_email"), F.col("o_orderdate").alias("date"))
+
+
+def order_edges(commits: DataFrame) -> DataFrame:
+    return commits.select("repo", F.col("sha").alias("child"), "parent", F.lit(0).alias("parent_ix"))
+
+
+def order_patches(commits: DataFrame) -> DataFrame:
+    """Each order puts its line on top of the ledger, which keeps the last five."""
+    line = F.concat(F.lit("order "), "sha")
+    before = F.collect_list(line).over(Window.partitionBy("repo").orderBy("seq").rowsBetween(-DEPTH, -1))
+    rows = commits.withColumn("before", F.reverse(before)).withColumn("line", line)
+    old, new = F.size("before"), F.least(F.size("before") + 1, F.lit(DEPTH))
+    context = F.transform("before", lambda x, i: F.concat(F.when(i == DEPTH - 1, "-").otherwise(" "), x, F.lit("\n")))
+    first = F.format_string("diff --git a/ledger b/ledger\nnew file mode 100644\n--- /dev/null\n+++ b/ledger\n@@ -0,0 +1 @@\n+%s\n", "line")
+    later = F.concat(F.format_string("diff --git a/ledger b/ledger\n--- a/ledger\n+++ b/ledger\n@@ -1,%d +1,%d @@\n+%s\n", old, new, "line"), F.array_join(context, ""))
+    diff = F.when(old == 0, first).otherwise(later).cast("binary")
+    return rows.select("repo", "sha", "seq", F.lit("").alias("diff_from"), F.lit(0).alias("change_ix"), diff.alias("diff"))
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every version with the order that it came with."""
+    commits = order_commits(spark, sf_dir)
+    lines = blame.blame_lines(blame.blame_history(order_patches(commits), order_edges(commits)))
+    return lines.select("repo", "sha", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"), "origin_sha")
+
+
+def lines_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the last version of each ledger, by author."""
+    commits = order_commits(spark, sf_dir)
+    last = commits.groupBy("repo").agg(F.max_by("sha", "seq").alias("sha"))
+    lines = blame.blame_lines(blame.blame_history(order_patches(commits), order_edges(commits)).join(last, ["repo", "sha"], "left_semi"))
+    who = commits.select("repo", F.col("sha").alias("origin_sha"), author(F.col("author_name"), F.col("author_email")).alias("author"))
+    return lines.join(who, ["repo", "origin_sha"], "left").groupBy("repo", "author").agg(F.count("*").alias("lines"))
+
+
+def resumed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines from two folds, the second one from a written checkpoint."""
+    commits = order_commits(spark, sf_dir)
+    cut = F.col("seq") <= 7
+    patches, edges = order_patches(commits), order_edges(commits)
+    first = blame.fold_history(patches.filter(cut), edges)
+    folder = stash_path(spark, "state")
+    checkpoint.write_state(first.filter("live"), folder, "first")
+    second = blame.fold_history(patches.filter(~cut), edges, checkpoint.read_state(spark, folder, "first"))
+    both = first.filter("NOT live").unionByName(second.filter("NOT live"))
+    lines = blame.blame_lines(both)
+    return lines.select("repo", "sha", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"), "origin_sha")
+
+
+def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, sha, line): raw and numstat lines that tell of line items as files."""
+    rows = read_table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("f"), F.col("l_orderkey").cast("string").alias("sha"), "l_returnflag", "l_quantity", "l_linenumber")
+    flag = F.col("l_returnflag")
+    modes = F.when(flag == "R", ":100644 120000 a b M\t").when(flag == "A", ":000000 100755 a b A\t").otherwise(":100644 100644 a b R100\t")
+    path = F.when(flag == "N", F.concat(F.lit("old/"), "f", F.lit("\tnew/"), "f")).otherwise(F.concat(F.lit("d/"), "f"))
+    name = F.when(flag == "N", F.concat(F.lit("{old => new}/"), "f")).otherwise(F.concat(F.lit("d/"), "f"))
+    counts = F.when(F.col("l_linenumber") == 7, "-\t-\t").otherwise(F.format_string("%d\t%d\t", F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")))
+    both = F.explode(F.array(F.concat(modes, path), F.concat(counts, name))).alias("line")
+    return rows.select(F.lit("items").alias("repo"), "sha", both)
+
+
+def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = meta.commit_files(item_lines(spark, sf_dir))
+    return f.select("sha", "filename", "status", "renamed", "copied", F.coalesce("renamed_from", F.lit("")).alias("renamed_from"), F.col("additions").cast("bigint").alias("additions"), F.col("deletions").cast("bigint").alias("deletions"), "binary")
+
+
+def slowest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most costly orders, as a report of the slowest commits."""
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_totalprice").alias("cost"))
+    return rows.orderBy(F.desc("cost"), "sha").limit(10)
+
+
+def ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refs parsed from lines made of the suppliers; HEAD goes."""
+    raw = F.concat(F.when(F.col("s_suppkey") % 10 == 0, "HEAD").otherwise(F.concat(F.lit("origin/"), F.regexp_replace("s_name", "#", "/"))), F.lit("@@@"), F.sha2(F.col("s_suppkey").cast("string"), 256), F.lit("@@@Mon Jan 2 15:04:05 2006 -0"), (F.col("s_nationkey") % 10).cast("string"), F.lit("30"))
+    name, sha, date = ref_line(raw)
+    rows = read_table(spark, sf_dir, "supplier").select(name.alias("name"), sha.alias("sha"), zone_minutes(date).cast("bigint").alias("tz_min"))
+    return rows.filter("name IS NOT NULL")
+
+
+QUERIES = {f.__name__: f for f in (ledger_lines, lines_by_author, resumed_ledger, item_files, slowest_orders, ref_lines)}
+
+_ORDERS = "o AS (SELECT o_custkey::VARCHAR AS repo, o_orderkey::VARCHAR AS sha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderstatus AS author FROM orders)"
+_LEDGER = f"WITH {_ORDERS} SELECT a.repo, a.sha, a.seq - b.seq + 1 AS line_no, 'order ' || b.sha AS line, b.sha AS origin_sha FROM o a JOIN o b ON a.repo = b.repo AND b.seq BETWEEN a.seq - {DEPTH - 1} AND a.seq"
+ORACLES = {
+    "ledger_lines": _LEDGER,
+    "resumed_ledger": _LEDGER,
+    "lines_by_author": f"WITH {_ORDERS}, l AS (SELECT *, max(seq) OVER (PARTITION BY repo) AS last FROM o) SELECT repo, author, count(*) AS lines FROM l WHERE seq > last - {DEPTH} GROUP BY ALL",
+    "item_files": """
+WITH i AS (SELECT l_orderkey::VARCHAR AS sha, 'p' || l_partkey || '_' || l_linenumber AS f, l_returnflag AS flag, l_linenumber AS n, l_quantity::INT AS q FROM lineitem),
+t AS (
+  SELECT sha, 'new/' || f AS filename, 'added' AS status, true AS renamed, 'old/' || f AS renamed_from FROM i WHERE flag = 'N'
+  UNION ALL SELECT sha, 'old/' || f, 'removed', true, 'old/' || f FROM i WHERE flag = 'N'
+  UNION ALL SELECT sha, 'd/' || f, 'added', false, NULL FROM i WHERE flag = 'A'),
+s AS (SELECT sha, CASE flag WHEN 'N' THEN 'new/' ELSE 'd/' END || f AS filename, CASE WHEN n = 7 THEN 0 ELSE q END AS a, CASE WHEN n = 7 THEN 0 ELSE n END AS d, n = 7 AS b FROM i),
+t1 AS (SELECT sha, filename, max(status) AS status, max(renamed) AS renamed, max(renamed_from) AS renamed_from FROM t GROUP BY ALL),
+s1 AS (SELECT sha, filename, max(a) AS a, max(d) AS d, max(b) AS b FROM s GROUP BY ALL)
+SELECT sha, filename, coalesce(status, 'modified') AS status, coalesce(renamed, false) AS renamed, false AS copied, coalesce(renamed_from, '') AS renamed_from,
+       coalesce(a, 0)::BIGINT AS additions, coalesce(d, 0)::BIGINT AS deletions, coalesce(b, false) AS binary
+FROM t1 FULL JOIN s1 USING (sha, filename)""",
+    "slowest_orders": "SELECT o_orderkey AS sha, o_totalprice AS cost FROM orders ORDER BY cost DESC, sha LIMIT 10",
+    "ref_lines": "SELECT replace(s_name, '#', '/') AS name, sha256(s_suppkey::VARCHAR) AS sha, -(s_nationkey % 10 * 60 + 30)::BIGINT AS tz_min FROM supplier WHERE s_suppkey % 10 <> 0",
+}
