@@ -1,6 +1,9 @@
 """Operator 5, near-duplicates by SimHash and covering locality-sensitive hashing.
 
-A document's 64-bit SimHash is taken over its set of normalised words. The
+A document has three independent 64-bit SimHashes over its set of normalised
+words, and two documents are near-duplicates if one of the three pairs of
+signatures differs in at most 6 bits: one signature alone leaves many near
+copies just outside its radius, by chance. The
 masks of the tables come from the linear code RM(1, 6): bit i of a signature
 carries the vector (1, binary digits of i), and for every non-zero v of seven
 bits the mask of table v keeps the bits whose vector has odd product with v.
@@ -18,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import PolyHash, codepoints, map_text, mix64, strings
+from palimpsest.llm.arrow import HASH_BASE, PolyHash, codepoints, map_text, mix64, strings
 from palimpsest.llm.components import connected_components
 from palimpsest.storage import small_side, stash
 
-BITS, RADIUS = 64, 6
+BITS, RADIUS, SIGNATURES = 64, 6, 3
+NAMES = [f"s{k}" for k in range(SIGNATURES)]
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -37,7 +41,7 @@ def covering_masks() -> list[int]:
 
 
 def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of each text, and whether it has a word at all."""
+    """The SimHashes of each text as columns, and whether it has a word at all."""
     n = len(texts)
     lists = pc.ascii_split_whitespace(texts)
     row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -47,36 +51,37 @@ def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points, offsets = codepoints(plain.dictionary)
     blank = np.diff(offsets) == 0
     hashes = mix64(PolyHash(points)(offsets[:-1], offsets[1:]))
-    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
     pairs = np.unique(row.astype(np.int64) * max(len(blank), 1) + word) if len(row) else np.zeros(0, np.int64)
     row, word = np.divmod(pairs, max(len(blank), 1))
     row, word = row[~blank[word]], word[~blank[word]]
     has = np.zeros(n, bool)
     has[row] = True
-    bits = np.zeros((n, BITS), bool)
-    if len(row):
-        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        ends = np.r_[heads[1:], len(row)]
+    out = np.zeros((n, SIGNATURES), np.int64)
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    ends = np.r_[heads[1:], len(row)]
+    for k in range(SIGNATURES):
+        salted = hashes if k == 0 else mix64(hashes + np.uint64(k * HASH_BASE % (1 << 64)))
+        signs = np.unpackbits(salted.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
         a = 0
         while a < len(heads):  # some 100,000 words at a time
             b = max(a + 1, int(np.searchsorted(ends, heads[a] + 100_000, "right")))
             sums = np.add.reduceat(signs[word[heads[a] : ends[b - 1]]], heads[a:b] - heads[a], axis=0, dtype=np.int32)
-            bits[row[heads[a:b]]] = sums > 0
+            out[row[heads[a:b]], k] = np.packbits(sums > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
             a = b
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1), has
+    return out, has
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sig) of each document that has a letter or digit."""
+    """(doc_id, s0, s1, s2) of each document that has a letter or digit."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(chunk: pa.RecordBatch):
         sig, has = signatures_of(strings(chunk.column(1)))
         keep = pa.array(has)
-        yield pa.RecordBatch.from_arrays([chunk.column(0).filter(keep), pa.array(sig).filter(keep)], ["doc_id", "sig"])
+        yield pa.RecordBatch.from_arrays([chunk.column(0).filter(keep), *[pa.array(sig[:, k]).filter(keep) for k in range(SIGNATURES)]], ["doc_id", *NAMES])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return map_text(rows, run, f"doc_id {kind}, sig bigint")
+    return map_text(rows, run, f"doc_id {kind}, {', '.join(f'{s} bigint' for s in NAMES)}")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,81 +89,96 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs within ``radius`` connect, among distinct
+def bucket_edges(sigs: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs within ``radius`` connect, among the
     signatures of one bucket. Each one is compared with all that aren't yet
     reached, so that a tight group of m costs m comparisons and m - 1 edges."""
-    edges, rest = [], sigs
+    edges, rest, named = [], sigs, nodes
     while len(rest) > 1:
-        reached, rest = [rest[0]], rest[1:]
+        reached, rest, named = [(rest[0], named[0])], rest[1:], named[1:]
         while reached and len(rest):
-            x = reached.pop()
+            x, node = reached.pop()
             near = hamming(rest, x) <= radius
             if near.any():
-                reached += list(rest[near])
-                edges += [(x, y) for y in rest[near]]
-                rest = rest[~near]
+                reached += list(zip(rest[near], named[near]))
+                edges += [(node, y) for y in named[near]]
+                rest, named = rest[~near], named[~near]
     return edges
 
 
 def _edges(radius: int):
     def run(batches):
-        key, sig = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 4  # table, key, signature, node
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            sig = np.concatenate([sig, batch.column(1).to_numpy(zero_copy_only=False)])
-            if not len(key):
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            if not len(held[0]):
                 continue
-            last = int(np.searchsorted(key, key[-1]))  # its bucket may go on
-            yield from emit(key[:last], sig[:last])
-            key, sig = key[last:], sig[last:]
-        yield from emit(key, sig)
+            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+            last = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
+            yield from emit(*[h[:last] for h in held])
+            held = [h[last:] for h in held]
+        yield from emit(*held)
 
-    def emit(key, sig):
+    def emit(table, key, sig, node):
         if len(key) < 2:
             return
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
         sizes = np.diff(np.r_[heads, len(key)])
         two = heads[sizes == 2]
         near = two[hamming(sig[two], sig[two + 1]) <= radius]
-        a, b = [sig[near]], [sig[near + 1]]
+        a, b = [node[near]], [node[near + 1]]
         for h, m in zip(heads[sizes > 2], sizes[sizes > 2]):
-            if edges := bucket_edges(sig[h : h + m], radius):
+            if edges := bucket_edges(sig[h : h + m], node[h : h + m], radius):
                 x, y = np.array(edges, np.int64).T
                 a.append(x)
                 b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
         if len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            pairs = np.unique(np.stack([a, b]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
 def signature_edges(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges between distinct signatures whose components are those of
-    all pairs within ``radius`` (at most 6)."""
+    """(a, b): edges between first signatures whose components are those of all
+    pairs of (s0, s1, s2) that have a signature within ``radius`` (at most 6).
+
+    A bucket's key, a table and what its mask leaves, is computed again after the
+    shuffle, which carries the table, the signature and, if that is another, the
+    first signature as the node.
+    """
     if radius > RADIUS:
         raise ValueError(f"these masks cover a radius of {RADIUS}")
-    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks()])
-    keyed = sigs.select(F.posexplode(masks).alias("t", "mask"), "sig").select(F.xxhash64("t", F.col("sig").bitwiseAND(F.col("mask"))).alias("key"), "sig")
-    return keyed.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_edges(radius), "a bigint, b bigint").distinct()
+    listed = covering_masks()
+    masks = F.array(*[F.lit(m).cast("bigint") for m in listed])
+    tables = F.explode(F.sequence(F.lit(0), F.lit(len(listed) - 1))).alias("t")
+    first = sigs.select(F.col("s0").alias("sig"), F.lit(None).cast("bigint").alias("node")).distinct().select(tables, "sig", "node")
+    for k in range(1, SIGNATURES):
+        one = sigs.select(F.col(f"s{k}").alias("sig"), F.col("s0").alias("node")).distinct().select(tables, "sig", "node")
+        first = first.unionByName(one.withColumn("t", F.col("t") + k * len(listed)))
+    left = F.col("sig").bitwiseAND(F.element_at(masks, F.col("t") % len(listed) + 1))
+    spread = first.withColumn("t", F.col("t").cast("smallint")).repartition(F.xxhash64("t", left))
+    keyed = spread.select(F.col("t").cast("bigint").alias("t"), left.alias("key"), "sig", F.coalesce("node", "sig").alias("node"))
+    return keyed.sortWithinPartitions("t", "key", "sig").mapInArrow(_edges(radius), "a bigint, b bigint").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, sig, copies): the members of all groups of two documents or more.
 
-    Groups are the components of the pairs whose signatures differ in at most
-    ``radius`` bits; ``keep_id`` is the smallest id in the group, null only if
+    Groups are the components of the pairs of which one of the signatures differs in
+    at most ``radius`` bits; ``sig`` is the first one; ``keep_id`` is the smallest id in the group, null only if
     all are; ``copies`` counts the group's rows with this id and signature.
     Null, empty and wordless texts have no signature and are in no group; long
     texts are hashed whole. Repeated rows are one output row with ``copies``
     above one. Other columns aren't read.
     """
-    sigs = stash(signatures(docs, id_col, text_col).groupBy("doc_id", "sig").agg(F.count("*").alias("copies")), "signatures")
-    edges = stash(signature_edges(sigs.select("sig").distinct(), radius), "edges")
+    found = stash(signatures(docs, id_col, text_col), "signatures")
+    edges = stash(signature_edges(found.select(*NAMES).distinct(), radius), "edges")
     labels = stash(connected_components(edges), "components")
     group = F.coalesce("label", "sig")
+    sigs = found.groupBy("doc_id", F.col("s0").alias("sig")).agg(F.count("*").alias("copies"))
     members = sigs.join(small_side(labels).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", group)
     whole = members.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("n")).filter("n > 1")
     return members.join(whole, "label").select("doc_id", "keep_id", "sig", "copies")
@@ -202,6 +222,6 @@ def _with_signature(rows: DataFrame) -> DataFrame:
         values, has = signatures_of(strings(pa.Array.from_pandas(texts, type=pa.string())))
         import pandas as pd
 
-        return pd.Series(values).astype("Int64").where(pd.Series(has))
+        return pd.Series(values[:, 0]).astype("Int64").where(pd.Series(has))
 
     return rows.withColumn("sig", sig("text"))
