@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import blame, graph, meta, stats
 from palimpsest.sources import git
+from palimpsest.storage import stash
 from palimpsest.streaming import checkpoint
 
 
@@ -68,6 +69,7 @@ class HistoryEngine:
             state = checkpoint.read_state(self.spark, o.checkpoints, o.commit_from if o.strict_resume else None)
         found = blame.fold_history(self.read("patch_log"), self.edges(), state, full_blame=whole)
         if o.checkpoints:
+            found = stash(found, "fold")  # folded once, and apart from the state it came from
             heads = self.read("refs").filter("is_default").agg(F.max("sha")).first()[0]
             checkpoint.write_state(found.filter("live"), o.checkpoints, heads or "")
         return found.filter("NOT live").drop("live")

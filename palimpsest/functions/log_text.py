@@ -19,7 +19,7 @@ def numstat_path(path: Column) -> Column:
     part = lambda i: F.regexp_extract(path, braces, i)
     joined = clean_path(F.concat_ws("/", part(1), part(3), part(4)))
     halves = F.split(path, " => ")
-    return F.when(path.rlike(braces), joined).when(F.size(halves) > 1, halves[1]).otherwise(path)
+    return F.when(path.rlike(braces), joined).when(F.size(halves) > 1, F.get(halves, F.lit(1))).otherwise(path)
 
 
 def status_name(action: Column) -> Column:
@@ -31,10 +31,10 @@ def status_name(action: Column) -> Column:
 def raw_files(line: Column) -> Column:
     """The files that a raw line ``:mode mode sha sha A<tab>path..`` tells of, as an
     array: two of a rename, none of what is neither a file nor a deletion."""
-    head, paths = F.split(line, "\t")[0], F.slice(F.split(line, "\t"), 2, 3)
+    head, paths = F.get(F.split(line, "\t"), F.lit(0)), F.slice(F.split(line, "\t"), 2, 3)
     words = F.split(head, " ")
-    mode, action = words[1], words[4]
-    first, second = F.ltrim(paths[0]), F.ltrim(F.get(paths, F.lit(1)))
+    mode, action = F.get(words, F.lit(1)), F.get(words, F.lit(4))
+    first, second = F.ltrim(F.get(paths, F.lit(0))), F.ltrim(F.get(paths, F.lit(1)))
     none, no = F.lit(None).cast("string"), F.lit(False)
 
     def file(name, status, renamed=no, copied=no, old=none, new=none, source=none) -> Column:
@@ -75,5 +75,5 @@ def graph_line(line: Column) -> tuple[Column, Column]:
 def ref_line(line: Column) -> tuple[Column, Column, Column]:
     """(name, sha, date) of ``name@@@sha@@@date``; a detached head and HEAD have a null name."""
     parts = F.split(line, "@@@", 3)
-    name = F.regexp_replace(parts[0], "^origin/", "")
-    return F.when(~parts[0].startswith("(HEAD detached") & (name != "HEAD"), name), parts[1], parts[2]
+    name = F.regexp_replace(F.get(parts, F.lit(0)), "^origin/", "")
+    return F.when(~F.get(parts, F.lit(0)).startswith("(HEAD detached") & (name != "HEAD"), name), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))

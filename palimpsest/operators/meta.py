@@ -20,9 +20,9 @@ def commit_files(lines: DataFrame) -> DataFrame:
     known = lines.filter("line <> ''")
     raw = known.filter("line LIKE ':%'").select("repo", "sha", F.explode(raw_files(F.col("line"))).alias("f")).select("repo", "sha", "f.*")
     stat = known.filter(~F.col("line").startswith(":") & (F.size(F.split("line", "\t")) == 3)).withColumn("p", F.split("line", "\t"))
-    number = lambda i: F.expr(f"try_cast(p[{i}] AS int)")
-    binary = F.col("p")[0] == "-"
-    stat = stat.select("repo", "sha", numstat_path(F.col("p")[2]).alias("filename"), binary.alias("binary"), *[F.when(binary, 0).otherwise(F.coalesce(number(i), F.lit(0))).alias(n) for i, n in enumerate(("additions", "deletions"))])
+    number = lambda i: F.expr(f"try_cast(get(p, {i}) AS int)")
+    binary = F.get("p", F.lit(0)) == "-"
+    stat = stat.select("repo", "sha", numstat_path(F.get("p", F.lit(2))).alias("filename"), binary.alias("binary"), *[F.when(binary, 0).otherwise(F.coalesce(number(i), F.lit(0))).alias(n) for i, n in enumerate(("additions", "deletions"))])
     one = raw.withColumn("told", F.lit(True)).unionByName(stat.withColumn("told", F.lit(False)), allowMissingColumns=True)
     keys = ["repo", "sha", "filename"]
     first = lambda c: F.max(F.when(F.col("told"), F.col(c))).alias(c)
