@@ -13,10 +13,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import HashCache, PolyHash, codepoints, map_text, mix64
+from palimpsest.llm.arrow import HashCache, PolyHash, codepoints, concatenated, map_text, mix64, strings, text_chunks
 from palimpsest.storage import stash
 
 LIMIT, BLOCK, EVERY = 24, 4096, 512
@@ -175,30 +176,40 @@ class Codebook:
         return cls(dict(struct.iter_unpack("<IB", data)))
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id: two if all of the vocabulary's fit, else four."""
+    with open(path, "rb") as f:
+        return 2 if max(int(line.split()[1]) for line in f if line.strip()) < 1 << 16 else 4
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    """The ids of all rows of a binary column, one after the other."""
+    return np.frombuffer(concatenated(column), f"<u{width}").astype(np.int64)
+
+
 def token_ids(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row; null and empty texts have no ids."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    """(doc_id, ids binary) of every row, ids little-endian of ``id_width`` bytes;
+    null and empty texts have no ids."""
+    kind, width = docs.select(id_col).schema[0].dataType.simpleString(), id_width(path)
 
     def run(chunk: pa.RecordBatch):
-        from palimpsest.llm.arrow import strings
-
         ids, sizes = tokenizer(path, pattern).ids_of(strings(chunk.column(1)))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
-        yield pa.RecordBatch.from_arrays([chunk.column(0), lists], ["doc_id", "ids"])
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * width
+        made = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+        yield pa.RecordBatch.from_arrays([chunk.column(0), made], ["doc_id", "ids"])
 
-    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, ids array<int>")
+    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, ids binary", limit=1 << 20)
 
 
-def count_ids(ids: DataFrame) -> dict[int, int]:
+def count_ids(ids: DataFrame, width: int) -> dict[int, int]:
     """How often each id occurs in all rows. Each task adds up its own first."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            part = np.bincount(flat, minlength=len(total)) if len(flat) else np.zeros(0, np.int64)
-            part[: len(total)] += total if len(part) >= len(total) else 0
-            total = part if len(part) >= len(total) else total
+        total = np.zeros(1 << 16, np.int64)
+        for b in text_chunks(batches, 0):
+            part = np.bincount(_flat(b.column(0), width), minlength=len(total))
+            part[: len(total)] += total
+            total = part
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -206,7 +217,7 @@ def count_ids(ids: DataFrame) -> dict[int, int]:
     return dict(zip(rows.column("id").to_pylist(), rows.column("n").to_pylist()))
 
 
-def encode_blocks(ids: DataFrame, book: Codebook, block: int = BLOCK, every: int = EVERY) -> DataFrame:
+def encode_blocks(ids: DataFrame, book: Codebook, width: int, block: int = BLOCK, every: int = EVERY) -> DataFrame:
     """(doc_id, block, n_ids, n_bits, payload, checkpoints) from (doc_id, ids).
 
     A row without ids has one block of none, so that it comes back; null ids count as none.
@@ -214,18 +225,15 @@ def encode_blocks(ids: DataFrame, book: Codebook, block: int = BLOCK, every: int
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                yield _encoded(b.slice(a, 500), book, block, every)
+        for b in text_chunks(batches, 1, 1 << 20):
+            yield _encoded(b, book, width, block, every)
 
     return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, block int, n_ids int, n_bits bigint, payload binary, checkpoints array<int>")
 
 
-def _encoded(b: pa.RecordBatch, book: Codebook, block: int, every: int) -> pa.RecordBatch:
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+def _encoded(b: pa.RecordBatch, book: Codebook, width: int, block: int, every: int) -> pa.RecordBatch:
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    flat = _flat(b.column(1), width)
     blocks = np.maximum(1, -(-sizes // block))
     row = np.repeat(np.arange(len(sizes)), blocks)
     number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -251,8 +259,9 @@ def compress(docs: DataFrame, path: str, pattern: str = PATTERN, limit: int = LI
     empty table gives an empty codebook.
     """
     ids = stash(token_ids(docs, path, pattern, id_col, text_col), "ids")
-    book = Codebook(code_lengths(count_ids(ids), limit))
-    blocks = encode_blocks(ids, book, block, every)
+    width = id_width(path)
+    book = Codebook(code_lengths(count_ids(ids, width), limit))
+    blocks = encode_blocks(ids, book, width, block, every)
     head = docs.sparkSession.createDataFrame([(None, -1, len(book.symbols), 0, bytearray(book.to_bytes()), [])], blocks.schema)
     return blocks.unionByName(head)
 
