@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.storage import small_side, stash
 
 #: metric: the least spread that its fence assumes, in its own unit (thousandths)
-METRICS = {"symbols": 10, "capitals": 10, "echoes": 15, "same_lines": 50}
+METRICS = {"symbols": 10, "capitals": 10, "echoes": 15, "same_lines": 75}
 SPREADS = 3
 SYMBOLS = r"[!#$%&*+/<=>@\\^_`{|}~\[\]]"
 CAPITALS = "[A-ZÀ-ÖØ-Þ]"
