@@ -74,26 +74,3 @@ def fingerprints(docs: DataFrame, k: int = 32, window: int = 64, id_col: str = "
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_text(rows.filter(F.length("text") >= k), run, f"doc_id {kind}, pos bigint, hash bigint", limit=2 << 20)
-
-
-def fingerprint_sql(k: int = 32, window: int = 64) -> str:
-    """The same rows of ``documents`` as DuckDB SQL: with powers of the base and
-    of its inverse, a k-gram's hash is a sum over a frame of 2k rows or fewer."""
-    base, half = HASH_BASE, 1 << 63
-    return f"""
-WITH RECURSIVE p(j, up, down) AS (
-  SELECT 0::BIGINT, 1::HUGEINT, 1::HUGEINT
-  UNION ALL
-  SELECT j + 1, (up * ({base}::HUGEINT % {half}::HUGEINT)) % {half}::HUGEINT, (down * ({PolyHash.inverse}::HUGEINT % {half}::HUGEINT)) % {half}::HUGEINT
-  FROM p WHERE j < (SELECT max(length(text)) FROM documents)),
-c AS (SELECT doc_id, length(text) - {k} + 1 AS n, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS j
-      FROM documents WHERE length(text) >= {k}),
-s AS (SELECT doc_id, n, c.j - {k} + 1 AS pos, up,
-             sum(unicode(c)::HUGEINT * down) OVER (PARTITION BY doc_id ORDER BY c.j ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS total
-      FROM c JOIN p ON c.j = p.j),
-h AS (SELECT doc_id, n, pos, (((total % {half}::HUGEINT) * up) % {half}::HUGEINT) * 4294967296::HUGEINT - pos AS packed FROM s WHERE pos >= 0),
-w AS (SELECT doc_id, n, pos, min(packed) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS best FROM h)
-SELECT DISTINCT doc_id,
-       ((4294967296::HUGEINT - best % 4294967296::HUGEINT) % 4294967296::HUGEINT)::BIGINT AS pos,
-       ((best + (4294967296::HUGEINT - best % 4294967296::HUGEINT) % 4294967296::HUGEINT) // 4294967296::HUGEINT)::BIGINT AS hash
-FROM w WHERE pos >= least({window}, n) - 1"""
