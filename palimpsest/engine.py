@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import blame, graph, meta, stats
 from palimpsest.sources import git
-from palimpsest.storage import stash
+from palimpsest.storage import exists, shared_dir, stash
 from palimpsest.streaming import checkpoint
 
 
@@ -46,6 +47,15 @@ class HistoryEngine:
             reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
         return reader.load()
 
+    def cached(self, name: str) -> DataFrame:
+        """``read`` from a copy in the shared folder, by the options and the heads; made if it isn't there."""
+        heads = self.read("refs").agg(F.sort_array(F.collect_set("sha"))).first()[0]
+        key = hashlib.sha256(repr((name, self.options, heads)).encode()).hexdigest()[:32]
+        folder = f"{shared_dir(self.spark)}/palimpsest-cache/{key}"
+        if not exists(self.spark, f"{folder}/_SUCCESS"):
+            self.read(name).write.mode("overwrite").parquet(folder)
+        return self.spark.read.parquet(folder)
+
     def commits(self) -> DataFrame:
         return self.read("commit_log")
 

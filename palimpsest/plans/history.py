@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.log_text import author, ref_line, zone_minutes
-from palimpsest.operators import blame, meta
+from palimpsest.operators import blame, meta, metrics
 from palimpsest.storage import read_table, stash_path
 from palimpsest.streaming import checkpoint
 
@@ -99,7 +99,18 @@ def ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("name IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (ledger_lines, lines_by_author, resumed_ledger, item_files, slowest_orders, ref_lines)}
+def patch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.totals(metrics.commit_work(order_patches(order_commits(spark, sf_dir))))
+
+
+def checked_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits with their number of files: a map from name to file for each."""
+    items = read_table(spark, sf_dir, "lineitem").select(F.lit("items").alias("repo"), F.col("l_orderkey").cast("string").alias("sha")).distinct()
+    joined = meta.files_by_commit(items, meta.commit_files(item_lines(spark, sf_dir)))
+    return joined.select("sha", F.size("files").cast("bigint").alias("n_files"))
+
+
+QUERIES = {f.__name__: f for f in (ledger_lines, lines_by_author, resumed_ledger, item_files, slowest_orders, ref_lines, patch_totals, checked_commits)}
 
 _ORDERS = "o AS (SELECT o_custkey::VARCHAR AS repo, o_orderkey::VARCHAR AS sha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderstatus AS author FROM orders)"
 _LEDGER = f"WITH {_ORDERS} SELECT a.repo, a.sha, a.seq - b.seq + 1 AS line_no, 'order ' || b.sha AS line, b.sha AS origin_sha FROM o a JOIN o b ON a.repo = b.repo AND b.seq BETWEEN a.seq - {DEPTH - 1} AND a.seq"
@@ -119,6 +130,12 @@ s1 AS (SELECT sha, filename, max(a) AS a, max(d) AS d, max(b) AS b FROM s GROUP
 SELECT sha, filename, coalesce(status, 'modified') AS status, coalesce(renamed, false) AS renamed, false AS copied, coalesce(renamed_from, '') AS renamed_from,
        coalesce(a, 0)::BIGINT AS additions, coalesce(d, 0)::BIGINT AS deletions, coalesce(b, false) AS binary
 FROM t1 FULL JOIN s1 USING (sha, filename)""",
+    "patch_totals": f"""WITH {_ORDERS}, n AS (SELECT sha, repo, seq, least(seq - 1, {DEPTH}) AS old FROM o),
+t AS (SELECT a.seq, a.sha, a.old, sum(strlen('order ' || b.sha) + 2) AS context FROM n a LEFT JOIN n b ON a.repo = b.repo AND b.seq BETWEEN a.seq - {DEPTH} AND a.seq - 1 GROUP BY ALL)
+SELECT false AS is_merge, count(*) AS commits, count(*) AS files,
+  sum(CASE WHEN old = 0 THEN strlen('diff --git a/ledger b/ledger' || '--- /dev/null' || '+++ b/ledger' || 'new file mode 100644' || '@@ -0,0 +1 @@' || '+order ' || sha) + 6
+      ELSE strlen('diff --git a/ledger b/ledger' || '--- a/ledger' || '+++ b/ledger' || '@@ -1,1 +1,1 @@' || '+order ' || sha) + 5 + context END)::BIGINT AS bytes FROM t""",
+    "checked_commits": "SELECT l_orderkey::VARCHAR AS sha, sum(CASE WHEN moved THEN 2 ELSE 1 END)::BIGINT AS n_files FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag = 'N' AS moved FROM lineitem) GROUP BY 1",
     "slowest_orders": "SELECT o_orderkey AS sha, o_totalprice AS cost FROM orders ORDER BY cost DESC, sha LIMIT 10",
     "ref_lines": "SELECT replace(s_name, '#', '/') AS name, sha256(s_suppkey::VARCHAR) AS sha, -(s_nationkey % 10 * 60 + 30)::BIGINT AS tz_min FROM supplier WHERE s_suppkey % 10 <> 0",
 }

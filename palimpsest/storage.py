@@ -41,6 +41,11 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:

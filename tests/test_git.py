@@ -94,6 +94,12 @@ def test_resume(spark, repos, tmp_path):
         HistoryEngine(spark, Options(one, checkpoints=state, commit_from="0" * 40, inclusive=False)).blame()
 
 
+def test_cached(spark, repos):
+    engine = HistoryEngine(spark, Options(str(repos)))
+    whole = sorted(map(repr, engine.commits().collect()))
+    assert [sorted(map(repr, engine.cached("commit_log").collect())) for _ in range(2)] == [whole, whole]
+
+
 def test_command_line(spark, repos, capsys, tmp_path):
     assert main(["branches", str(repos)]) == 0
     assert "open" in capsys.readouterr().out
