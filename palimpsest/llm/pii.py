@@ -10,6 +10,7 @@ with a word that announces such data and falls with one that denies it, within
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -82,17 +83,19 @@ HINT = r"@|\d\d.?\d|\d\.\d|[:=]\s*[\"']?[A-Za-z0-9_\-/+.]{12}|gh[pousr]_|sk-[A-Z
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of the spans of a text, in order."""
-    found: list[tuple[str, int, int, float]] = []
+    found: list[tuple[int, int, str, float]] = []  # by place, without overlaps
     for rule in RULES:
         for m in rule.pattern.finditer(text):
             a, b = m.span(1) if rule.pattern.groups else m.span()
-            if not rule.valid(text[a:b]) or any(a < e and s < b for _, s, e, _ in found):
+            at = bisect_left(found, (a,))
+            taken = (at and found[at - 1][1] > a) or (at < len(found) and found[at][0] < b)
+            if taken or not rule.valid(text[a:b]):
                 continue
             around = text[max(0, a - CONTEXT) : a] + " " + text[b : b + CONTEXT]
             score = round(min(1.0, rule.score + 0.1 * bool(rule.near.search(around)) - 0.2 * bool(AGAINST.search(around))), 2)
             if score >= THRESHOLD:
-                found.append((rule.kind, a, b, score))
-    return sorted(found, key=lambda x: x[1:])
+                found.insert(at, (a, b, rule.kind, score))
+    return [(kind, a, b, score) for a, b, kind, score in found]
 
 
 def redacted(text: str, spans: list[tuple[str, int, int, float]]) -> str:
