@@ -89,26 +89,26 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def bucket_edges(sigs: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs within ``radius`` connect, among the
+def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs within ``radius`` connect, among distinct
     signatures of one bucket. Each one is compared with all that aren't yet
     reached, so that a tight group of m costs m comparisons and m - 1 edges."""
-    edges, rest, named = [], sigs, nodes
+    edges, rest = [], sigs
     while len(rest) > 1:
-        reached, rest, named = [(rest[0], named[0])], rest[1:], named[1:]
+        reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
-            x, node = reached.pop()
+            x = reached.pop()
             near = hamming(rest, x) <= radius
             if near.any():
-                reached += list(zip(rest[near], named[near]))
-                edges += [(node, y) for y in named[near]]
-                rest, named = rest[~near], named[~near]
+                reached += list(rest[near])
+                edges += [(x, y) for y in rest[near]]
+                rest = rest[~near]
     return edges
 
 
-def _edges(radius: int):
+def _edges(radius: int, tables: int):
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4  # table, key, signature, node
+        held = [np.zeros(0, np.int64)] * 3  # table, key, signature
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
             if not len(held[0]):
@@ -119,24 +119,24 @@ def _edges(radius: int):
             held = [h[last:] for h in held]
         yield from emit(*held)
 
-    def emit(table, key, sig, node):
+    def emit(table, key, sig):
         if len(key) < 2:
             return
         heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
         sizes = np.diff(np.r_[heads, len(key)])
         two = heads[sizes == 2]
         near = two[hamming(sig[two], sig[two + 1]) <= radius]
-        a, b = [node[near]], [node[near + 1]]
+        k, a, b = [table[near] // tables], [sig[near]], [sig[near + 1]]
         for h, m in zip(heads[sizes > 2], sizes[sizes > 2]):
-            if edges := bucket_edges(sig[h : h + m], node[h : h + m], radius):
+            if edges := bucket_edges(sig[h : h + m], radius):
                 x, y = np.array(edges, np.int64).T
+                k.append(np.full(len(x), table[h] // tables))
                 a.append(x)
                 b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        k, a, b = (np.concatenate(x) for x in (k, a, b))
         if len(a):
-            pairs = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            found = np.unique(np.stack([k, np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["k", "a", "b"])
 
     return run
 
@@ -145,23 +145,29 @@ def signature_edges(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges between first signatures whose components are those of all
     pairs of (s0, s1, s2) that have a signature within ``radius`` (at most 6).
 
-    A bucket's key, a table and what its mask leaves, is computed again after the
-    shuffle, which carries the table, the signature and, if that is another, the
-    first signature as the node.
+    The large shuffle carries a table and a signature; a bucket's key, what the table's
+    mask leaves, is computed again after it. Only the few pairs that are found in the other
+    signatures are then joined with the first ones.
     """
     if radius > RADIUS:
         raise ValueError(f"these masks cover a radius of {RADIUS}")
     listed = covering_masks()
     masks = F.array(*[F.lit(m).cast("bigint") for m in listed])
-    tables = F.explode(F.sequence(F.lit(0), F.lit(len(listed) - 1))).alias("t")
-    first = sigs.select(F.col("s0").alias("sig"), F.lit(None).cast("bigint").alias("node")).distinct().select(tables, "sig", "node")
-    for k in range(1, SIGNATURES):
-        one = sigs.select(F.col(f"s{k}").alias("sig"), F.col("s0").alias("node")).distinct().select(tables, "sig", "node")
-        first = first.unionByName(one.withColumn("t", F.col("t") + k * len(listed)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).alias("sig")) for k, s in enumerate(NAMES)])).alias("e")
+    one = sigs.select(each).select("e.k", "e.sig").distinct()
+    first = F.col("k") * len(listed)
+    spread = one.select(F.explode(F.sequence(first, first + len(listed) - 1).cast("array<smallint>")).alias("t"), "sig")
     left = F.col("sig").bitwiseAND(F.element_at(masks, F.col("t") % len(listed) + 1))
-    spread = first.withColumn("t", F.col("t").cast("smallint")).repartition(F.xxhash64("t", left))
-    keyed = spread.select(F.col("t").cast("bigint").alias("t"), left.alias("key"), "sig", F.coalesce("node", "sig").alias("node"))
-    return keyed.sortWithinPartitions("t", "key", "sig").mapInArrow(_edges(radius), "a bigint, b bigint").distinct()
+    keyed = spread.repartition(F.xxhash64("t", left)).select(F.col("t").cast("bigint").alias("t"), left.alias("key"), "sig").sortWithinPartitions("t", "key", "sig")
+    pairs = stash(keyed.mapInArrow(_edges(radius, len(listed)), "k bigint, a bigint, b bigint").distinct(), "pairs")
+    # the other signatures by their documents' first ones; where there are several, these are edges too
+    owned = sigs.select("s0", F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(s).alias("sig")) for k, s in enumerate(NAMES) if k])).alias("e")).select("s0", "e.k", "e.sig")
+    owner = stash(owned.groupBy("k", "sig").agg(F.min("s0").alias("first"), F.max("s0").alias("last")), "owners")
+    of = lambda x: small_side(owner).select("k", F.col("sig").alias(x), F.col("first").alias(f"{x}0"))
+    other = pairs.filter("k > 0").join(of("a"), ["k", "a"]).join(of("b"), ["k", "b"]).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
+    shared = owner.filter("first <> last").drop("last")
+    linked = owned.join(shared, ["k", "sig"]).select(F.col("first").alias("a"), F.col("s0").alias("b"))
+    return pairs.filter("k = 0").select("a", "b").unionByName(other).unionByName(linked).filter("a <> b").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
