@@ -1,11 +1,13 @@
 """Operator 6, packing related documents into windows.
 
-A document's profile is the direction of a four-dimensional random projection
-of its set of words. Each profile is joined with its nearest others (exactly:
-the search looks into every cell of the space that the ball of the farthest
-one reaches), the undirected graph of these pairs is walked in each cell, always
-starting from the unvisited document of the lowest degree and going on to the
-nearest unvisited neighbour, and windows are filled along these paths.
+A document is the set of its lower-cased words. Each distinct set is joined with
+the others of the highest Jaccard similarity (exactly: all are compared), the
+undirected graph of these pairs is walked, always starting from the unvisited
+document of the lowest degree and going on to the nearest unvisited neighbour,
+and windows are filled along these paths.
+
+``profiles`` and ``neighbours``, an exact search among four-dimensional
+projections of word sets, say little of relatedness; packing doesn't use them.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import map_text, strings, words_of
+from palimpsest.llm.arrow import HASH_BASE, map_text, mix64, strings, words_of
 from palimpsest.storage import small_side, stash
 
 DIMS, NEAREST, WINDOW = 4, 5, 2048
 CELL, MOST_CELLS, SAMPLE = 1000, 1 << 16, 32
+#: Sets and words of a block of the search, and numbers of 64 bits for its frequent words.
+BLOCK, ENTRIES, PLANES = 32_768, 8_000_000, 8
 AXES = [f"x{i}" for i in range(DIMS)]
 POINT = ", ".join(f"{a} float" for a in AXES)
 
@@ -234,54 +238,155 @@ def walk(degree: np.ndarray, heads: np.ndarray, to: np.ndarray) -> tuple[np.ndar
     return path, place
 
 
-def paths(placed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x0..x3, cell, degree, path, place) of each distinct point: its place in
-    the walk of its cell. Degrees count all neighbours in the undirected graph."""
-    ys = [f"y{i}" for i in range(DIMS)]
-    back = pairs.select(*[F.col(y).alias(x) for x, y in zip(AXES, ys)], F.col("other").alias("cell"), *[F.col(x).alias(y) for x, y in zip(AXES, ys)], F.col("cell").alias("other"), "d")
-    lists = pairs.unionByName(back).groupBy(*AXES, "cell").agg(F.sort_array(F.collect_set(F.struct("d", *ys, "other"))).alias("near"))
-    own = lists.select(*AXES, "cell", F.size("near").alias("degree"), F.transform(F.filter("near", lambda x: x.other == F.col("cell")), lambda x: F.struct(*[x[y] for y in ys])).alias("near"))
-    alone = placed.select(*AXES, "cell", F.lit(0).alias("degree"), F.expr(f"CAST(array() AS array<struct<{', '.join(f'y{i}:float' for i in range(DIMS))}>>)").alias("near"))
-    nodes = own.unionByName(alone)
+class Block:
+    """An inverted index over the word sets of some distinct nodes. Words that
+    many nodes have are bits of a few numbers for each node, the others lists of nodes."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, words: np.ndarray):
+        node, order = np.repeat(np.arange(len(keys)), sizes), np.argsort(words)
+        words, self.nodes = words[order], node[order]
+        heads = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.zeros(0, np.int64)
+        self.keys, self.sizes, self.words = keys, sizes.astype(np.float64), words[heads]
+        self.starts, self.ends = heads, np.r_[heads[1:], len(words)][: len(heads)]
+        count = self.ends - self.starts
+        often = np.argsort(-count, kind="stable")[: PLANES * 64]
+        often = often[count[often] > len(keys) // 20]
+        self.bit = np.full(len(heads), -1)
+        self.bit[often] = np.arange(len(often))
+        self.planes = np.zeros((-(-len(often) // 64), len(keys)), np.uint64)
+        for i, w in enumerate(often.tolist()):
+            self.planes[i // 64, self.nodes[self.starts[w] : self.ends[w]]] |= np.uint64(1 << i % 64)
+
+    def nearest(self, key: int, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and distances (1 - Jaccard) of the ``k`` most similar other nodes
+        that share a word with a set, nearest first, by key on ties."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        at = at[self.words[at] == words]
+        bit = self.bit[at]
+        rare = at[bit < 0]
+        lists = [self.nodes[a:b] for a, b in zip(self.starts[rare].tolist(), self.ends[rare].tolist())]
+        hits = np.bincount(np.concatenate(lists), minlength=len(self.keys)) if lists else np.zeros(len(self.keys), np.int64)
+        bit = bit[bit >= 0]
+        for i, plane in enumerate(self.planes):
+            if len(mine := bit[bit // 64 == i] % 64):
+                hits += np.bitwise_count(plane & np.bitwise_or.reduce(np.uint64(1) << mine.astype(np.uint64)))
+        alike = hits / (self.sizes + len(words) - hits)
+        own = int(np.searchsorted(self.keys, key))
+        if own < len(self.keys) and self.keys[own] == key:
+            alike[own] = 0
+        some = alike[:: max(1, len(alike) // 2000)]
+        least = np.partition(some, -k)[-k] if len(some) >= k else 0.0  # the k-th of all is no less
+        good = np.flatnonzero(alike >= least if least > 0 else alike > 0)
+        good = good[np.lexsort((self.keys[good], -alike[good]))][:k]
+        return self.keys[good], 1 - alike[good]
+
+
+def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, n_words, words) of the rows that have a word: the hashes of
+    the set of lower-cased words, in order, as bytes, and a hash of the set."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(chunk: pa.RecordBatch):
+        row, _, _, _, hashes = words_of(pc.utf8_lower(strings(chunk.column(1))))
+        if not len(row):
+            return
+        count = np.bincount(row, minlength=chunk.num_rows)
+        order = np.lexsort((hashes, row))
+        row, hashes = row[order], hashes[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])]
+        row, hashes = row[new], hashes[new]
+        full = np.flatnonzero(count)
+        heads = np.searchsorted(row, full)
+        key = np.add.reduceat(mix64(hashes ^ np.uint64(HASH_BASE)), heads).view(np.int64)
+        offsets = (np.r_[heads, len(row)] * 8).astype(np.int32)
+        sets = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(hashes)])
+        yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(full)), pa.array(key), pa.array(count[full].astype(np.int64)), sets], ["doc_id", "key", "n_words", "words"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary")
+
+
+def related(found: DataFrame, k: int = NEAREST, block_size: int = BLOCK) -> DataFrame:
+    """(key, other, d): each distinct word set of ``found`` (a stashed table) with
+    the ``k`` others of the highest Jaccard similarity, ties by key; d is 1 less it.
+
+    All sets are compared with all: the index of one block of sets after the
+    other is sent to the workers, which ask it for each set. A block has some
+    ``block_size`` sets and at most some ``ENTRIES`` words. Sets that share no word are no pair.
+    """
+    spark = found.sparkSession
+    n, entries = found.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0)) / 8).first()
+    blocks = max(1, -(-n // block_size), -(-int(entries) // ENTRIES))
+    sets, parts = found.select("key", "words"), []
+    for b in range(blocks):
+        table = sets.filter(F.pmod("key", F.lit(blocks)) == b).toArrow()
+        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
+        own = table.column("words").take(pa.array(first)).to_pylist()
+        index = Block(keys, np.array([len(x) // 8 for x in own], np.int64), np.frombuffer(b"".join(own), np.uint64))
+        if not len(keys):
+            continue
+        shared = spark.sparkContext.broadcast(index)
+
+        def ask(batches, shared=shared):
+            for batch in batches:
+                got = [shared.value.nearest(key, np.frombuffer(words.as_py(), np.uint64), k) for key, words in zip(batch.column(0).to_pylist(), batch.column(1))]
+                if got:
+                    rows = np.repeat(batch.column(0).to_numpy(), [len(x) for x, _ in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(np.concatenate(x)) for x in zip(*got)]], ["key", "other", "d"])
+
+        del table, own, index
+        parts.append(stash(sets.mapInArrow(ask, "key bigint, other bigint, d double"), f"near-{b}"))
+        shared.destroy()
+    if not parts:
+        return spark.createDataFrame([], "key bigint, other bigint, d double")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k)
+    joined = spark.read.schema(parts[0].schema).parquet(*[p.stash_path for p in parts])
+    return joined.groupBy("key").agg(best.alias("near")).select("key", F.explode("near").alias("n")).select("key", "n.other", "n.d")
+
+
+def paths(found: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(key, cell, path, place) of each distinct word set: its place in the walk
+    of its cell (``cells``: node, label; a node without one is a cell). Degrees
+    count all neighbours in the undirected graph."""
+    both = pairs.select("key", "other", "d").unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "d"))
+    lists = both.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("d", "other"))).alias("near"))
+    alone = found.select("key").distinct().join(lists, "key", "left").join(cells.withColumnRenamed("node", "key"), "key", "left")
+    nodes = alone.select("key", F.coalesce("label", "key").alias("cell"), F.coalesce(F.transform("near", lambda x: x.other), F.array().cast("array<bigint>")).alias("near"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        x, degree = _matrix(table), table.column("degree").to_numpy()
-        order = np.lexsort((-degree, *x.T[::-1]))
-        x, degree = x[order], degree[order]
-        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]  # the row without neighbours comes after
-        keep = order[new]
-        x, degree = x[new], degree[new]
-        place = {p: i for i, p in enumerate(map(tuple, x.tolist()))}
-        near = table.column("near").take(pa.array(keep)).combine_chunks()
+        key, near = table.column("key").to_numpy(), table.column("near").combine_chunks()
         near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
-        flat = near.flatten()
-        other = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(DIMS)], axis=1) if len(flat) else np.zeros((0, DIMS), np.float32)
-        to = np.array([place[p] for p in map(tuple, other.tolist())], np.int64)
-        sizes = pc.list_value_length(near).to_numpy(zero_copy_only=False)
-        path, step = walk(degree, np.r_[0, np.cumsum(sizes)], to)
-        cell = table.column("cell").take(pa.array(keep))
-        return pa.table({**{f"x{i}": x[:, i] for i in range(DIMS)}, "cell": cell, "degree": degree, "path": path, "place": step})
+        degree = pc.list_value_length(near).to_numpy(zero_copy_only=False)
+        order = np.lexsort((key, degree))
+        near, key, degree = near.take(pa.array(order)), key[order], degree[order]
+        by_key = np.argsort(key)
+        other = near.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(key, other, sorter=by_key), len(key) - 1)
+        to, row = by_key[at], np.repeat(np.arange(len(key)), degree)
+        inside = key[to] == other
+        path, step = walk(degree, np.r_[0, np.cumsum(np.bincount(row[inside], minlength=len(key)))], to[inside])
+        return pa.table({"key": key, "cell": table.column("cell").take(pa.array(order)), "path": path, "place": step})
 
-    return nodes.groupBy("cell").applyInArrow(run, f"{POINT}, cell int, degree int, path int, place int")
+    return nodes.groupBy("cell").applyInArrow(run, "key bigint, cell bigint, path int, place int")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, cell_size: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, cell_size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(cell, window, n_words, pieces array<struct<doc_id, path, first, last>>), a row for each window.
 
     A window holds ``window`` words between white space, the last one of a cell
     what is left. ``pieces`` are in order; words ``first`` (from 0) to before
     ``last`` of the document are in this window, so that every word is in exactly one.
-    A path that ends is followed by the cell's next. Documents of one profile, and
+    A path that ends is followed by the cell's next. Documents of one word set, and
     repeated rows, follow each other by id, nulls first, then by length. Null texts and those
     without a word are in no window; very long ones fill many. Only the two
     named columns are read. No words give no rows.
     """
-    found = stash(profiles(docs, id_col, text_col), "profiles")
-    points = stash(found.select(*AXES).distinct(), "points")
-    placed, pairs = neighbours(points, k, cell_size)
-    walked = stash(paths(placed, stash(pairs, "pairs")), "walked")
-    joined = found.join(small_side(walked), AXES)
+    found = stash(word_sets(docs, id_col, text_col), "sets")
+    pairs = stash(related(found, k, cell_size), "pairs")
+    cells = found.select(F.col("key").alias("node"), F.pmod("key", F.lit(max(1, round(found.count() / cell_size)))).alias("label")).distinct()
+    walked = stash(paths(found, pairs, cells), "walked")
+    joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key")
     order = Window.partitionBy("cell").orderBy("path", "place", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = joined.select("cell", "path", "place", "doc_id", "n_words", F.sum("n_words").over(order).alias("end")).withColumn("start", F.col("end") - F.col("n_words"))
     w = F.lit(window).cast("bigint")

@@ -341,6 +341,33 @@ def test_neighbours_by_brute_force(spark):
             assert sorted(found[tuple(np.float32(x).tolist())]) == pytest.approx(d.tolist())
 
 
+@pytest.mark.parametrize("block", [50, 1000])
+def test_related_by_brute_force(spark, block):
+    from palimpsest.storage import stash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = stash(packing.word_sets(docs), "sets")
+    key = {r.doc_id: r.key for r in found.select("doc_id", "key").collect()}
+    sets = {key[r.doc_id]: frozenset(r.text.lower().encode().split()) for r in docs.collect() if r.doc_id in key}
+    assert len(set(sets.values())) == len(sets)
+    got = defaultdict(dict)
+    for r in packing.related(found, 5, block).collect():
+        got[r.key][r.other] = 1 - r.d
+    for a, x in sets.items():
+        want = sorted((len(x & y) / len(x | y) for b, y in sets.items() if a != b), reverse=True)[:5]
+        assert sorted(got[a].values(), reverse=True) == pytest.approx([w for w in want if w])
+        assert all(len(x & sets[b]) / len(x | sets[b]) == pytest.approx(w) for b, w in got[a].items())
+
+
+def test_related_documents_follow_each_other(spark):
+    rng = random.Random(8)
+    vocabularies = [[f"{c}{i}" for i in range(60)] for c in "abcdef"]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(vocabularies[i % 6], 30))) for i in range(60)], "doc_id long, text string")
+    for r in packing.pack(docs, window=300).collect():
+        order = [p.doc_id % 6 for p in r.pieces]
+        assert sum(a != b for a, b in zip(order, order[1:])) <= 1, order
+
+
 def test_walk():
     # 0-1-2 in a line and 3 apart: starts at the low degrees, goes to the nearest
     path, place = packing.walk(np.array([1, 2, 1, 0]), np.array([0, 1, 3, 4, 4]), np.array([1, 0, 2, 1]))
