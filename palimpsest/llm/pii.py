@@ -78,7 +78,7 @@ RULES = (
 )
 AGAINST = _near("version|isbn|issn|doi|order|invoice|part|serial|example")
 #: What every rule's spans contain, for the vectorised first look.
-HINT = r"@|\d\d.?\d|\d\.\d|[:=]\s*[\"']?[A-Za-z0-9_\-/+.]{12}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-"
+HINT = r"@|\d\d.?\d|\d[ -]\d[ -]\d|AKIA[0-9A-Z]{16}|\d\.\d|[:=]\s*[\"']?[A-Za-z0-9_\-/+.]{12}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-"
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
