@@ -2,7 +2,7 @@
 
 A document is the set of its lower-cased words. Each distinct set is joined with
 the others of the highest Jaccard similarity (exactly: all are compared), the
-undirected graph of these pairs is walked, always starting from the unvisited
+undirected graph of these pairs is walked whole, always starting from the unvisited
 document of the lowest degree and going on to the nearest unvisited neighbour,
 and windows are filled along these paths.
 
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import HASH_BASE, map_text, mix64, strings, words_of
+from palimpsest.llm.components import connected_components
 from palimpsest.storage import small_side, stash
 
 DIMS, NEAREST, WINDOW = 4, 5, 2048
 CELL, MOST_CELLS, SAMPLE = 1000, 1 << 16, 32
 #: Sets and words of a block of the search, and numbers of 64 bits for its frequent words.
-BLOCK, ENTRIES, PLANES = 32_768, 8_000_000, 8
+BLOCK, ENTRIES, PLANES = 32_768, 8_000_000, 3
 AXES = [f"x{i}" for i in range(DIMS)]
 POINT = ", ".join(f"{a} float" for a in AXES)
 
@@ -267,9 +268,12 @@ class Block:
         lists = [self.nodes[a:b] for a, b in zip(self.starts[rare].tolist(), self.ends[rare].tolist())]
         hits = np.bincount(np.concatenate(lists), minlength=len(self.keys)) if lists else np.zeros(len(self.keys), np.int64)
         bit = bit[bit >= 0]
-        for i, plane in enumerate(self.planes):
-            if len(mine := bit[bit // 64 == i] % 64):
-                hits += np.bitwise_count(plane & np.bitwise_or.reduce(np.uint64(1) << mine.astype(np.uint64)))
+        if len(bit):
+            shared = np.zeros(len(self.keys), np.uint8)  # at most 64 * PLANES
+            for i, plane in enumerate(self.planes):
+                if len(mine := bit[bit // 64 == i] % 64):
+                    shared += np.bitwise_count(plane & np.bitwise_or.reduce(np.uint64(1) << mine.astype(np.uint64)))
+            hits += shared
         alike = hits / (self.sizes + len(words) - hits)
         own = int(np.searchsorted(self.keys, key))
         if own < len(self.keys) and self.keys[own] == key:
@@ -346,8 +350,9 @@ def related(found: DataFrame, k: int = NEAREST, block_size: int = BLOCK) -> Data
 
 def paths(found: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """(key, cell, path, place) of each distinct word set: its place in the walk
-    of its cell (``cells``: node, label; a node without one is a cell). Degrees
-    count all neighbours in the undirected graph."""
+    of its cell, a component of the undirected graph (``cells``: node, label; a node
+    without one has no neighbour). A component is walked in one task, as a walk is
+    sequential, so that no pair is lost."""
     both = pairs.select("key", "other", "d").unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "d"))
     lists = both.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("d", "other"))).alias("near"))
     alone = found.select("key").distinct().join(lists, "key", "left").join(cells.withColumnRenamed("node", "key"), "key", "left")
@@ -362,10 +367,8 @@ def paths(found: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
         near, key, degree = near.take(pa.array(order)), key[order], degree[order]
         by_key = np.argsort(key)
         other = near.flatten().to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(key, other, sorter=by_key), len(key) - 1)
-        to, row = by_key[at], np.repeat(np.arange(len(key)), degree)
-        inside = key[to] == other
-        path, step = walk(degree, np.r_[0, np.cumsum(np.bincount(row[inside], minlength=len(key)))], to[inside])
+        to = by_key[np.searchsorted(key, other, sorter=by_key)]
+        path, step = walk(degree, np.r_[0, np.cumsum(degree)], to)
         return pa.table({"key": key, "cell": table.column("cell").take(pa.array(order)), "path": path, "place": step})
 
     return nodes.groupBy("cell").applyInArrow(run, "key bigint, cell bigint, path int, place int")
@@ -374,6 +377,8 @@ def paths(found: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, cell_size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(cell, window, n_words, pieces array<struct<doc_id, path, first, last>>), a row for each window.
 
+    A cell is a component of the graph; ``cell_size`` only says how many sets the
+    search indexes at a time, and no row depends on it.
     A window holds ``window`` words between white space, the last one of a cell
     what is left. ``pieces`` are in order; words ``first`` (from 0) to before
     ``last`` of the document are in this window, so that every word is in exactly one.
@@ -384,7 +389,7 @@ def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, cell_size: int
     """
     found = stash(word_sets(docs, id_col, text_col), "sets")
     pairs = stash(related(found, k, cell_size), "pairs")
-    cells = found.select(F.col("key").alias("node"), F.pmod("key", F.lit(max(1, round(found.count() / cell_size)))).alias("label")).distinct()
+    cells = stash(connected_components(pairs.select(F.col("key").alias("a"), F.col("other").alias("b"))), "components")
     walked = stash(paths(found, pairs, cells), "walked")
     joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key")
     order = Window.partitionBy("cell").orderBy("path", "place", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -374,6 +374,14 @@ def test_related_documents_follow_each_other(spark):
         assert sum(a != b for a, b in zip(order, order[1:])) <= 1, order
 
 
+def test_walks_are_not_cut(spark):
+    # a chain, each document sharing words with the next ones only
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 5, i * 5 + 20))) for i in range(60)], "doc_id long, text string")
+    small, large = (sorted(packing.pack(docs, window=100, cell_size=size).collect()) for size in (7, 1000))
+    assert small == large
+    assert len({r.cell for r in small}) == 1 and sum(r.n_words < 100 for r in small) <= 1
+
+
 def test_walk():
     # 0-1-2 in a line and 3 apart: starts at the low degrees, goes to the nearest
     path, place = packing.walk(np.array([1, 2, 1, 0]), np.array([0, 1, 3, 4, 4]), np.array([1, 0, 2, 1]))
