@@ -170,6 +170,18 @@ def signature_edges(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter("k = 0").select("a", "b").unionByName(other).unionByName(linked).filter("a <> b").distinct()
 
 
+def labelled_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicate_groups`` with ``label``, which identifies their group."""
+    found = stash(signatures(docs, id_col, text_col), "signatures")
+    edges = stash(signature_edges(found.select(*NAMES).distinct(), radius), "edges")
+    labels = stash(connected_components(edges), "components")
+    group = F.coalesce("label", "sig")
+    sigs = found.groupBy("doc_id", F.col("s0").alias("sig")).agg(F.count("*").alias("copies"))
+    members = sigs.join(small_side(labels).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", group)
+    whole = members.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("n")).filter("n > 1")
+    return members.join(whole, "label").select("label", "doc_id", "keep_id", "sig", "copies")
+
+
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, sig, copies): the members of all groups of two documents or more.
 
@@ -180,14 +192,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "
     texts are hashed whole. Repeated rows are one output row with ``copies``
     above one. Other columns aren't read.
     """
-    found = stash(signatures(docs, id_col, text_col), "signatures")
-    edges = stash(signature_edges(found.select(*NAMES).distinct(), radius), "edges")
-    labels = stash(connected_components(edges), "components")
-    group = F.coalesce("label", "sig")
-    sigs = found.groupBy("doc_id", F.col("s0").alias("sig")).agg(F.count("*").alias("copies"))
-    members = sigs.join(small_side(labels).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", group)
-    whole = members.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("n")).filter("n > 1")
-    return members.join(whole, "label").select("doc_id", "keep_id", "sig", "copies")
+    return labelled_groups(docs, radius, id_col, text_col).drop("label")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,10 +202,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "d
     signature, of equal rows one. Documents without a signature stay. Only the
     ids to drop meet the texts, in an anti-join.
     """
-    groups = stash(near_duplicate_groups(docs, radius, id_col, text_col), "groups")
-    first = groups.filter("doc_id <=> keep_id").groupBy("keep_id").agg(F.min("sig").alias("keep_sig"))
-    kept_row = F.col("doc_id").eqNullSafe(F.col("k.keep_id")) & (F.col("sig") == F.col("keep_sig"))
-    judged = stash(groups.alias("g").join(first.alias("k"), F.col("g.keep_id").eqNullSafe(F.col("k.keep_id"))).select("doc_id", "sig", "copies", kept_row.alias("keep")), "judged")
+    groups = stash(labelled_groups(docs, radius, id_col, text_col), "groups")
+    first = groups.filter("doc_id <=> keep_id").groupBy("label").agg(F.min("sig").alias("keep_sig"))
+    kept_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("sig") == F.col("keep_sig"))
+    judged = stash(groups.join(first, "label").select("doc_id", "sig", "copies", kept_row.alias("keep")), "judged")
     # An id whose rows don't share one fate is settled row by row below.
     split = judged.groupBy("doc_id").agg(F.max(F.col("keep").cast("int")).alias("any"), F.sum("copies").alias("n"))
     repeated = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count("*").alias("rows")).filter("rows > 1")

@@ -200,6 +200,14 @@ def test_repeated_rows_leave_one(awkward):
     assert len(base) == 1 and sum(r.text is None for r in kept) == 2
 
 
+def test_groups_of_one_kept_id_keep_one_each(spark):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 120) for _ in range(4))
+    rows = [(1, a), (5, a), (1, b), (7, b), (None, c), (None, c), (None, d), (None, d)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (1, b), (None, c), (None, d)])
+
+
 def test_pii():
     assert pii.luhn("4111 1111 1111 1111") and not pii.luhn("4111 1111 1111 1112")
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
