@@ -67,7 +67,7 @@ def _near(words: str) -> re.Pattern:
 #: Tried in this order; a span that overlaps an earlier rule's isn't proposed again.
 RULES = (
     Rule("email", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), any_text, 0.9, _near("e-?mail|contact|write|correo|courriel")),
-    Rule("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+.]{12,200}=*)[\"']?"), any_text, 0.9, _near("token|secret|key|password")),
+    Rule("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+.]{12,}=*)[\"']?"), any_text, 0.9, _near("token|secret|key|password")),
     Rule("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"), any_text, 0.9, _near("token|secret|key|password")),
     Rule("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), mod97, 0.8, _near("iban|account|konto|cuenta|compte|bank")),
     Rule("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), luhn, 0.7, _near("card|visa|credit|karte|carte|tarjeta|payment")),

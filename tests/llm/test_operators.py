@@ -235,6 +235,11 @@ def test_keys_and_spaced_digits_have_a_hint():
     assert pii._with_hint(pa.array(texts)).tolist() == [0, 1, 2, 3]
 
 
+def test_long_secrets_are_taken_whole():
+    text = "token: " + "aB3_" * 1500 + "== end"
+    assert pii.redacted(text, pii.find(text)) == "token: [SECRET] end"
+
+
 def test_pii_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
