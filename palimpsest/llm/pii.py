@@ -76,20 +76,47 @@ RULES = (
     Rule("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), phone_like, 0.7, _near("phone|tel|call|mobile|fax|telefon|téléphone|teléfono")),
     Rule("phone", re.compile(r"(?<![\w+.-])(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d.-])"), phone_like, 0.5, _near("phone|tel|call|mobile|fax|telefon|téléphone|teléfono")),
 )
+#: Kinds whose pattern may take neighbouring groups along.
+CUT = ("card", "iban")
 AGAINST = _near("version|isbn|issn|doi|order|invoice|part|serial|example")
 #: What every rule's spans contain, for the vectorised first look.
 HINT = r"@|\d\d.?\d|\d[ -]\d[ -]\d|AKIA[0-9A-Z]{16}|\d\.\d|[:=]\s*[\"']?[A-Za-z0-9_\-/+.]{12}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-"
 
 
+def _cuts(rule: Rule, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The longest valid part of a span that starts with one of its groups and
+    ends with one, of those the first; groups are what separators divide."""
+    groups = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^ -]+", text[a:b])]
+    parts = sorted(((start, end) for i, (start, _) in enumerate(groups) for _, end in groups[i:]), key=lambda x: (x[0] - x[1], x[0]))
+    return next(((x, y) for x, y in parts if rule.pattern.fullmatch(text[x:y]) and rule.valid(text[x:y])), None)
+
+
+def _proposals(rule: Rule, text: str):
+    """Valid spans of a rule, in order. What is left of a span after its valid
+    part, or after its first group if no part is valid, is searched again."""
+    at = 0
+    while m := rule.pattern.search(text, at):
+        a, b = m.span(1) if rule.pattern.groups else m.span()
+        if rule.valid(text[a:b]):
+            yield a, b
+            at = max(m.end(), at + 1)
+        elif rule.kind not in CUT:
+            at = max(m.end(), at + 1)
+        elif cut := _cuts(rule, text, a, b):
+            yield cut
+            at = cut[1]
+        else:
+            at = a + len(re.match(r"[^ -]+", text[a:b])[0])
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of the spans of a text, in order."""
     found: list[tuple[int, int, str, float]] = []  # by place, without overlaps
     for rule in RULES:
-        for m in rule.pattern.finditer(text):
-            a, b = m.span(1) if rule.pattern.groups else m.span()
+        for a, b in _proposals(rule, text):
             at = bisect_left(found, (a,))
             taken = (at and found[at - 1][1] > a) or (at < len(found) and found[at][0] < b)
-            if taken or not rule.valid(text[a:b]):
+            if taken:
                 continue
             around = text[max(0, a - CONTEXT) : a] + " " + text[b : b + CONTEXT]
             score = round(min(1.0, rule.score + 0.1 * bool(rule.near.search(around)) - 0.2 * bool(AGAINST.search(around))), 2)

@@ -240,6 +240,17 @@ def test_long_secrets_are_taken_whole():
     assert pii.redacted(text, pii.find(text)) == "token: [SECRET] end"
 
 
+def test_valid_parts_of_longer_runs():
+    clean = lambda t: pii.redacted(t, pii.find(t))
+    assert clean("4111 1111 1111 1111 12/27") == "[CARD] 12/27"
+    assert clean("4111111111111111 123 ok") == "[CARD] 123 ok"
+    assert clean("id 12 4111111111111111") == "id 12 [CARD]"
+    assert clean("4111 1111 1111 1111 5500 0000 0000 0004") == "[CARD] [CARD]"
+    assert clean("ES91 2100 0418 4502 0005 1332 BIC X") == "[IBAN] BIC X"
+    assert clean("to ES91 2100 0418 4502 0005 1332 GB82 WEST 1234 5698 7654 32") == "to [IBAN] [IBAN]"
+    assert clean("4111 1111 1111 1112 12/27") == "4111 1111 1111 1112 12/27"
+
+
 def test_pii_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
