@@ -66,8 +66,8 @@ def _near(words: str) -> re.Pattern:
 
 #: Tried in this order; a span that overlaps an earlier rule's isn't proposed again.
 RULES = (
-    Rule("email", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), any_text, 0.9, _near("e-?mail|contact|write|correo|courriel")),
-    Rule("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+.]{12,}=*)[\"']?"), any_text, 0.9, _near("token|secret|key|password")),
+    Rule("email", re.compile(r"(?<![A-Za-z0-9._%+-])[._%+-]*([A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), any_text, 0.9, _near("e-?mail|contact|write|correo|courriel")),
+    Rule("secret", re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+.]{12,}=*)"), any_text, 0.9, _near("token|secret|key|password")),
     Rule("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"), any_text, 0.9, _near("token|secret|key|password")),
     Rule("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), mod97, 0.8, _near("iban|account|konto|cuenta|compte|bank")),
     Rule("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), luhn, 0.7, _near("card|visa|credit|karte|carte|tarjeta|payment")),
@@ -76,19 +76,25 @@ RULES = (
     Rule("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), phone_like, 0.7, _near("phone|tel|call|mobile|fax|telefon|téléphone|teléfono")),
     Rule("phone", re.compile(r"(?<![\w+.-])(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d.-])"), phone_like, 0.5, _near("phone|tel|call|mobile|fax|telefon|téléphone|teléfono")),
 )
-#: Kinds whose pattern may take neighbouring groups along.
-CUT = ("card", "iban")
+#: Kinds whose pattern may take neighbouring groups along, and how many signs their spans have.
+CUT = {"card": (13, 19), "iban": (15, 34)}
 AGAINST = _near("version|isbn|issn|doi|order|invoice|part|serial|example")
-#: What every rule's spans contain, for the vectorised first look.
-HINT = r"@|\d\d.?\d|\d[ -]\d[ -]\d|AKIA[0-9A-Z]{16}|\d\.\d|[:=]\s*[\"']?[A-Za-z0-9_\-/+.]{12}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-"
+#: The first look, in parts of which each rule's pattern plainly holds one: an at sign, two
+#: digits with at most one sign between, a key's first letters, or a word that names a secret.
+HINT = r"@|\p{Nd}[ .-]?\p{Nd}|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?i:key|token|secret|passw|pwd)"
 
 
 def _cuts(rule: Rule, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The longest valid part of a span that starts with one of its groups and
     ends with one, of those the first; groups are what separators divide."""
     groups = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^ -]+", text[a:b])]
-    parts = sorted(((start, end) for i, (start, _) in enumerate(groups) for _, end in groups[i:]), key=lambda x: (x[0] - x[1], x[0]))
-    return next(((x, y) for x, y in parts if rule.pattern.fullmatch(text[x:y]) and rule.valid(text[x:y])), None)
+    upto = [0]
+    for start, end in groups:
+        upto.append(upto[-1] + end - start)
+    least, most = CUT[rule.kind]
+    some = ((i, j) for i in range(len(groups)) for j in range(i, len(groups)) if least <= upto[j + 1] - upto[i] <= most)
+    parts = sorted(((groups[i][0], groups[j][1]) for i, j in some), key=lambda x: (x[0] - x[1], x[0]))
+    return next(((x, y) for x, y in parts if rule.valid(text[x:y]) and rule.pattern.fullmatch(text[x:y])), None)
 
 
 def _proposals(rule: Rule, text: str):
