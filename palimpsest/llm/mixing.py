@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 
 from palimpsest.storage import small_side, stash
 
+#: Uses of a token at most; the cost of a token that no document can give.
 REPEATS, SHORT = 4, 10_000
-BUCKETS = 4096
+BUCKETS = 1 << 16
+#: What languages and sources get of the budget together, and how far each one's
+#: share follows its size (0: all the same, 1: in proportion).
+FAMILIES, POWER = {"lang": 0.8, "source": 0.2}, 0.3
 
 
 class Plan(NamedTuple):
     flows: dict[tuple[str, str], int]  # (pattern, source): tokens
     short: dict[str, int]  # source: tokens of its quota that nothing can fill
     cost: int
+    quotas: dict[str, int]
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], start: int, end: int, amount: int) -> list[int]:
@@ -85,18 +90,20 @@ def plan_flow(patterns: dict[str, tuple[list[str], int]], quotas: dict[str, int]
         kinds += [s, None]
     flow = min_cost_flow(len(names) + len(sources) + 2, arcs, 0, 1, sum(quotas.values()))
     flows = {k: f for k, f in zip(kinds, flow) if isinstance(k, tuple) and f}
-    return Plan(flows, {k: f for k, f in zip(kinds, flow) if isinstance(k, str) and f}, sum(f * a[3] for f, a in zip(flow, arcs)))
+    return Plan(flows, {k: f for k, f in zip(kinds, flow) if isinstance(k, str) and f}, sum(f * a[3] for f, a in zip(flow, arcs)), quotas)
 
 
-def tempered(patterns: dict[str, tuple[list[str], int]], budget: int, power: float) -> dict[str, int]:
-    """Quotas that add up to ``budget``: each source weighs its tokens to ``power``,
-    within its family (the part of its name before the colon), and families weigh the same."""
+def tempered(patterns: dict[str, tuple[list[str], int]], budget: int, power: float = POWER, families: dict[str, float] | None = None) -> dict[str, int]:
+    """Quotas that add up to ``budget``: each source weighs its tokens to ``power``
+    within its family (the part of its name before the colon), and a family what
+    ``families`` says, or 1; weights of families that occur are scaled to add up to one."""
     sizes: dict[str, dict[str, int]] = {}
     for members, tokens in patterns.values():
         for s in members:
             family = sizes.setdefault(s.partition(":")[0], {})
             family[s] = family.get(s, 0) + tokens
-    weights = {s: (n**power) / sum(m**power for m in f.values() if m) / len(sizes) for f in sizes.values() for s, n in f.items() if n}
+    given = {k: (FAMILIES if families is None else families).get(k, 1) for k in sizes}
+    weights = {s: given[k] / sum(given.values()) * n**power / sum(m**power for m in f.values() if m) for k, f in sizes.items() for s, n in f.items() if n}
     ends, total, out = 0, 0.0, {}
     for s in sorted(weights):
         total += weights[s]
@@ -116,53 +123,68 @@ def token_count(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("bigint")
 
 
-def select_documents(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, power: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> tuple[DataFrame, Plan]:
+def select_documents(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, power: float = POWER, families: dict[str, float] | None = None, repeats: int = REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> tuple[DataFrame, Plan]:
     """(row, doc_id, pattern, n_tokens, copies) of the rows that are used, and the plan.
 
     ``row`` is the whole row as a struct, ``copies`` how often it is used.
     ``budget`` is in parts of all tokens; ``weights`` gives each source's share of
-    it (they are scaled to add up to one), by default ``tempered`` ones. A pattern
-    with flow f over t tokens uses each of its rows f // t times, and once more
+    it (they are scaled to add up to one), by default ``tempered`` ones. No token is
+    used more than ``repeats`` times; what quotas lack then is in the plan's ``short``.
+    A pattern with flow f over t tokens uses each of its rows f // t times, and once more
     those whose predecessors in the seeded order have fewer than f % t tokens. The
-    order goes by a hash of seed, id and text, then by id and text; equal rows
+    order goes by two hashes of seed, id and text; rows of one id and text
     follow each other. Null sources are named ``?``. Rows without text have no
     tokens, so they aren't used. No rows, or none with tokens, give no rows. Only the
     patterns' totals reach the driver.
     """
     spark = docs.sparkSession
     sources = F.array_sort(F.array_distinct(sources if sources is not None else default_sources()))
-    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("m_text"), F.array_join(sources, "\x1f").alias("pattern"))
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "m_text")
-    rows = wide.select("row", "doc_id", "m_text", "pattern", token_count(F.col("m_text")).alias("n_tokens"), hashed.alias("h")).filter("n_tokens > 0")
+    text, name = docs[text_col], docs[id_col].cast("string")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), F.array_join(sources, "\x1f").alias("pattern"),
+        token_count(text).alias("n_tokens"), F.xxhash64(F.lit(seed), name, text).alias("h"), F.xxhash64(text, F.lit(seed), name).alias("g"),
+    ).filter("n_tokens > 0")
     rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int"))
     sums = stash(rows.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n")), "buckets")
     patterns = {r.pattern: (r.pattern.split("\x1f"), r.n) for r in sums.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     total = sum(n for _, n in patterns.values())
     if weights is None:
-        quotas = tempered(patterns, round(total * budget), power)
+        quotas = tempered(patterns, round(total * budget), power, families)
     else:
         quotas = {s: round(total * budget * w / sum(weights.values())) for s, w in weights.items()}
-    plan = plan_flow(patterns, quotas)
+    plan = plan_flow(patterns, quotas, repeats)
     used: dict[str, int] = {}
     for (p, _), f in plan.flows.items():
         used[p] = used.get(p, 0) + f
     made = [(p, used.get(p, 0) // n, used.get(p, 0) % n) for p, (_, n) in patterns.items()]
     limits = stash(spark.createDataFrame(made, "pattern string, full bigint, rest bigint"), "limits")
-    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")
-    cut = sums.withColumn("before", before).join(small_side(limits), "pattern").filter("before < rest AND before + n >= rest")
-    cut = stash(cut.select("pattern", F.col("bucket").alias("cut"), "before"), "cuts")
-    at = stash(limits.join(small_side(cut), "pattern", "left"), "limits")  # without a rest there is no cut
-    known = rows.join(small_side(at), "pattern")
-    outside = known.filter("cut IS NULL OR bucket <> cut").withColumn("copies", F.col("full") + F.coalesce((F.col("bucket") < F.col("cut")).cast("bigint"), F.lit(0)))
-    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "m_text").rowsBetween(Window.unboundedPreceding, -1)
-    inside = known.filter("bucket = cut").withColumn("copies", F.col("full") + (F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("rest")).cast("bigint"))
-    kept = [x.filter("copies > 0").select("row", "doc_id", "pattern", "n_tokens", "copies") for x in (outside, inside)]
+    # the bucket in which a pattern's rest ends, then the row, of narrow rows only
+    reached = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket"))
+    cut = sums.withColumn("before", reached - F.col("n")).join(small_side(limits), "pattern").filter("before < rest AND before + n >= rest")
+    cut = stash(cut.select("pattern", F.col("bucket").alias("cut"), "before", "rest"), "cuts")
+    near = rows.select("pattern", "bucket", "h", "g", "n_tokens").join(small_side(cut).withColumnRenamed("cut", "bucket"), ["pattern", "bucket"])
+    each = near.groupBy("pattern", "bucket", "before", "rest", "h", "g", "n_tokens").agg((F.count("*") * F.col("n_tokens")).alias("n"))
+    reached = F.sum("n").over(Window.partitionBy("pattern").orderBy("h", "g", "n_tokens"))
+    last = each.withColumn("before", F.col("before") + reached - F.col("n")).filter("before < rest AND before + n >= rest")
+    last = stash(last.select("pattern", F.struct("bucket", "h", "g").alias("last"), F.ceil((F.col("rest") - F.col("before")) / F.col("n_tokens")).alias("times")), "last")
+    at = stash(limits.join(small_side(last), "pattern", "left"), "limits")  # without a rest there is no last one
+    known = rows.join(small_side(at), "pattern").withColumn("place", F.struct("bucket", "h", "g"))
+    is_last = F.coalesce(F.col("place") == F.col("last"), F.lit(False))
+    others = known.filter(~is_last).withColumn("copies", F.col("full") + F.coalesce((F.col("place") < F.col("last")).cast("bigint"), F.lit(0)))
+    order = Window.partitionBy("pattern").orderBy(F.to_json("row"))  # only rows of one id and text
+    equal = known.filter(is_last).withColumn("copies", F.col("full") + (F.row_number().over(order) <= F.col("times")).cast("bigint"))
+    kept = [x.filter("copies > 0").select("row", "doc_id", "pattern", "n_tokens", "copies") for x in (others, equal)]
     return kept[0].unionByName(kept[1]), plan
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, pattern, n_tokens, copies), as ``select_documents`` says."""
-    return select_documents(docs, **options)[0].select("doc_id", F.translate("pattern", "\x1f", "+").alias("pattern"), "n_tokens", "copies")
+    """(doc_id, pattern, n_tokens, copies), as ``select_documents`` says, and a row
+    with a null doc_id, no copies, and ``short:`` and its name as the pattern for each
+    source whose quota lacks ``n_tokens`` that its documents can't give."""
+    rows, plan = select_documents(docs, **options)
+    rows = rows.select("doc_id", F.translate("pattern", "\x1f", "+").alias("pattern"), "n_tokens", "copies")
+    lacking = [(None, f"short:{s}", n, 0) for s, n in sorted(plan.short.items())]
+    return rows.unionByName(docs.sparkSession.createDataFrame(lacking, rows.schema)) if lacking else rows
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -423,26 +423,62 @@ def test_flow_is_cheapest():
 
 def test_mixture_by_brute_force(spark, awkward):
     docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source"), allowMissingColumns=True)
-    rows, plan = mixing.select_documents(docs, budget=1.3)
-    flows = Counter()
+    for budget, seed in ((1.3, 17), (0.4, 3)):
+        rows, plan = mixing.select_documents(docs, budget=budget, seed=seed)
+        flows = Counter()
+        for (p, _), f in plan.flows.items():
+            flows[p] += f
+        key = F.col("doc_id").cast("string")
+        hashed = docs.select("doc_id", F.array_join(F.array_sort(mixing.default_sources()), "\x1f").alias("p"), mixing.token_count(F.col("text")).alias("n"), F.xxhash64(F.lit(seed), key, "text").alias("h"), F.xxhash64("text", F.lit(seed), key).alias("g"))
+        want = Counter()
+        groups = defaultdict(list)
+        for r in hashed.filter("n > 0").collect():
+            groups[r.p].append(r)
+        for p, members in groups.items():
+            total = sum(r.n for r in members)
+            full, rest, before = flows[p] // total, flows[p] % total, 0
+            for r in sorted(members, key=lambda r: (r.h % mixing.BUCKETS, r.h, r.g)):
+                n = full + (before < rest)
+                before += r.n
+                if n:
+                    want[r.doc_id, p, r.n, n] += 1
+        assert Counter((r.doc_id, r.pattern, r.n_tokens, r.copies) for r in rows.collect()) == want
+    given = mixing.mixture(docs, weights={"lang:en": 2.0, "lang:none": 1.0}, budget=0.1).collect()
+    short = [r for r in given if r.doc_id is None and r.copies == 0]
+    assert len(given) > 1 and all("lang:en" in r.pattern for r in given if r.copies)
+    assert [r.pattern for r in short] == ["short:lang:none"] and short[0].n_tokens > 0
+
+
+def test_mixture_reaches_the_weights(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, plan = mixing.select_documents(docs)
+    got = rows.select("doc_id", "pattern", "n_tokens", "copies").collect()
+    assert any(r.copies > 1 for r in got) and len(got) < docs.filter("text <> ''").count()  # some repeat, some go
+    filled = Counter()
+    for (_, s), f in plan.flows.items():
+        filled[s] += f
+    assert not plan.short and filled == Counter(plan.quotas)
+    tokens, flow, largest = Counter(), Counter(), Counter()
+    for r in got:
+        tokens[r.pattern] += r.n_tokens * r.copies
+        largest[r.pattern] = max(largest[r.pattern], r.n_tokens)
     for (p, _), f in plan.flows.items():
-        flows[p] += f
-    hashed = docs.select("doc_id", "text", F.array_join(F.array_sort(mixing.default_sources()), "\x1f").alias("p"), mixing.token_count(F.col("text")).alias("n"), F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "text").alias("h"))
-    want = Counter()
-    groups = defaultdict(list)
-    for r in hashed.filter("n > 0").collect():
-        groups[r.p].append(r)
-    for p, members in groups.items():
-        total = sum(r.n for r in members)
-        full, rest, before = flows[p] // total, flows[p] % total, 0
-        for r in sorted(members, key=lambda r: (r.h % mixing.BUCKETS, r.h, (r.doc_id is not None, r.doc_id or 0), r.text)):
-            n = full + (before < rest)
-            before += r.n
-            if n:
-                want[r.doc_id, p, r.n, n] += 1
-    assert Counter((r.doc_id, r.pattern, r.n_tokens, r.copies) for r in rows.collect()) == want
-    given = mixing.mixture(docs, weights={"lang:en": 2.0, "lang:none": 1.0}, budget=0.1).toArrow()
-    assert given.num_rows and all("lang:en" in p for p in given.column("pattern").to_pylist())
+        flow[p] += f
+    assert all(f <= tokens[p] < f + largest[p] for p, f in flow.items())
+    # what is selected can be shared out so that each source has its quota, but for the last documents
+    total = sum(tokens.values())
+    for s, q in plan.quotas.items():
+        own = sum(f * tokens[p] / flow[p] for (p, t), f in plan.flows.items() if t == s)
+        assert own / total == pytest.approx(q / sum(plan.quotas.values()), abs=0.02), s
+    english = sum(n for p, n in tokens.items() if p.startswith("lang:en")) / total
+    assert english < sum(r.n for r in docs.filter("lang = 'en'").agg(F.sum(F.length("text")).alias("n")).collect()) / docs.agg(F.sum(F.length("text")).alias("n")).first().n - 0.05
+
+
+def test_no_token_is_used_more_than_repeats(spark):
+    docs = spark.createDataFrame([(1, "a" * 400, "x", "s"), (2, "b" * 400, "y", "s")], "doc_id long, text string, lang string, source string")
+    for repeats in (1, 3):
+        got = {r.pattern: (r.copies, r.n_tokens) for r in mixing.mixture(docs, weights={"lang:x": 1.0}, budget=4.0, repeats=repeats).collect()}
+        assert got == {"lang:x+source:s": (repeats, 100), "short:lang:x": (0, 800 - 100 * repeats)}
 
 
 def test_neighbours_by_brute_force(spark):
