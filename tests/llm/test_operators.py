@@ -169,6 +169,33 @@ def test_chat(spark):
     assert chat.collapse_and_render(turns.limit(0)).count() == 0
 
 
+def chat_rows(spark, rows, tmp_path):
+    """The operator's rows and those of its SQL."""
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.sql(ORACLES["op4_chat_snapshots"]).to_arrow_table().select(["conv_id", "n_turns", "chat"]).to_pylist()
+    got = chat.collapse_and_render(spark.read.parquet(f"{tmp_path}/c")).toArrow().to_pylist()
+    return [sorted((tuple(r.values()) for r in x), key=repr) for x in (got, want)]
+
+
+def test_chat_with_ties(spark, tmp_path):
+    rng = random.Random(14)
+    rows = []
+    for c in range(120):
+        for _ in range(rng.randrange(1, 5)):  # few values: many ties, repeated rows, nulls and empty texts
+            rows.append((c if c else None, rng.choice([None, 0, 1, 1]), rng.choice([None, "user", "", "\x00null"]), rng.choice([None, "", "a", "b", "\x00null"])))
+    got, want = chat_rows(spark, rows, tmp_path)
+    assert got == want and 1 < len(got) < 119
+
+
+def test_chat_of_long_texts(spark, tmp_path):
+    long = "long \U0001f642 " * 40_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "bot", ""), (3, 0, "user", long + "."), (4, 0, "user", ""), (4, 0, "user", ""), (5, 0, "user", "")]
+    got, want = chat_rows(spark, rows, tmp_path)
+    assert got == want and [r[0] for r in got] == [2, 3, 4]
+
+
 def test_masks_cover_the_radius():
     masks = [m % (1 << 64) for m in simhash.covering_masks()]
     assert {m.bit_count() for m in masks} == {32}
