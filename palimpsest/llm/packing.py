@@ -1,13 +1,18 @@
 """Operator 6, packing related documents into windows.
 
-A document is the set of its lower-cased words. Each distinct set is joined with
-the others of the highest Jaccard similarity (exactly: all are compared), the
-undirected graph of these pairs is walked whole, always starting from the unvisited
-document of the lowest degree and going on to the nearest unvisited neighbour,
-and windows are filled along these paths.
-
-``profiles`` and ``neighbours``, an exact search among four-dimensional
-projections of word sets, say little of relatedness; packing doesn't use them.
+A document is the set of its lower-cased words, a word weighs the square of its
+inverse document frequency, and two documents are as alike as the weighted Jaccard
+similarity of their sets. Each distinct set gets a sketch: the words race, those
+of more weight faster, and the first one in each of ``BINS`` parts of the words
+stays; the share of equal bins estimates the similarity. The sketches are sorted in
+``ORDERS`` orders, each by other bins first, in which alike sets come to lie near
+each other, and a set's neighbours are the most alike of the ``REACH`` before and
+after it in each order. No set of documents is compared all with all, and no order
+has buckets that a hot group could fill.
+
+Paths come from the undirected graph of these pairs by greedy choice: pairs of
+documents of low degree first, then the nearest, each taken if both documents are
+still ends of different paths. Windows are filled along the paths.
 """
 
 from __future__ import annotations
@@ -15,279 +20,30 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import HASH_BASE, map_text, mix64, strings, words_of
-from palimpsest.llm.components import connected_components
+from palimpsest.llm.arrow import HASH_BASE, concatenated, map_text, mix64, strings, words_of
 from palimpsest.storage import small_side, stash
 
-DIMS, NEAREST, WINDOW = 4, 5, 2048
-CELL, MOST_CELLS, SAMPLE = 1000, 1 << 16, 32
-#: Sets and words of a block of the search, and numbers of 64 bits for its frequent words.
-BLOCK, ENTRIES, PLANES = 32_768, 8_000_000, 3
-AXES = [f"x{i}" for i in range(DIMS)]
-POINT = ", ".join(f"{a} float" for a in AXES)
-
-
-def profiles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (zero without words), and numbers of words."""
-    n = len(texts)
-    row, _, _, _, hashes = words_of(texts)
-    count = np.bincount(row, minlength=n)
-    if not len(row):
-        return np.zeros((n, DIMS), np.float32), count
-    _, first, each = np.unique(hashes, return_index=True, return_inverse=True)
-    pairs = np.unique(row.astype(np.int64) * len(first) + each)
-    row, word = np.divmod(pairs, len(first))
-    # 16 bits of the hash for each axis, as a centred number
-    parts = hashes[first].view(np.uint16).reshape(-1, 4)[:, :DIMS].astype(np.float64) - 32767.5
-    total = np.stack([np.bincount(row, weights=parts[word, i], minlength=n) for i in range(DIMS)], axis=1)
-    norm = np.sqrt((total**2).sum(axis=1, keepdims=True))
-    return (total / np.where(norm == 0, 1, norm)).astype(np.float32) + np.float32(0), count
-
-
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x0..x3, n_words) of the rows that have a word."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
-    def run(chunk: pa.RecordBatch):
-        x, n = profiles_of(strings(chunk.column(1)))
-        full = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(full)), *[pa.array(x[full, i]) for i in range(DIMS)], pa.array(n[full].astype(np.int64))], ["doc_id", *AXES, "n_words"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return map_text(rows, run, f"doc_id {kind}, {POINT}, n_words bigint")
-
-
-class Tree:
-    """A k-d tree over a sample of the points. Its leaves are the cells; which
-    points it was made of only decides how even they are."""
-
-    def __init__(self, sample: np.ndarray, cells: int):
-        self.axis, self.at, self.left, self.right, self.cell, self.cells = [], [], [], [], [], 0
-        self._grow(sample, cells)
-        self.axis, self.at = np.array(self.axis), np.array(self.at, np.float32)
-
-    def _grow(self, points: np.ndarray, cells: int) -> int:
-        node = len(self.axis)
-        for x in (self.axis, self.left, self.right, self.cell):
-            x.append(-1)
-        self.at.append(0.0)
-        if cells > 1 and len(points) > 1:
-            axis = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
-            values = np.sort(points[:, axis])
-            at = values[len(values) * (cells // 2) // cells]
-            below = points[:, axis] < at
-            if below.any() and not below.all():
-                self.axis[node], self.at[node] = axis, at
-                self.left[node] = self._grow(points[below], cells // 2)
-                self.right[node] = self._grow(points[~below], cells - cells // 2)
-                return node
-        self.cell[node] = self.cells
-        self.cells += 1
-        return node
-
-    def home(self, points: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(points), np.int32), [(0, np.arange(len(points)))]
-        while todo:
-            node, rows = todo.pop()
-            if self.axis[node] < 0:
-                out[rows] = self.cell[node]
-                continue
-            low = points[rows, self.axis[node]] < self.at[node]
-            todo += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
-        return out
-
-    def reached(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all cells within ``reach`` (a squared distance) of each point."""
-        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        todo = [(0, np.arange(len(points)), np.zeros((len(points), DIMS)))]
-        while todo:
-            node, at, gaps = todo.pop()
-            if not len(at):
-                continue
-            if self.axis[node] < 0:
-                rows.append(at)
-                cells.append(np.full(len(at), self.cell[node], np.int32))
-                continue
-            axis = self.axis[node]
-            gap = points[at, axis].astype(np.float64) - float(self.at[node])
-            for child, beyond in ((self.left[node], gap >= 0), (self.right[node], gap < 0)):
-                there = gaps.copy()
-                there[beyond, axis] = np.maximum(there[beyond, axis], gap[beyond] ** 2)
-                near = there.sum(axis=1) <= reach[at]
-                todo.append((child, at[near], there[near]))
-        return np.concatenate(rows), np.concatenate(cells)
-
-
-def _matrix(table: pa.Table | pa.RecordBatch, names: list[str] = AXES) -> np.ndarray:
-    return np.stack([table.column(n).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(n).to_numpy() for n in names], axis=1)
-
-
-def nearest(queries: np.ndarray, points: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and squared distances of the ``k`` nearest points of each query,
-    nearest first, by place on ties; ``own`` if the queries are the points, which
-    then leave themselves out."""
-    k = min(k, len(points) - own)
-    if k <= 0 or not len(queries):
-        return np.zeros((len(queries), max(k, 0)), np.int64), np.zeros((len(queries), max(k, 0)))
-    index, dist = [], []
-    for a in range(0, len(queries), 2000):
-        part = queries[a : a + 2000].astype(np.float64)
-        d = np.zeros((len(part), len(points)))
-        for i in range(DIMS):
-            d += (part[:, i, None] - points[None, :, i].astype(np.float64)) ** 2
-        if own:
-            d[np.arange(len(part)), a + np.arange(len(part))] = np.inf
-        far = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < d.shape[1] else d.max(axis=1)[:, None]
-        rows, at = np.nonzero(d <= far)  # with all ties of the farthest
-        order = np.lexsort((*points[at].T[::-1], d[rows, at], rows))
-        rows, at = rows[order], at[order]
-        heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        take = heads[:, None] + np.arange(k)
-        index.append(at[take])
-        dist.append(d[np.arange(len(part))[:, None], at[take]])
-    return np.concatenate(index), np.concatenate(dist)
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, cell: np.ndarray, home: np.ndarray, d: np.ndarray) -> pa.Table:
-    """One row for each pair: query point, its cell, the other point, its cell, distance."""
-    return pa.table({**{f"x{i}": a[:, i] for i in range(DIMS)}, "cell": home, **{f"y{i}": b[:, i] for i in range(DIMS)}, "other": cell, "d": d})
-
-
-PAIR = f"{POINT}, cell int, {', '.join(f'y{i} float' for i in range(DIMS))}, other int, d double"
-
-
-def neighbours(points: DataFrame, k: int = NEAREST, cell_size: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """(points with their cell; pairs (x0.., cell, y0.., other, d) of each distinct
-    point with its ``k`` nearest distinct others, ties by coordinates)."""
-    spark = points.sparkSession
-    n = points.count()
-    cells = max(1, min(MOST_CELLS, round(n / cell_size)))
-    share = min(1.0, SAMPLE * cells / max(n, 1))
-    sampled = points.filter(F.pmod(F.xxhash64(F.lit(5), *AXES), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
-    tree = Tree(_matrix(sampled), cells)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def place(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.home(_matrix(b)))], [*AXES, "cell"])
-
-    placed = stash(points.mapInArrow(place, f"{POINT}, cell int"), "cells")
-
-    def within(table: pa.Table) -> pa.Table:
-        x = _matrix(table)
-        at, d = nearest(x, x, k, True)
-        rows = np.repeat(np.arange(len(x)), at.shape[1])
-        home = table.column("cell").to_numpy()
-        got = _pairs(x[rows], x[at.ravel()], home[rows], home[rows], d.ravel())
-        if at.shape[1] == k:
-            return got
-        few = _pairs(x, x, home, home, np.full(len(x), np.inf))  # its cell has too few: look everywhere
-        return pa.concat_tables([got, few])
-
-    near = stash(placed.groupBy("cell").applyInArrow(within, PAIR), "within")
-    reach = near.groupBy(*AXES, "cell").agg(F.max("d").alias("d"))
-
-    def spread(batches):
-        for b in batches:
-            if b.num_rows:
-                home = b.column("cell").to_numpy()
-                rows, cell = shared.value.reached(_matrix(b), b.column("d").to_numpy() * (1 + 1e-9))
-                away = cell != home[rows]
-                rows, cell = rows[away], cell[away]
-                kept = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell)], [*AXES, "cell", "d", "to"])
-
-    asked = reach.select(*AXES, "cell", "d").mapInArrow(spread, f"{POINT}, cell int, d double, to int")
-    both = asked.unionByName(placed.select(*AXES, "cell", F.lit(None).cast("double").alias("d"), F.col("cell").alias("to")))
-
-    def across(table: pa.Table) -> pa.Table:
-        d, home = table.column("d").to_numpy(), table.column("cell").to_numpy()
-        x, asks = _matrix(table), ~np.isnan(d)
-        q, p = x[asks], x[~asks]
-        at, dist = nearest(q, p, k, False)
-        rows = np.repeat(np.arange(len(q)), at.shape[1])
-        good = dist.ravel() <= d[asks][rows] * (1 + 1e-9)
-        rows, at, dist = rows[good], at.ravel()[good], dist.ravel()[good]
-        cell = np.full(len(rows), table.column("to")[0].as_py() if table.num_rows else 0, np.int32)
-        return _pairs(q[rows], p[at], cell, home[asks][rows], dist)
-
-    far = both.groupBy("to").applyInArrow(across, PAIR)
-    ys = [f"y{i}" for i in range(DIMS)]
-    best = F.slice(F.sort_array(F.collect_list(F.struct("d", *ys, "other"))), 1, k)
-    all_pairs = near.filter("d < double('inf')").unionByName(far).groupBy(*AXES, "cell").agg(best.alias("near"))
-    pairs = all_pairs.select(*AXES, "cell", F.explode("near").alias("n")).select(*AXES, "cell", *[f"n.{y}" for y in ys], "n.other", "n.d")
-    return placed, pairs
-
-
-def walk(degree: np.ndarray, heads: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(path, place in path) of each node; ``to[heads[i]:heads[i + 1]]`` are i's neighbours, nearest first."""
-    n = len(degree)
-    path, place, seen = np.zeros(n, np.int32), np.zeros(n, np.int32), bytearray(n)
-    h, t, number = heads.tolist(), to.tolist(), 0
-    for first in np.argsort(degree, kind="stable").tolist():
-        if seen[first]:
-            continue
-        at, step = first, 0
-        while at >= 0:
-            seen[at], path[at], place[at] = 1, number, step
-            at, step = next((y for y in t[h[at] : h[at + 1]] if not seen[y]), -1), step + 1
-        number += 1
-    return path, place
-
-
-class Block:
-    """An inverted index over the word sets of some distinct nodes. Words that
-    many nodes have are bits of a few numbers for each node, the others lists of nodes."""
-
-    def __init__(self, keys: np.ndarray, sizes: np.ndarray, words: np.ndarray):
-        node, order = np.repeat(np.arange(len(keys)), sizes), np.argsort(words)
-        words, self.nodes = words[order], node[order]
-        heads = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.zeros(0, np.int64)
-        self.keys, self.sizes, self.words = keys, sizes.astype(np.float64), words[heads]
-        self.starts, self.ends = heads, np.r_[heads[1:], len(words)][: len(heads)]
-        count = self.ends - self.starts
-        often = np.argsort(-count, kind="stable")[: PLANES * 64]
-        often = often[count[often] > len(keys) // 20]
-        self.bit = np.full(len(heads), -1)
-        self.bit[often] = np.arange(len(often))
-        self.planes = np.zeros((-(-len(often) // 64), len(keys)), np.uint64)
-        for i, w in enumerate(often.tolist()):
-            self.planes[i // 64, self.nodes[self.starts[w] : self.ends[w]]] |= np.uint64(1 << i % 64)
-
-    def nearest(self, key: int, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and distances (1 - Jaccard) of the ``k`` most similar other nodes
-        that share a word with a set, nearest first, by key on ties."""
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        at = at[self.words[at] == words]
-        bit = self.bit[at]
-        rare = at[bit < 0]
-        lists = [self.nodes[a:b] for a, b in zip(self.starts[rare].tolist(), self.ends[rare].tolist())]
-        hits = np.bincount(np.concatenate(lists), minlength=len(self.keys)) if lists else np.zeros(len(self.keys), np.int64)
-        bit = bit[bit >= 0]
-        if len(bit):
-            shared = np.zeros(len(self.keys), np.uint8)  # at most 64 * PLANES
-            for i, plane in enumerate(self.planes):
-                if len(mine := bit[bit // 64 == i] % 64):
-                    shared += np.bitwise_count(plane & np.bitwise_or.reduce(np.uint64(1) << mine.astype(np.uint64)))
-            hits += shared
-        alike = hits / (self.sizes + len(words) - hits)
-        own = int(np.searchsorted(self.keys, key))
-        if own < len(self.keys) and self.keys[own] == key:
-            alike[own] = 0
-        some = alike[:: max(1, len(alike) // 2000)]
-        least = np.partition(some, -k)[-k] if len(some) >= k else 0.0  # the k-th of all is no less
-        good = np.flatnonzero(alike >= least if least > 0 else alike > 0)
-        good = good[np.lexsort((self.keys[good], -alike[good]))][:k]
-        return self.keys[good], 1 - alike[good]
+NEAREST, WINDOW = 5, 2048
+#: Bins of a sketch, orders, and places before and after that are compared in each.
+BINS, ORDERS, REACH = 128, 8, 32
+#: Counters of document frequencies; words that share one count together.
+COUNTERS = 1 << 18
+#: Rows of a cell of an order on average, cells at most, rows sampled for a cell.
+CELL, MOST_CELLS, SAMPLE = 16_384, 1 << 14, 32
+#: A path takes no more documents once it would hold more words than this.
+PATH_WORDS = 1 << 20
+#: Pairs that one task may choose among; more are chosen in rounds over all tasks, with the same result.
+ALONE = 1 << 19
+KEYS = [f"k{i}" for i in range(ORDERS)]
+LOW7, TOP = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
 def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_words, words) of the rows that have a word: the hashes of
-    the set of lower-cased words, in order, as bytes, and a hash of the set."""
+    """(doc_id, key, n_words, words) of the rows that have a word: 32-bit hashes of
+    the set of lower-cased words, in order, as bytes, and a 64-bit hash of the set."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(chunk: pa.RecordBatch):
@@ -302,102 +58,294 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         full = np.flatnonzero(count)
         heads = np.searchsorted(row, full)
         key = np.add.reduceat(mix64(hashes ^ np.uint64(HASH_BASE)), heads).view(np.int64)
-        offsets = (np.r_[heads, len(row)] * 8).astype(np.int32)
-        sets = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(hashes)])
+        offsets = (np.r_[heads, len(row)] * 4).astype(np.int32)
+        sets = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer((hashes >> np.uint64(32)).astype(np.uint32))])
         yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(full)), pa.array(key), pa.array(count[full].astype(np.int64)), sets], ["doc_id", "key", "n_words", "words"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary")
 
 
-def related(found: DataFrame, k: int = NEAREST, block_size: int = BLOCK) -> DataFrame:
-    """(key, other, d): each distinct word set of ``found`` (a stashed table) with
-    the ``k`` others of the highest Jaccard similarity, ties by key; d is 1 less it.
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each word of a binary column, and the words."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
+    return np.repeat(np.arange(len(column)), sizes), np.frombuffer(concatenated(column), np.uint32)
+
+
+def weights(found: DataFrame) -> np.ndarray:
+    """The weight of the words of each counter, from all rows of ``word_sets``."""
 
-    All sets are compared with all: the index of one block of sets after the
-    other is sent to the workers, which ask it for each set. A block has some
-    ``block_size`` sets and at most some ``ENTRIES`` words. Sets that share no word are no pair.
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount(_words(b.column(0))[1] % COUNTERS, minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["counter", "n"])
+
+    rows = found.select("words").mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    n = np.ones(COUNTERS)
+    n[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+    return np.log1p(found.count() / n) ** 2
+
+
+def sketch_of(row: np.ndarray, words: np.ndarray, n: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n x ``BINS`` bytes, n x ``ORDERS`` sort keys). A byte is 1 to 255 for the
+    bin's winner, 0 if no word is in the bin; a key starts with the whole hash of one bin's winner
+    and goes on with parts of two others', where an empty bin borrows from the next one."""
+    mixed = mix64(words.astype(np.uint64) * np.uint64(HASH_BASE) + np.uint64(1))
+    bin_of = (mixed & np.uint64(BINS - 1)).astype(np.int64)
+    time = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)) / weight[words % COUNTERS]
+    entry = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | words  # times are positive, so their bits are in order
+    best = np.full(n * BINS, np.iinfo(np.uint64).max)
+    np.minimum.at(best, row * BINS + bin_of, entry)
+    best = best.reshape(n, BINS)
+    full = best != np.iinfo(np.uint64).max
+    winner = mix64((best & np.uint64(0xFFFFFFFF)) + np.uint64(HASH_BASE))
+    sketch = np.where(full, 1 + winner % np.uint64(255), np.uint64(0)).astype(np.uint8)
+
+    def lead(at: int) -> np.ndarray:
+        next_full = np.argmax(np.roll(full, -at, axis=1), axis=1)
+        return winner[np.arange(n), (at + next_full) % BINS] >> np.uint64(32)
+
+    step = BINS // ORDERS
+    keys = [(lead(i * step) << np.uint64(32)) | (lead(i * step + step // 3) & np.uint64(0xFFFF)) << np.uint64(16) | (lead(i * step + 2 * step // 3) & np.uint64(0xFFFF)) for i in range(ORDERS)]
+    return sketch, (np.stack(keys, axis=1) if n else np.zeros((0, ORDERS), np.uint64)).view(np.int64)
+
+
+def sketches(found: DataFrame) -> DataFrame:
+    """(key, sketch, k0..): a row for each distinct set of ``found``."""
+    shared = found.sparkSession.sparkContext.broadcast(weights(found).astype(np.float32))
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                row, words = _words(part.column(1))
+                made, keys = sketch_of(row, words, part.num_rows, shared.value)
+                offsets = (np.arange(part.num_rows + 1) * BINS).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(made.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed, *[pa.array(keys[:, i].copy()) for i in range(ORDERS)]], ["key", "sketch", *KEYS])
+
+    return found.select("key", "words").mapInArrow(run, f"key bigint, sketch binary, {', '.join(f'{k} bigint' for k in KEYS)}").dropDuplicates(["key"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row, as eight bytes a number."""
+    x, both = a ^ b, a | b
+    zero = lambda v: np.bitwise_count(~(((v & LOW7) + LOW7) | v | LOW7) & TOP).sum(axis=1, dtype=np.int32)
+    empty = zero(both)
+    return ((zero(x) - empty) / np.maximum(BINS - empty, 1)).astype(np.float32)
+
+
+def nearest_in_order(cell: np.ndarray, key: np.ndarray, sketch: np.ndarray, reach: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the k most alike of the ``reach`` rows before and after each row
+    within its cell, similarity, 0 where there is none), nearer places first on ties."""
+    n = len(key)
+    score = np.zeros((n, 2 * reach), np.float32)
+    for s in range(1, min(reach, n - 1) + 1):
+        got = np.where(cell[s:] == cell[:-s], alike(sketch[s:], sketch[:-s]), np.float32(0))
+        score[:-s, 2 * s - 2], score[s:, 2 * s - 1] = got, got
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    places = np.arange(n)[:, None] + np.where(best % 2 == 0, best // 2 + 1, -(best // 2 + 1))
+    return np.clip(places, 0, max(n - 1, 0)), np.take_along_axis(score, best, axis=1)
+
+
+def related(made: DataFrame, k: int = NEAREST, reach: int = REACH, cell_rows: int = CELL) -> DataFrame:
+    """(key, near array<struct<d, other>>): the ``k`` nearest others that any order shows
+    for each row of ``made`` (stashed ``sketches``), nearest first, ties by key; d is 1 less the
+    estimated similarity. Sets without an equal bin are no pair.
+
+    An order is cut into cells of some ``cell_rows`` rows at the keys of a sample by hash,
+    so that the result depends on the rows alone. Keys that many sets share
+    are cut by the sets' own hashes, so that every cell is small.
     """
-    spark = found.sparkSession
-    n, entries = found.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0)) / 8).first()
-    blocks = max(1, -(-n // block_size), -(-int(entries) // ENTRIES))
-    sets, parts = found.select("key", "words"), []
-    for b in range(blocks):
-        table = sets.filter(F.pmod("key", F.lit(blocks)) == b).toArrow()
-        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
-        own = table.column("words").take(pa.array(first)).to_pylist()
-        index = Block(keys, np.array([len(x) // 8 for x in own], np.int64), np.frombuffer(b"".join(own), np.uint64))
-        if not len(keys):
+    spark = made.sparkSession
+    n = made.count()
+    cells = max(1, min(MOST_CELLS, n // cell_rows))
+    share = min(1.0, SAMPLE * cells / max(n, 1)) if cells > 1 else 0.0
+    sample = made.select("key", *KEYS).filter(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    bounds = []
+    for name in KEYS:
+        x, y = sample.column(name).to_numpy(), sample.column("key").to_numpy()
+        order = np.lexsort((y, x))
+        cut = order[np.arange(1, cells) * len(order) // cells] if len(order) else order
+        bounds.append((x[cut], y[cut]))
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def spread(batches):
+        for b in batches:
+            key = b.column(0).to_numpy()
+            for i, (x, y) in enumerate(shared.value):
+                own = b.column(2 + i).to_numpy()
+                cell = np.searchsorted(x, own, "left")
+                high = np.searchsorted(x, own, "right")
+                for at in np.flatnonzero(high > cell):  # equal to a bound: the set's hash decides
+                    cell[at] += np.searchsorted(y[cell[at] : high[at]], key[at], "right")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32) + ORDERS * cell.astype(np.int32)), pa.array(own), b.column(0), b.column(1)], ["cell", "k", "key", "sketch"])
+
+    def compare(batches):
+        held, known = None, 0  # rows whose followers aren't there yet, after some that are done
+        for b in (*batches, None):
+            if b is not None:
+                new = [b.column(0).to_numpy(), b.column(2).to_numpy(), np.frombuffer(concatenated(b.column(3)), np.uint64).reshape(b.num_rows, BINS // 8)]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None:
+                return
+            cell, key, sketch = held
+            end = len(key) if b is None else max(known, len(key) - reach)
+            if end > known:
+                at, score = nearest_in_order(cell, key, sketch, reach, k)
+                at, score = at[known:end], score[known:end]
+                good = score > 0
+                sizes = good.sum(axis=1)
+                near = pa.StructArray.from_arrays([pa.array(1 - score[good]), pa.array(key[at[good]])], ["d", "other"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), near)
+                yield pa.RecordBatch.from_arrays([pa.array(key[known:end]), lists], ["key", "near"])
+            first = max(0, end - reach)
+            held, known = [x[first:] for x in held], end - first
+
+    placed = made.select("key", "sketch", *KEYS).mapInArrow(spread, "cell int, k bigint, key bigint, sketch binary")
+    near = placed.repartition("cell").sortWithinPartitions("cell", "k", "key").mapInArrow(compare, "key bigint, near array<struct<d:float,other:bigint>>")
+    best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    return near.groupBy("key").agg(best.alias("near"))
+
+
+def graph(near: DataFrame) -> DataFrame:
+    """(u, v, degree, d): the undirected pairs of ``related`` (stashed), u < v, with the lower
+    of the two degrees."""
+    pairs = near.select("key", F.explode("near").alias("n")).select(F.least("key", "n.other").alias("u"), F.greatest("key", "n.other").alias("v"), "n.d").distinct()
+    pairs = stash(pairs, "pairs")
+    degree = stash(pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("n")), "degrees")
+    of = lambda x: small_side(degree).select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", F.least("u_n", "v_n").alias("degree"), "d")
+
+
+def choose(u: np.ndarray, v: np.ndarray, pu: np.ndarray, pv: np.ndarray, order: np.ndarray, ends: dict[int, tuple[int, int, int]], most: int) -> list[tuple[int, int, int, bool]]:
+    """Greedy choice of pairs in ``order``. ``ends``: path to (first, last, words).
+    (path, whole, place, turned) of each path that becomes part of a longer one."""
+    parent = {p: p for p in ends}
+    words = {p: w for p, (_, _, w) in ends.items()}
+    free: dict[int, int] = {}
+    for a, b, _ in ends.values():
+        free[a], free[b] = (2, 2) if a == b else (1, 1)
+    links: dict[int, list[tuple[int, int]]] = {}  # node: (other node, its path)
+
+    def find(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = parent[parent[p]]
+            p = parent[p]
+        return p
+
+    for a, b, x, y in zip(u[order].tolist(), v[order].tolist(), pu[order].tolist(), pv[order].tolist()):
+        if not free[a] or not free[b]:
+            continue
+        p, q = find(x), find(y)
+        if p == q or words[p] + words[q] > most:
             continue
-        shared = spark.sparkContext.broadcast(index)
-
-        def ask(batches, shared=shared):
-            for batch in batches:
-                got = [shared.value.nearest(key, np.frombuffer(words.as_py(), np.uint64), k) for key, words in zip(batch.column(0).to_pylist(), batch.column(1))]
-                if got:
-                    rows = np.repeat(batch.column(0).to_numpy(), [len(x) for x, _ in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(np.concatenate(x)) for x in zip(*got)]], ["key", "other", "d"])
-
-        del table, own, index
-        parts.append(stash(sets.mapInArrow(ask, "key bigint, other bigint, d double"), f"near-{b}"))
-        shared.destroy()
-    if not parts:
-        return spark.createDataFrame([], "key bigint, other bigint, d double")
-    best = F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k)
-    joined = spark.read.schema(parts[0].schema).parquet(*[p.stash_path for p in parts])
-    return joined.groupBy("key").agg(best.alias("near")).select("key", F.explode("near").alias("n")).select("key", "n.other", "n.d")
-
-
-def paths(found: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(key, cell, path, place) of each distinct word set: its place in the walk
-    of its cell, a component of the undirected graph (``cells``: node, label; a node
-    without one has no neighbour). A component is walked in one task, as a walk is
-    sequential, so that no pair is lost."""
-    both = pairs.select("key", "other", "d").unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "d"))
-    lists = both.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("d", "other"))).alias("near"))
-    alone = found.select("key").distinct().join(lists, "key", "left").join(cells.withColumnRenamed("node", "key"), "key", "left")
-    nodes = alone.select("key", F.coalesce("label", "key").alias("cell"), F.coalesce(F.transform("near", lambda x: x.other), F.array().cast("array<bigint>")).alias("near"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        key, near = table.column("key").to_numpy(), table.column("near").combine_chunks()
-        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
-        degree = pc.list_value_length(near).to_numpy(zero_copy_only=False)
-        order = np.lexsort((key, degree))
-        near, key, degree = near.take(pa.array(order)), key[order], degree[order]
-        by_key = np.argsort(key)
-        other = near.flatten().to_numpy(zero_copy_only=False)
-        to = by_key[np.searchsorted(key, other, sorter=by_key)]
-        path, step = walk(degree, np.r_[0, np.cumsum(degree)], to)
-        return pa.table({"key": key, "cell": table.column("cell").take(pa.array(order)), "path": path, "place": step})
-
-    return nodes.groupBy("cell").applyInArrow(run, "key bigint, cell bigint, path int, place int")
-
-
-def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, cell_size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cell, window, n_words, pieces array<struct<doc_id, path, first, last>>), a row for each window.
-
-    A cell is a component of the graph; ``cell_size`` only says how many sets the
-    search indexes at a time, and no row depends on it.
-    A window holds ``window`` words between white space, the last one of a cell
+        low, high = min(p, q), max(p, q)
+        parent[high] = low
+        words[low] += words[high]
+        free[a] -= 1
+        free[b] -= 1
+        links.setdefault(a, []).append((b, y))
+        links.setdefault(b, []).append((a, x))
+    out, seen = [], set()
+    outer = {p: b if a in links and a != b else a for p, (a, b, _) in ends.items() if sum(len(links.get(x, ())) for x in {a, b}) == 1}
+    for path in sorted(outer, key=outer.get):  # a path starts with the smaller of its ends
+        if path in seen:
+            continue
+        came, before, place = outer[path], None, 0  # before: the node that came was reached from
+        while True:
+            first, last, _ = ends[path]
+            out.append((path, find(path), place, first != last and came == last))
+            seen.add(path)
+            leave = last if came == first else first
+            following = [x for x in links.get(leave, ()) if x[0] != before]
+            if not following:
+                break
+            before, (came, path), place = leave, following[0], place + 1
+    return out
+
+
+def paths(nodes: DataFrame, edges: DataFrame, most: int = PATH_WORDS, alone: int = ALONE) -> DataFrame:
+    """(path, key, place struct<at, pos>) of each node (key, words): greedy paths over
+    ``edges`` (u, v, degree, d).
+
+    Pairs are taken in the order of degree, d, u and v, if both nodes are ends of
+    different paths that together have no more than ``most`` words. While there are more than
+    ``alone`` pairs, all that come first for both their paths are taken at once, which gives the
+    same paths, as nothing before them can touch these; then one task goes through the rest.
+    ``path`` is its smallest node, and the smaller of its ends comes first.
+    """
+    spark = nodes.sparkSession
+    now = stash(nodes.select(F.col("key").alias("path"), F.array("key").alias("seq"), "words"), "paths")
+    live = edges.select("u", "v", "degree", "d")
+    first, last = F.element_at("seq", 1), F.element_at("seq", -1)
+    while True:
+        ends = now.select("path", "words", first.alias("first"), last.alias("last"))
+        each = ends.select("path", "words", "first", "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("node"))
+        side = lambda x: each.select(F.col("node").alias(x), F.col("path").alias(f"p{x}"), F.col("words").alias(f"w{x}"), F.struct("path", "first", "last", "words").alias(f"e{x}"))  # noqa: B023, E731
+        live = stash(live.join(side("u"), "u").join(side("v"), "v").filter(f"pu <> pv AND wu + wv <= {most}").select("u", "v", "degree", "d", "pu", "pv", "eu", "ev"), "live")
+        if live.count() <= alone:
+            break
+        best = live.select(F.explode(F.array("pu", "pv")).alias("path"), F.struct("degree", "d", "u", "v", "pu", "pv").alias("e")).groupBy("path").agg(F.min("e").alias("e"))
+        taken = stash(best.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.*"), "taken")
+        one = lambda x: now.select(F.col("path").alias(f"p{x}"), F.col("seq").alias(f"s{x}"), F.col("words").alias(f"w{x}"))  # noqa: B023, E731
+        turned = lambda s, node, at: F.when(F.element_at(s, at) == F.col(node), F.col(s)).otherwise(F.reverse(s))
+        joined = taken.join(one("u"), "pu").join(one("v"), "pv").select(F.least("pu", "pv").alias("path"), F.concat(turned("su", "u", -1), turned("sv", "v", 1)).alias("seq"), (F.col("wu") + F.col("wv")).alias("words"))
+        joined = joined.withColumn("seq", F.when(first <= last, F.col("seq")).otherwise(F.reverse("seq")))
+        gone = taken.select(F.explode(F.array("pu", "pv")).alias("path"))
+        now = stash(now.join(gone, "path", "left_anti").unionByName(joined), "paths")
+        live = live.select("u", "v", "degree", "d")
+
+    def finish(batches):
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables)
+        u, v, degree, d, pu, pv = (t.column(c).to_numpy() for c in ("u", "v", "degree", "d", "pu", "pv"))
+        known = [np.concatenate(x) for x in zip(*([y.to_numpy() for y in t.column(e).combine_chunks().flatten()] for e in ("eu", "ev")))]
+        once = np.unique(known[0], return_index=True)[1]
+        ends = {p: (a, b, w) for p, a, b, w in zip(*(x[once].tolist() for x in known))}
+        got = choose(u, v, pu, pv, np.lexsort((v, u, d, degree)), ends, most)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["path", "whole", "at", "turned"])
+
+    tail = stash(live.coalesce(1).mapInArrow(finish, "path bigint, whole bigint, at int, turned boolean"), "tail")
+    whole = now.join(small_side(tail), "path", "left")
+    seq = F.when(F.coalesce("turned", F.lit(False)), F.reverse("seq")).otherwise(F.col("seq"))
+    return whole.select(F.coalesce("whole", "path").alias("path"), F.coalesce("at", F.lit(0)).alias("at"), F.posexplode(seq).alias("pos", "key")).select("path", "key", F.struct("at", "pos").alias("place"))
+
+
+def neighbour_graph(found: DataFrame, k: int = NEAREST) -> DataFrame:
+    """``graph`` of ``found`` (stashed ``word_sets``)."""
+    return graph(stash(related(stash(sketches(found), "sketches"), k), "near"))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, most: int = PATH_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(path, part, window, n_words, pieces array<struct<doc_id, first, last>>), a row for each window.
+
+    A window holds ``window`` words between white space, the last one of a path
     what is left. ``pieces`` are in order; words ``first`` (from 0) to before
     ``last`` of the document are in this window, so that every word is in exactly one.
-    A path that ends is followed by the cell's next. Documents of one word set, and
-    repeated rows, follow each other by id, nulls first, then by length. Null texts and those
+    Documents of one word set, and repeated rows, follow each other by id, nulls first, then by length;
+    where they alone have more than ``most`` words, they are parted by a hash of the id
+    and length, else ``part`` is 0. A path ends with some ``most`` words. Null texts and those
     without a word are in no window; very long ones fill many. Only the two
     named columns are read. No words give no rows.
     """
     found = stash(word_sets(docs, id_col, text_col), "sets")
-    pairs = stash(related(found, k, cell_size), "pairs")
-    cells = stash(connected_components(pairs.select(F.col("key").alias("a"), F.col("other").alias("b"))), "components")
-    walked = stash(paths(found, pairs, cells), "walked")
-    joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key")
-    order = Window.partitionBy("cell").orderBy("path", "place", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = joined.select("cell", "path", "place", "doc_id", "n_words", F.sum("n_words").over(order).alias("end")).withColumn("start", F.col("end") - F.col("n_words"))
+    nodes = stash(found.groupBy("key").agg(F.sum("n_words").alias("words")), "nodes")
+    walked = stash(paths(nodes, neighbour_graph(found, k), most).join(nodes, "key"), "walked")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(most)))
+    part: Column = F.when(F.col("words") > most, F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "n_words"), parts)).otherwise(F.lit(0)).cast("int")
+    joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key").withColumn("part", part)
+    order = Window.partitionBy("path", "part").orderBy("place", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = joined.select("path", "part", "doc_id", "n_words", F.sum("n_words").over(order).alias("end")).withColumn("start", F.col("end") - F.col("n_words"))
     w = F.lit(window).cast("bigint")
     cut = laid.withColumn("window", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w))))
     low, high = F.greatest("start", F.col("window") * w), F.least("end", (F.col("window") + 1) * w)
-    piece = F.struct(low.alias("at"), "doc_id", "path", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"))
-    packed = cut.groupBy("cell", "window").agg(F.sum(high - low).alias("n_words"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    inner = lambda x: F.struct(x.doc_id.alias("doc_id"), x.path.alias("path"), x["first"].alias("first"), x["last"].alias("last"))
-    return packed.select("cell", "window", "n_words", F.transform("pieces", inner).alias("pieces"))
+    piece = F.struct(low.alias("at"), "doc_id", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"))
+    packed = cut.groupBy("path", "part", "window").agg(F.sum(high - low).alias("n_words"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    inner = lambda x: F.struct(x.doc_id.alias("doc_id"), x["first"].alias("first"), x["last"].alias("last"))
+    return packed.select("path", "part", "window", "n_words", F.transform("pieces", inner).alias("pieces"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, huffman, lattice, mixing, packing, pii, quality, sharding, simhash, winnowing
 from palimpsest.llm.queries import ORACLES, QUERIES
+from palimpsest.storage import stash
 
 SF = "/root/testdata/sf0.001"
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +49,7 @@ EMPTY_OK = {
     "simhash": simhash.near_duplicate_groups,
     "simhash_rows": simhash.drop_near_duplicates,
     "packing": packing.pack,
+    "packing_short": lambda d: packing.pack(d, most=100),
     "pii": pii.annotate,
     "pii_rows": pii.redact,
     "sharding": lambda d: sharding.shards(d, 1000),
@@ -508,37 +510,103 @@ def test_no_token_is_used_more_than_repeats(spark):
         assert got == {"lang:x+source:s": (repeats, 100), "short:lang:x": (0, 800 - 100 * repeats)}
 
 
-def test_neighbours_by_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    points = packing.profiles(docs).select(*packing.AXES).distinct()
-    for size in (20, 1000):
-        _, pairs = packing.neighbours(points, 4, size)
-        found = defaultdict(list)
-        for r in pairs.collect():
-            found[r.x0, r.x1, r.x2, r.x3].append(r.d)
-        all_points = np.array([tuple(r) for r in points.collect()], np.float64)
-        assert len(found) == len(all_points)
-        for x in all_points:
-            d = np.sort(((all_points - x) ** 2).sum(axis=1))[1:5]
-            assert sorted(found[tuple(np.float32(x).tolist())]) == pytest.approx(d.tolist())
-
-
-@pytest.mark.parametrize("block", [50, 1000])
-def test_related_by_brute_force(spark, block):
-    from palimpsest.storage import stash
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.fixture(scope="module")
+def sets(spark):
+    """Word sets of sf0.01 with their keys, the weights, and brute force similarities."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = stash(packing.word_sets(docs), "sets")
-    key = {r.doc_id: r.key for r in found.select("doc_id", "key").collect()}
-    sets = {key[r.doc_id]: frozenset(r.text.lower().encode().split()) for r in docs.collect() if r.doc_id in key}
-    assert len(set(sets.values())) == len(sets)
-    got = defaultdict(dict)
-    for r in packing.related(found, 5, block).collect():
-        got[r.key][r.other] = 1 - r.d
-    for a, x in sets.items():
-        want = sorted((len(x & y) / len(x | y) for b, y in sets.items() if a != b), reverse=True)[:5]
-        assert sorted(got[a].values(), reverse=True) == pytest.approx([w for w in want if w])
-        assert all(len(x & sets[b]) / len(x | sets[b]) == pytest.approx(w) for b, w in got[a].items())
+    weight = packing.weights(found)
+    of = {r.key: np.frombuffer(r.words, np.uint32) for r in found.collect()}
+    keys = sorted(of)
+    total = np.array([weight[of[k] % packing.COUNTERS].sum() for k in keys])
+    posting = defaultdict(list)
+    for i, k in enumerate(keys):
+        for w in of[k].tolist():
+            posting[w].append(i)
+    alike = np.zeros((len(keys), len(keys)))
+    for w, held in posting.items():
+        if len(held) > 1:
+            alike[np.ix_(held, held)] += weight[w % packing.COUNTERS]
+    alike /= total[:, None] + total[None, :] - alike
+    np.fill_diagonal(alike, 0)
+    return docs, found, keys, alike
+
+
+def test_word_sets(spark, sets):
+    docs, found, keys, _ = sets
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in found.collect():
+        assert len(r.words) == 4 * len(set(texts[r.doc_id].lower().split())) and r.n_words == len(texts[r.doc_id].split())
+
+
+def test_neighbours_by_brute_force(spark, sets):
+    _, found, keys, alike = sets
+    place = {k: i for i, k in enumerate(keys)}
+    near = {r.key: [(x.d, x.other) for x in r.near] for r in packing.related(stash(packing.sketches(found), "sketches")).collect()}
+    assert set(near) <= set(keys) and len(near) > 0.98 * len(keys)
+    true = hit = 0
+    for k, row in zip(keys, alike):
+        got = near.get(k, [])
+        assert got == sorted(got) and len({o for _, o in got}) == len(got) <= packing.NEAREST and all(o != k for _, o in got)
+        for i in np.argsort(-row)[: packing.NEAREST]:
+            if row[i] >= 0.2:  # chance reaches a tenth of that
+                true += 1
+                hit += keys[i] in {o for _, o in got} or sum(row[place[o]] >= row[i] - 0.05 for _, o in got) == packing.NEAREST
+    assert true > 50 and hit >= 0.9 * true
+    mean = np.mean([alike[place[k], place[o]] for k, got in near.items() for _, o in got])
+    assert mean > 0.6 * np.sort(alike, axis=1)[:, -packing.NEAREST :].mean() > 3 * alike.mean()
+
+
+def test_sketches_estimate_the_similarity(sets):
+    _, found, keys, alike = sets
+    made = {r.key: np.frombuffer(r.sketch, np.uint64) for r in packing.sketches(found).collect()}
+    pairs = np.argwhere((alike > 0.1) | (np.random.default_rng(0).random(alike.shape) < 0.02))
+    got = packing.alike(*(np.array([made[keys[i]] for i in side]) for side in pairs.T))
+    for low, high in ((0, 0.1), (0.1, 1.1)):  # few pairs lie between
+        some = (alike[tuple(pairs.T)] >= low) & (alike[tuple(pairs.T)] < high)
+        error = got[some] - alike[tuple(pairs.T)][some]
+        assert some.sum() > 20 and abs(error.mean()) < 0.03 and np.sqrt((error**2).mean()) < 0.1, (low, error.mean())
+
+
+def test_cells_do_not_depend_on_partitions(spark, sets):
+    made = stash(packing.sketches(sets[1]), "sketches")
+    one = {r.key: r.near for r in packing.related(made, cell_rows=60).collect()}
+    spread = stash(made.repartition(7), "sketches")
+    assert {r.key: r.near for r in packing.related(spread, cell_rows=60).collect()} == one
+
+
+def test_a_hot_key_is_cut(spark):
+    # one key for all: the sets' hashes part them into cells
+    row = spark.range(4000).select(F.xxhash64("id").alias("key"), F.encode(F.lpad(F.lit("a"), packing.BINS, "a"), "utf-8").alias("sketch"), *[F.lit(5).cast("bigint").alias(k) for k in packing.KEYS])
+    got = packing.related(stash(row, "hot"), cell_rows=100).collect()
+    assert len(got) == 4000 and all(len(r.near) == packing.NEAREST and r.near[0].d == 0 for r in got)
+
+
+def greedy(words, edges, most):
+    """Paths by going through all pairs in order."""
+    path = {k: [k] for k in words}
+    for degree, d, u, v in sorted((e[2], e[3], e[0], e[1]) for e in edges):
+        p, q = path[u], path[v]
+        if p is not q and u in (p[0], p[-1]) and v in (q[0], q[-1]) and sum(words[x] for x in p + q) <= most:
+            joined = (p if p[-1] == u else p[::-1]) + (q if q[0] == v else q[::-1])
+            for x in joined:
+                path[x] = joined
+    return {min(p): p if p[0] <= p[-1] else p[::-1] for p in path.values()}
+
+
+@pytest.mark.parametrize("alone", [0, 40, 10**9])
+def test_paths_by_brute_force(spark, alone):
+    rng = random.Random(16)
+    words = {k: rng.randrange(1, 50) for k in range(150)}
+    edges = {(min(a, b), max(a, b)): (rng.randrange(1, 6), rng.randrange(8) / 8) for a, b in ((rng.randrange(150), rng.randrange(140)) for _ in range(420)) if a != b}
+    rows = [(u, v, n, d) for (u, v), (n, d) in edges.items()]
+    nodes = spark.createDataFrame(list(words.items()), "key long, words long")
+    got = packing.paths(nodes, spark.createDataFrame(rows, "u long, v long, degree int, d float"), 400, alone).collect()
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.path, r.place)):
+        found[r.path].append(r.key)
+    assert found == greedy(words, rows, 400)
+    assert max(map(len, found.values())) > 5
 
 
 def test_related_documents_follow_each_other(spark):
@@ -546,39 +614,27 @@ def test_related_documents_follow_each_other(spark):
     vocabularies = [[f"{c}{i}" for i in range(60)] for c in "abcdef"]
     docs = spark.createDataFrame([(i, " ".join(rng.sample(vocabularies[i % 6], 30))) for i in range(60)], "doc_id long, text string")
     for r in packing.pack(docs, window=300).collect():
-        order = [p.doc_id % 6 for p in r.pieces]
-        assert sum(a != b for a, b in zip(order, order[1:])) <= 1, order
-
-
-def test_walks_are_not_cut(spark):
-    # a chain, each document sharing words with the next ones only
-    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 5, i * 5 + 20))) for i in range(60)], "doc_id long, text string")
-    small, large = (sorted(packing.pack(docs, window=100, cell_size=size).collect()) for size in (7, 1000))
-    assert small == large
-    assert len({r.cell for r in small}) == 1 and sum(r.n_words < 100 for r in small) <= 1
-
-
-def test_walk():
-    # 0-1-2 in a line and 3 apart: starts at the low degrees, goes to the nearest
-    path, place = packing.walk(np.array([1, 2, 1, 0]), np.array([0, 1, 3, 4, 4]), np.array([1, 0, 2, 1]))
-    assert path.tolist() == [1, 1, 1, 0] and place.tolist() == [0, 1, 2, 0]
+        assert len({p.doc_id % 6 for p in r.pieces}) == 1
 
 
 def test_windows_hold_every_word_once(spark, awkward):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text").filter("doc_id > 5"))
-    rows = packing.pack(docs, window=300, cell_size=40).collect()
-    seen = defaultdict(list)
-    fullest = defaultdict(int)
-    for r in rows:
-        assert r.n_words == sum(p["last"] - p["first"] for p in r.pieces) <= 300
-        fullest[r.cell] += r.n_words < 300
-        for p in r.pieces:
-            seen[p.doc_id] += range(p["first"], p["last"])
-    assert max(fullest.values()) <= 1 and len(fullest) > 2
-    want = defaultdict(int)
-    for r in docs.collect():
-        want[r.doc_id] += len((r.text or "").split())
-    assert {k: len(v) for k, v in seen.items()} == {k: n for k, n in want.items() if n}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    for most in (packing.PATH_WORDS, 1500):
+        rows = packing.pack(docs, window=300, most=most).collect()
+        seen = defaultdict(Counter)
+        short = Counter()
+        for r in rows:
+            assert r.n_words == sum(p["last"] - p["first"] for p in r.pieces) <= 300
+            short[r.path, r.part] += r.n_words < 300
+            for p in r.pieces:
+                seen[p.doc_id].update(range(p["first"], p["last"]))
+        assert max(short.values()) <= 1
+        want = defaultdict(Counter)
+        for r in docs.collect():
+            if n := len((r.text or "").split()):
+                want[r.doc_id].update(range(n))
+        assert seen == want  # null ids and repeated rows too
+    assert any(r.part for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
