@@ -28,6 +28,9 @@ from palimpsest.storage import small_side, stash
 BITS, RADIUS, SIGNATURES = 64, 6, 3
 NAMES = [f"s{k}" for k in range(SIGNATURES)]
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Signatures that a task sorts at a time, those of a range of keys on average, and ranges at most,
+#: so that a block holds a few hundred signatures or more.
+FLUSH, RANGE, MOST_RANGES = 1 << 20, 1 << 17, 1 << 12
 
 
 def covering_masks() -> list[int]:
@@ -106,60 +109,130 @@ def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(radius: int, tables: int):
-    def run(batches):
-        held = [np.zeros(0, np.int64)] * 3  # table, key, signature
-        for batch in batches:
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
-            if not len(held[0]):
+class Turns:
+    """The signatures' bits in the order of each table: those that its mask keeps
+    come first, so that equal keys lie together and sorted signatures have small
+    differences. Bits move by a look-up of each byte; Hamming distances stay."""
+
+    def __init__(self) -> None:
+        self.there, self.back = [], []
+        for mask in covering_masks():
+            kept = [i for i in range(BITS) if mask >> i & 1]
+            rest = [i for i in range(BITS) if not mask >> i & 1]
+            place = {bit: BITS - 1 - n for n, bit in enumerate(kept + rest)}
+            self.there.append(self._tables(place))
+            self.back.append(self._tables({v: k for k, v in place.items()}))
+
+    @staticmethod
+    def _tables(place: dict[int, int]) -> np.ndarray:
+        out = np.zeros((8, 256), np.uint64)
+        byte = np.arange(256)
+        for bit, to in place.items():
+            out[bit // 8] |= (byte >> bit % 8 & 1).astype(np.uint64) << np.uint64(to)
+        return out
+
+    @staticmethod
+    def move(tables: np.ndarray, values: np.ndarray) -> np.ndarray:
+        parts = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+        out = tables[0][parts[:, 0]]
+        for i in range(1, 8):
+            out |= tables[i][parts[:, i]]
+        return out
+
+
+_turns: list[Turns] = []
+
+
+def turns() -> Turns:
+    if not _turns:
+        _turns.append(Turns())
+    return _turns[0]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers: the first one, and the differences in as few bytes each as the largest needs."""
+    steps = np.diff(values)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + values[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    width, rest = block[0], np.frombuffer(block, np.uint8, offset=9)
+    steps = np.zeros((len(rest) // width, 8), np.uint8)
+    steps[:, :width] = rest.reshape(-1, width)
+    return np.cumsum(np.r_[np.frombuffer(block, np.uint64, 1, 1), steps.view(np.uint64).reshape(-1)], dtype=np.uint64)
+
+
+def _blocks(bits: int):
+    """From (k, sig): a block for each table of each signature and each range of keys, the leading ``bits``."""
+
+    def emit(k, sig):
+        for which in range(SIGNATURES):
+            own = sig[k == which].view(np.uint64)
+            if not len(own):
                 continue
-            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            last = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
-            yield from emit(*[h[:last] for h in held])
-            held = [h[last:] for h in held]
-        yield from emit(*held)
-
-    def emit(table, key, sig):
-        if len(key) < 2:
-            return
-        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
+            for t, tables in enumerate(turns().there):
+                moved = np.sort(Turns.move(tables, own))
+                part = (moved >> np.uint64(BITS - bits)).astype(np.int32) if bits else np.zeros(len(moved), np.int32)
+                heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                made = [packed(moved[a:b]) for a, b in zip(heads, [*heads[1:], len(moved)])]
+                n = len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, which, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(part[heads]), pa.array(made, pa.binary())], ["k", "t", "r", "block"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in (*batches, None):
+            if batch is not None:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                n += batch.num_rows
+            if n and (batch is None or n >= FLUSH):
+                yield from emit(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+
+    return run
+
+
+def _found(radius: int):
+    """The edges within one range of one table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        which, t = table.column("k")[0].as_py(), table.column("t")[0].as_py()
+        blocks = [unpacked(x.as_buffer().to_pybytes()) for chunk in table.column("block").chunks for x in chunk]
+        sig = np.sort(np.concatenate(blocks)) if len(blocks) > 1 else blocks[0]
+        key = sig >> np.uint64(BITS // 2)
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[heads, len(key)])
         two = heads[sizes == 2]
         near = two[hamming(sig[two], sig[two + 1]) <= radius]
-        k, a, b = [table[near] // tables], [sig[near]], [sig[near + 1]]
+        a, b = [sig[near]], [sig[near + 1]]
         for h, m in zip(heads[sizes > 2], sizes[sizes > 2]):
             if edges := bucket_edges(sig[h : h + m], radius):
-                x, y = np.array(edges, np.int64).T
-                k.append(np.full(len(x), table[h] // tables))
+                x, y = np.array(edges, np.uint64).T
                 a.append(x)
                 b.append(y)
-        k, a, b = (np.concatenate(x) for x in (k, a, b))
-        if len(a):
-            found = np.unique(np.stack([k, np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["k", "a", "b"])
+        back = turns().back[t]
+        a, b = (Turns.move(back, np.concatenate(x)).view(np.int64) for x in (a, b))
+        return pa.table({"k": np.full(len(a), which, np.int64), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def signature_edges(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def signature_edges(sigs: DataFrame, radius: int = RADIUS, ranges: int | None = None) -> DataFrame:
     """(a, b): edges between first signatures whose components are those of all
     pairs of (s0, s1, s2) that have a signature within ``radius`` (at most 6).
 
-    The large shuffle carries a table and a signature; a bucket's key, what the table's
-    mask leaves, is computed again after it. Only the few pairs that are found in the other
-    signatures are then joined with the first ones.
+    What is shuffled are sorted blocks of signatures, in the bit order of their table and some seven bytes
+    each, by table and range of keys. Only the few pairs that are found in the other
+    signatures are then joined with the first ones. ``ranges``: a power of two, by default as the
+    number of signatures wants; it only says how the work is cut.
     """
     if radius > RADIUS:
         raise ValueError(f"these masks cover a radius of {RADIUS}")
-    listed = covering_masks()
-    masks = F.array(*[F.lit(m).cast("bigint") for m in listed])
+    ranges = ranges or min(MOST_RANGES, 1 << max(0, -(-sigs.count() // RANGE) - 1).bit_length())
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).alias("sig")) for k, s in enumerate(NAMES)])).alias("e")
     one = sigs.select(each).select("e.k", "e.sig").distinct()
-    first = F.col("k") * len(listed)
-    spread = one.select(F.explode(F.sequence(first, first + len(listed) - 1).cast("array<smallint>")).alias("t"), "sig")
-    left = F.col("sig").bitwiseAND(F.element_at(masks, F.col("t") % len(listed) + 1))
-    keyed = spread.repartition(F.xxhash64("t", left)).select(F.col("t").cast("bigint").alias("t"), left.alias("key"), "sig").sortWithinPartitions("t", "key", "sig")
-    pairs = stash(keyed.mapInArrow(_edges(radius, len(listed)), "k bigint, a bigint, b bigint").distinct(), "pairs")
+    blocks = one.mapInArrow(_blocks(ranges.bit_length() - 1), "k int, t int, r int, block binary")
+    pairs = stash(blocks.groupBy("k", "t", "r").applyInArrow(_found(radius), "k bigint, a bigint, b bigint").distinct(), "pairs")
     # the other signatures by their documents' first ones; where there are several, these are edges too
     owned = sigs.select("s0", F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(s).alias("sig")) for k, s in enumerate(NAMES) if k])).alias("e")).select("s0", "e.k", "e.sig")
     owner = stash(owned.groupBy("k", "sig").agg(F.min("s0").alias("first"), F.max("s0").alias("last")), "owners")
@@ -167,32 +240,37 @@ def signature_edges(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
     other = pairs.filter("k > 0").join(of("a"), ["k", "a"]).join(of("b"), ["k", "b"]).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
     shared = owner.filter("first <> last").drop("last")
     linked = owned.join(shared, ["k", "sig"]).select(F.col("first").alias("a"), F.col("s0").alias("b"))
-    return pairs.filter("k = 0").select("a", "b").unionByName(other).unionByName(linked).filter("a <> b").distinct()
+    return pairs.filter("k = 0").select("a", "b").unionByName(other).unionByName(linked).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def labelled_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``near_duplicate_groups`` with ``label``, which identifies their group."""
+    """(label, doc_id, keep_id, sig, copies, links): the rows of ``near_duplicate_groups``
+    with their first signature; ``label`` identifies their group."""
     found = stash(signatures(docs, id_col, text_col), "signatures")
-    edges = stash(signature_edges(found.select(*NAMES).distinct(), radius), "edges")
-    labels = stash(connected_components(edges), "components")
+    edges = stash(signature_edges(stash(found.select(*NAMES).distinct(), "distinct"), radius), "edges")
+    labels = connected_components(edges)
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    labels = stash(labels.join(links, "node"), "components")
     group = F.coalesce("label", "sig")
     sigs = found.groupBy("doc_id", F.col("s0").alias("sig")).agg(F.count("*").alias("copies"))
     members = sigs.join(small_side(labels).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", group)
     whole = members.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("n")).filter("n > 1")
-    return members.join(whole, "label").select("label", "doc_id", "keep_id", "sig", "copies")
+    return members.join(whole, "label").select("label", "doc_id", "keep_id", "sig", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, sig, copies): the members of all groups of two documents or more.
+    """(doc_id, group_id, keep_id, copies, links): the members of all groups of two documents or more.
 
     Groups are the components of the pairs of which one of the signatures differs in
-    at most ``radius`` bits; ``sig`` is the first one; ``keep_id`` is the smallest id in the group, null only if
-    all are; ``copies`` counts the group's rows with this id and signature.
+    at most ``radius`` bits; ``group_id`` is the smallest first signature in the group, ``keep_id`` the
+    smallest id, null only if all are; ``copies`` counts the group's rows with this id and signature,
+    ``links`` the other signatures that this one was found near to while the group was put
+    together: at least one where the group has several, and enough to connect them.
     Null, empty and wordless texts have no signature and are in no group; long
     texts are hashed whole. Repeated rows are one output row with ``copies``
     above one. Other columns aren't read.
     """
-    return labelled_groups(docs, radius, id_col, text_col).drop("label")
+    return labelled_groups(docs, radius, id_col, text_col).select("doc_id", F.col("label").alias("group_id"), "keep_id", "copies", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

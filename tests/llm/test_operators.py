@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, huffman, lattice, mixing, packing, pii, quality, sharding, simhash, winnowing
+from palimpsest.llm.components import connected_components
 from palimpsest.llm.queries import ORACLES, QUERIES
 from palimpsest.storage import stash
 
@@ -207,6 +208,46 @@ def test_masks_cover_the_radius():
         assert any(diff & m == 0 for m in masks)
 
 
+def test_bits_move_there_and_back():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(-(1 << 63), 1 << 63, 500)
+    for mask, there, back in zip(simhash.covering_masks(), simhash.turns().there, simhash.turns().back):
+        moved = simhash.Turns.move(there, sig.view(np.uint64))
+        assert (simhash.Turns.move(back, moved).view(np.int64) == sig).all()
+        assert (simhash.hamming(moved[1:], moved[:-1]) == simhash.hamming(sig[1:], sig[:-1])).all()
+        same = (moved[:, None] ^ moved[None, :]) >> np.uint64(32) == 0
+        assert (same == ((sig[:, None] ^ sig[None, :]) & mask == 0)).all()
+    for values in (np.sort(moved), moved[:1], np.array([5, 5, 2**64 - 1], np.uint64)):
+        assert (simhash.unpacked(simhash.packed(values)) == values).all()
+
+
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_signature_edges_by_brute_force(spark, ranges):
+    rng = random.Random(21)
+    sigs = [[rng.getrandbits(64) for _ in range(3)] for _ in range(150)]
+    for i in range(150):  # at distances from 0 to 9 of an earlier one, in one of the signatures
+        new, k = list(sigs[rng.randrange(len(sigs))]) if i % 3 else [rng.getrandbits(64) for _ in range(3)], rng.randrange(3)
+        for b in rng.sample(range(64), i % 10):
+            new[k] ^= 1 << b
+        for other in {0, 1, 2} - {k}:
+            new[other] = rng.getrandbits(64)
+        sigs.append(new)
+    rows = [tuple(x - (1 << 64) if x >> 63 else x for x in r) for r in sigs]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(sigs[i], sigs[j])):
+            label = [label[i] if x == label[j] else x for x in label]
+    groups = defaultdict(set)
+    for i, x in enumerate(label):
+        groups[x].add(rows[i][0])
+    want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    frame = stash(spark.createDataFrame(rows, "s0 long, s1 long, s2 long"), "sigs")
+    found = defaultdict(list)
+    for r in connected_components(stash(simhash.signature_edges(frame, ranges=ranges), "edges")).collect():
+        found[r.label].append(r.node)
+    assert sorted(sorted(g) for g in found.values()) == want and len(want) > 20
+
+
 def test_near_duplicates_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     table = docs.select("doc_id", "text").toArrow()
@@ -221,7 +262,14 @@ def test_near_duplicates_by_brute_force(spark):
     for i, g in enumerate(group):
         members[g].append(ids[i])
     want = {x: min(m) for m in members.values() if len(m) > 1 for x in m}
-    assert {r.doc_id: r.keep_id for r in simhash.near_duplicate_groups(docs).collect()} == want
+    groups = simhash.near_duplicate_groups(docs).collect()
+    assert {r.doc_id: r.keep_id for r in groups} == want
+    assert len({(r.group_id, r.keep_id) for r in groups}) == len({r.group_id for r in groups}) == len(set(want.values()))
+    first = {i: int(x) for i, x in zip(ids, sig[:, 0])}
+    sizes = defaultdict(set)
+    for r in groups:
+        sizes[r.group_id].add(first[r.doc_id])
+    assert all((r.links > 0) == (len(sizes[r.group_id]) > 1) for r in groups)
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
     assert kept == {x for x in ids if want.get(x, x) == x}
 
