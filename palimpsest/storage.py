@@ -73,6 +73,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a stashed table that nothing reads any more: what came of it is stashed too."""
+    p, fs = _hadoop_path(df.sparkSession, df.stash_path.rpartition("/")[0])
+    fs.delete(p, True)
+    _written[:] = [(s, path) for s, path in _written if not df.stash_path.startswith(f"{path}/")]
+
+
 def stashed_bytes(df: DataFrame) -> int:
     p, fs = _hadoop_path(df.sparkSession, df.stash_path)
     return fs.getContentSummary(p).getLength()
