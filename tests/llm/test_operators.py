@@ -38,7 +38,7 @@ def awkward(spark):
         (9, "!!!", "en", "a"), (10, "mail a.b@c.org or 4111 1111 1111 1111", "en", "b"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    extra = {c: F.lit("clash") for c in ("sig", "label", "copies", "cell", "h", "row", "bucket", "pattern", "metric", "shard", "symbols", "q_text", "n_tokens", "keep_id")}
+    extra = {c: F.lit("clash") for c in ("sig", "label", "copies", "cell", "h", "row", "bucket", "pattern", "metric", "shard", "signs", "q_text", "q_words", "n_tokens", "keep_id")}
     return docs.withColumns(extra)
 
 
@@ -156,10 +156,32 @@ def test_quality_rejects_what_stands_out(spark):
 def test_sketches_merge(spark):
     values = spark.createDataFrame([(i * i,) for i in range(500)], "v long").select(*[F.col("v").alias(m) for m in quality.METRICS], F.lit("l").alias("lang"), F.lit("s").alias("source"))
     whole = {(r.metric, r.bucket): r.n for r in quality.sketches(values).collect()}
-    parts = quality.sketches(values.filter("symbols % 2 = 0")).unionByName(quality.sketches(values.filter("symbols % 2 = 1")))
+    parts = quality.sketches(values.filter("signs % 2 = 0")).unionByName(quality.sketches(values.filter("signs % 2 = 1")))
     merged = {(r.metric, r.bucket): r.n for r in parts.groupBy("metric", "bucket").agg(F.sum("n").alias("n")).collect()}
     assert whole == merged
-    assert all(b <= v < b * 33 / 32 + 1 for b, v in values.select(quality.bucket(F.col("symbols")), "symbols").collect())
+    assert all(b <= v < b * 33 / 32 + 1 for b, v in values.select(quality.bucket(F.col("signs")), "signs").collect())
+
+
+def test_thresholds_follow_the_group(spark):
+    """The same text goes in one source and stays in another, in which it is usual."""
+    rng = random.Random(17)
+    marked = lambda n, every: " ".join(w + ("*" if i % every == 0 else "") for i, w in enumerate(words(rng, n).split()))
+    plain = [(i, marked(100, rng.randrange(8, 20)), "en", "prose") for i in range(80)]
+    code = [(100 + i, marked(100, rng.randrange(2, 4)), "en", "code") for i in range(80)]
+    odd = marked(100, 2)
+    docs = spark.createDataFrame([*plain, *code, (1000, odd, "en", "prose"), (1001, odd, "en", "code")], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality.kept_with_measures(docs).collect()}
+    assert 1000 not in rows and 1001 in rows and len(rows) > 150
+    assert rows[100].signs_limit > rows[0].signs_limit
+
+
+def test_a_value_at_its_threshold_stays(spark):
+    value = lambda i, v: (i, v, 0, 0, 0, "en", "a")
+    rows = spark.createDataFrame([value(i, v) for i, v in enumerate([4] * 10 + [9] * 10 + [16] * 10)], f"doc_id long, {', '.join(f'{m} long' for m in quality.METRICS)}, lang string, source string")
+    limit = quality.thresholds(quality.sketches(rows)).first()
+    assert limit.signs == (4 + 3 * (4 - 2)) ** 2 == 100 and limit.echoes == 0  # quartiles 4 and 16; nothing spreads
+    few = spark.createDataFrame([value(i, v) for i, v in enumerate([0] * 30 + [1, 4, 400])], rows.schema)
+    assert quality.thresholds(quality.sketches(few)).first().signs == (3 * 2) ** 2  # the median of what is above nothing is 4
 
 
 def test_chat(spark):
