@@ -69,13 +69,11 @@ def powers(base: int, n: int) -> np.ndarray:
 class PolyHash:
     """Polynomial hashes (Horner, modulo 2**64) of any slices of one array."""
 
-    inverse = pow(HASH_BASE, -1, 1 << 64)
-
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = HASH_BASE):
         n = len(values)
-        self.up = powers(HASH_BASE, n + 1)
+        self.up = powers(base, n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values.astype(np.uint64) * powers(self.inverse, n), out=self.sums[1:])
+        np.cumsum(values.astype(np.uint64) * powers(pow(base, -1, 1 << 64), n), out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         # sum of v[j] * B**(end-1-j) over start <= j < end

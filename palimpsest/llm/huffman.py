@@ -21,6 +21,9 @@ from palimpsest.llm.arrow import HashCache, PolyHash, codepoints, concatenated,
 from palimpsest.storage import stash
 
 LIMIT, BLOCK, EVERY = 24, 4096, 512
+#: Bits of the decoder's table; longer codes are searched.
+TABLE = 16
+SECOND_BASE = 0xD1342543DE82EF95
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANKS = np.zeros(0x3001, bool)
 BLANKS[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -28,7 +31,8 @@ _encoders: dict[tuple[str, str], Tokenizer] = {}
 
 
 class Tokenizer:
-    """Byte-level BPE from a file of ranks, with the ids of segments it met.
+    """Byte-level BPE from a file of ranks, with the ids of segments it met, by two 64-bit hashes.
+    Where one of them agrees and the other doesn't, texts are encoded without what is remembered.
 
     The pattern never takes a blank together with the sign before it, so a text may be cut
     where a space or newline follows something else, and its ids are those of the parts.
@@ -40,7 +44,7 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache = HashCache(np.dtype([("at", np.int64), ("n", np.int64)]))
+        self.cache = HashCache(np.dtype([("at", np.int64), ("n", np.int64), ("check", np.uint64)]))
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +59,19 @@ class Tokenizer:
         starts = np.flatnonzero(cut)
         ends = np.r_[starts[1:], len(points)]
         hashes = mix64(PolyHash(points)(starts, ends) + (ends - starts).astype(np.uint64))
+        check = mix64(PolyHash(points, SECOND_BASE)(starts, ends))
         keys, first, each = np.unique(hashes, return_index=True, return_inverse=True)
         at, known = self.cache.find(keys)
+        check, all_check = check[first], check
+        if (all_check != check[each]).any() or (known.any() and (self.cache.values["check"][at[known]] != check[known]).any()):
+            made = [np.array(self.encode(x), np.int32) for x in texts.to_pylist()]
+            return np.concatenate(made), np.array([len(m) for m in made], np.int64)
         if not known.all():
             if len(self.cache.keys) + len(keys) > self.cache.limit:
                 self.cache.clear()
                 self.used, known = 0, np.zeros(len(keys), bool)
             new = np.flatnonzero(~known)
-            self._learn(keys[new], points, starts[first[new]], ends[first[new]])
+            self._learn(keys[new], check[new], points, starts[first[new]], ends[first[new]])
             at, _ = self.cache.find(keys)
         got = self.cache.values[at][each]
         total = int(got["n"].sum())
@@ -70,14 +79,14 @@ class Tokenizer:
         row = np.searchsorted(offsets, starts, "right") - 1
         return self.ids[jump + np.arange(total)], np.bincount(row, weights=got["n"], minlength=len(texts)).astype(np.int64)
 
-    def _learn(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, check: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         made = [self.encode(points[a:b].tobytes().decode("utf-32-le")) for a, b in zip(starts.tolist(), ends.tolist())]
         sizes = np.array([len(m) for m in made], np.int64)
         flat = np.fromiter((i for m in made for i in m), np.int32, int(sizes.sum()))
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.cache.add(keys, np.array(list(zip(self.used + np.cumsum(sizes) - sizes, sizes)), self.cache.kind))
+        self.cache.add(keys, np.array(list(zip(self.used + np.cumsum(sizes) - sizes, sizes, check)), self.cache.kind))
         self.used += len(flat)
 
 
@@ -150,23 +159,44 @@ class Codebook:
             out[word[heads] + 1] |= whole.astype(np.uint32)
         return out.astype(">u4").view(np.uint8)[: int(starts[-1])], starts, offset
 
-    def decode(self, payload: bytes, n: int, bit: int = 0) -> np.ndarray:
-        """``n`` ids from the bit offset on, by table. Each place's code and the
-        next place are looked up for all bits at once, then followed."""
-        data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
-        here = np.arange(8 * len(payload) + 1)
-        byte = here >> 3
-        window = (data[byte] << np.uint64(24)) | (data[byte + 1] << np.uint64(16)) | (data[byte + 2] << np.uint64(8)) | data[byte + 3]
-        window = (window << np.uint64(8)) | data[byte + 4]
-        window = (window >> (np.uint64(40) - (here & 7).astype(np.uint64) - np.uint64(self.longest))) & np.uint64((1 << self.longest) - 1)
-        entry = np.searchsorted(self.firsts, window.astype(np.int64), "right") - 1
-        step, symbol = self.lengths[entry].tolist(), self.symbols[entry].tolist()
-        out = np.zeros(n, np.int64)
-        for i in range(n):
-            out[i] = symbol[bit]
-            bit += step[bit]
+    def table(self) -> tuple[np.ndarray, int]:
+        """The place in canonical order of the code that each value of the next bits starts with,
+        or -1 if that code is longer; and the number of these bits."""
+        if not hasattr(self, "_table"):
+            bits = min(TABLE, self.longest)
+            place = np.searchsorted(self.firsts, np.arange(1 << bits) << (self.longest - bits), "right") - 1
+            self._table = np.where(self.lengths[place] <= bits, place, -1) if len(self.symbols) else place, bits
+        return self._table
+
+    def decode_many(self, data: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other: ``counts[i]`` of them from bit
+        ``bits[i]`` of ``data`` on. All pieces go forward together, an id at a time, by table."""
+        table, width = self.table()
+        padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
+        words = np.zeros(len(data) + 1, np.uint64)  # five bytes from each byte on
+        for i in range(5):
+            words |= padded[i : i + len(words)] << np.uint64(32 - 8 * i)
+        order = np.argsort(-counts, kind="stable")
+        left, at = counts[order], bits[order].astype(np.int64)
+        starts = (np.cumsum(counts) - counts)[order]
+        out = np.zeros(int(counts.sum()), np.int64)
+        live = len(order)
+        for i in range(int(left[0]) if live else 0):
+            live = int(np.searchsorted(-left[:live], -i, "left"))
+            here = at[:live]
+            code = (words[here >> 3] << (here & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)
+            place = table[(code >> np.uint64(40 - width)).astype(np.int64)]
+            long = np.flatnonzero(place < 0)
+            if len(long):
+                place[long] = np.searchsorted(self.firsts, (code[long] >> np.uint64(40 - self.longest)).astype(np.int64), "right") - 1
+            out[starts[:live] + i] = self.symbols[place]
+            here += self.lengths[place]
         return out
 
+    def decode(self, payload: bytes, n: int, bit: int = 0) -> np.ndarray:
+        """``n`` ids from the bit offset on."""
+        return self.decode_many(np.frombuffer(payload, np.uint8), np.array([bit]), np.array([n]))
+
     def to_bytes(self) -> bytes:
         """Pairs of id and length, in canonical order."""
         return b"".join(struct.pack("<IB", int(s), int(n)) for s, n in zip(self.symbols, self.lengths))
@@ -218,7 +248,8 @@ def count_ids(ids: DataFrame, width: int) -> dict[int, int]:
 
 
 def encode_blocks(ids: DataFrame, book: Codebook, width: int, block: int = BLOCK, every: int = EVERY) -> DataFrame:
-    """(doc_id, block, n_ids, n_bits, payload, checkpoints) from (doc_id, ids).
+    """(doc_id, block, n_ids, n_bits, payload, checkpoints, every) from (doc_id, ids);
+    ``checkpoints`` are the bit offsets of each ``every``-th id.
 
     A row without ids has one block of none, so that it comes back; null ids count as none.
     """
@@ -228,7 +259,7 @@ def encode_blocks(ids: DataFrame, book: Codebook, width: int, block: int = BLOCK
         for b in text_chunks(batches, 1, 1 << 20):
             yield _encoded(b, book, width, block, every)
 
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, block int, n_ids int, n_bits bigint, payload binary, checkpoints array<int>")
+    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, block int, n_ids int, n_bits bigint, payload binary, checkpoints array<int>, every int")
 
 
 def _encoded(b: pa.RecordBatch, book: Codebook, width: int, block: int, every: int) -> pa.RecordBatch:
@@ -247,7 +278,7 @@ def _encoded(b: pa.RecordBatch, book: Codebook, width: int, block: int, every: i
     bits = np.zeros(len(row), np.int64)
     full = n > 0
     bits[full] = offset[bounds[1:][full] - 1] + book.bits[flat[bounds[1:][full] - 1]]
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), payload, points], ["doc_id", "block", "n_ids", "n_bits", "payload", "checkpoints"])
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), payload, points, pa.array(np.full(len(row), every, np.int32))], ["doc_id", "block", "n_ids", "n_bits", "payload", "checkpoints", "every"])
 
 
 def compress(docs: DataFrame, path: str, pattern: str = PATTERN, limit: int = LIMIT, block: int = BLOCK, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,18 +293,29 @@ def compress(docs: DataFrame, path: str, pattern: str = PATTERN, limit: int = LI
     width = id_width(path)
     book = Codebook(code_lengths(count_ids(ids, width), limit))
     blocks = encode_blocks(ids, book, width, block, every)
-    head = docs.sparkSession.createDataFrame([(None, -1, len(book.symbols), 0, bytearray(book.to_bytes()), [])], blocks.schema)
+    head = docs.sparkSession.createDataFrame([(None, -1, len(book.symbols), 0, bytearray(book.to_bytes()), [], every)], blocks.schema)
     return blocks.unionByName(head)
 
 
 def decompress(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block, ids) of all blocks of ``compress``'s rows but the codebook's."""
+    """(doc_id, block, ids) of all blocks of ``compress``'s rows but the codebook's. The pieces
+    between checkpoints are decoded side by side."""
     book = Codebook.from_bytes(bytes(blocks.filter("block = -1").first().payload))
     kind = blocks.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            got = [book.decode(p, n).tolist() for p, n in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "block", "ids"])
-
-    return blocks.filter("block >= 0").select("doc_id", "block", "n_ids", "payload").mapInArrow(run, f"doc_id {kind}, block int, ids array<int>")
+        for b in text_chunks(batches, 3, 1 << 20):
+            payload, marks = b.column(3), b.column(4)
+            n = b.column(2).to_numpy().astype(np.int64)
+            sizes = pc.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64)
+            pieces = pc.list_value_length(marks).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            step = b.column(5).to_numpy().astype(np.int64)
+            counts = np.minimum(step[row], n[row] - number * step[row])
+            bits = marks.flatten().to_numpy(zero_copy_only=False) + 8 * (np.cumsum(sizes) - sizes)[row]
+            ids = book.decode_many(np.frombuffer(concatenated(payload), np.uint8), bits, counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "block", "ids"])
+
+    return blocks.filter("block >= 0").select("doc_id", "block", "n_ids", "payload", "checkpoints", "every").mapInArrow(run, f"doc_id {kind}, block int, ids array<int>")

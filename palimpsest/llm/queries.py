@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from palimpsest.llm import chat, huffman, lattice, mixing, packing, pii, quality, sharding, simhash, winnowing
-from palimpsest.storage import read_table
+from palimpsest.storage import read_table, stash
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARD_BYTES = 256 << 10
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_related_packing": lambda spark, d: packing.pack(read_table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.annotate(read_table(spark, d, "documents")),
     "op8_huffman_ids": lambda spark, d: huffman.compress(read_table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"),
+    "op8_huffman_decoded": lambda spark, d: huffman.decompress(stash(huffman.compress(read_table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "coded")),
     "op9_extendible_shards": lambda spark, d: sharding.shards(read_table(spark, d, "documents"), SHARD_BYTES),
     "op10_flow_mixture": lambda spark, d: mixing.mixture(read_table(spark, d, "documents")),
 }
