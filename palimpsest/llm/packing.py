@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import HASH_BASE, concatenated, map_text, mix64, strings, words_of
-from palimpsest.storage import small_side, stash
+from palimpsest.storage import discard, small_side, stash
 
 NEAREST, WINDOW = 5, 2048
 #: Bins of a sketch, orders, and places before and after that are compared in each.
@@ -277,26 +277,30 @@ def paths(nodes: DataFrame, edges: DataFrame, most: int = PATH_WORDS, alone: int
     same paths, as nothing before them can touch these; then one task goes through the rest.
     ``path`` is its smallest node, and the smaller of its ends comes first.
     """
-    spark = nodes.sparkSession
     now = stash(nodes.select(F.col("key").alias("path"), F.array("key").alias("seq"), "words"), "paths")
     live = edges.select("u", "v", "degree", "d")
     first, last = F.element_at("seq", 1), F.element_at("seq", -1)
     while True:
-        ends = now.select("path", "words", first.alias("first"), last.alias("last"))
-        each = ends.select("path", "words", "first", "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("node"))
-        side = lambda x: each.select(F.col("node").alias(x), F.col("path").alias(f"p{x}"), F.col("words").alias(f"w{x}"), F.struct("path", "first", "last", "words").alias(f"e{x}"))  # noqa: B023, E731
-        live = stash(live.join(side("u"), "u").join(side("v"), "v").filter(f"pu <> pv AND wu + wv <= {most}").select("u", "v", "degree", "d", "pu", "pv", "eu", "ev"), "live")
+        ends = stash(now.select(F.explode(F.array_distinct(F.array(first, last))).alias("node"), "path", "words"), "ends")
+        side = lambda x: small_side(ends).select(F.col("node").alias(x), F.col("path").alias(f"p{x}"), F.col("words").alias(f"w{x}"))  # noqa: B023, E731
+        before = live
+        live = stash(live.select("u", "v", "degree", "d").join(side("u"), "u").join(side("v"), "v").filter(f"pu <> pv AND wu + wv <= {most}").select("u", "v", "degree", "d", "pu", "pv"), "live")
+        discard(ends)
+        if hasattr(before, "stash_path"):
+            discard(before)
         if live.count() <= alone:
             break
         best = live.select(F.explode(F.array("pu", "pv")).alias("path"), F.struct("degree", "d", "u", "v", "pu", "pv").alias("e")).groupBy("path").agg(F.min("e").alias("e"))
         taken = stash(best.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.*"), "taken")
         one = lambda x: now.select(F.col("path").alias(f"p{x}"), F.col("seq").alias(f"s{x}"), F.col("words").alias(f"w{x}"))  # noqa: B023, E731
         turned = lambda s, node, at: F.when(F.element_at(s, at) == F.col(node), F.col(s)).otherwise(F.reverse(s))
-        joined = taken.join(one("u"), "pu").join(one("v"), "pv").select(F.least("pu", "pv").alias("path"), F.concat(turned("su", "u", -1), turned("sv", "v", 1)).alias("seq"), (F.col("wu") + F.col("wv")).alias("words"))
+        joined = small_side(taken).join(one("u"), "pu").join(one("v"), "pv").select(F.least("pu", "pv").alias("path"), F.concat(turned("su", "u", -1), turned("sv", "v", 1)).alias("seq"), (F.col("wu") + F.col("wv")).alias("words"))
         joined = joined.withColumn("seq", F.when(first <= last, F.col("seq")).otherwise(F.reverse("seq")))
-        gone = taken.select(F.explode(F.array("pu", "pv")).alias("path"))
-        now = stash(now.join(gone, "path", "left_anti").unionByName(joined), "paths")
-        live = live.select("u", "v", "degree", "d")
+        gone = small_side(taken).select(F.explode(F.array("pu", "pv")).alias("path"))
+        after = stash(now.join(gone, "path", "left_anti").unionByName(joined), "paths")
+        for x in (taken, now):
+            discard(x)
+        now = after
 
     def finish(batches):
         tables = [b for b in batches if b.num_rows]
@@ -311,17 +315,14 @@ def paths(nodes: DataFrame, edges: DataFrame, most: int = PATH_WORDS, alone: int
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["path", "whole", "at", "turned"])
 
-    tail = stash(live.coalesce(1).mapInArrow(finish, "path bigint, whole bigint, at int, turned boolean"), "tail")
+    side = lambda x: now.select(F.col("path").alias(f"p{x}"), F.struct("path", first.alias("first"), last.alias("last"), "words").alias(f"e{x}"))
+    rest = live.join(side("u"), "pu").join(side("v"), "pv").select("u", "v", "degree", "d", "pu", "pv", "eu", "ev")
+    tail = stash(rest.coalesce(1).mapInArrow(finish, "path bigint, whole bigint, at int, turned boolean"), "tail")
     whole = now.join(small_side(tail), "path", "left")
     seq = F.when(F.coalesce("turned", F.lit(False)), F.reverse("seq")).otherwise(F.col("seq"))
     return whole.select(F.coalesce("whole", "path").alias("path"), F.coalesce("at", F.lit(0)).alias("at"), F.posexplode(seq).alias("pos", "key")).select("path", "key", F.struct("at", "pos").alias("place"))
 
 
-def neighbour_graph(found: DataFrame, k: int = NEAREST) -> DataFrame:
-    """``graph`` of ``found`` (stashed ``word_sets``)."""
-    return graph(stash(related(stash(sketches(found), "sketches"), k), "near"))
-
-
 def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, most: int = PATH_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(path, part, window, n_words, pieces array<struct<doc_id, first, last>>), a row for each window.
 
@@ -334,9 +335,14 @@ def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, most: int = PA
     without a word are in no window; very long ones fill many. Only the two
     named columns are read. No words give no rows.
     """
-    found = stash(word_sets(docs, id_col, text_col), "sets")
+    sets = stash(word_sets(docs, id_col, text_col), "sets")
+    found = stash(sets.select("doc_id", "key", "n_words"), "found")
+    made = stash(sketches(sets), "sketches")
+    discard(sets)
+    near = stash(related(made, k), "near")
+    discard(made)
     nodes = stash(found.groupBy("key").agg(F.sum("n_words").alias("words")), "nodes")
-    walked = stash(paths(nodes, neighbour_graph(found, k), most).join(nodes, "key"), "walked")
+    walked = stash(paths(nodes, graph(near), most).join(nodes, "key"), "walked")
     parts = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(most)))
     part: Column = F.when(F.col("words") > most, F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "n_words"), parts)).otherwise(F.lit(0)).cast("int")
     joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key").withColumn("part", part)
