@@ -21,7 +21,8 @@ from palimpsest.llm.arrow import HashCache, PolyHash, codepoints, map_text, word
 from palimpsest.storage import small_side, stash
 
 SPACE = "▁"
-LONG_WORD = 96
+#: Words beyond this go by parts, of this many characters.
+LONG_WORD, PART = 96, 1 << 15
 _caches: dict[int, HashCache] = {}
 
 
@@ -67,7 +68,14 @@ class Pieces:
 
 
 def read_pieces(path: str) -> Pieces:
-    """The pieces of a sentencepiece model, without control and byte pieces."""
+    """The pieces of a sentencepiece model, without control and byte pieces, or those of a
+    text file with a piece, a tab and its log-probability in each line, as such models
+    come with (its lines in angle brackets are left out). Scores are taken as ``Pieces`` says."""
+    if path.endswith((".vocab", ".tsv", ".txt")):
+        with open(path, encoding="utf-8") as f:
+            rows = [line.rstrip("\n").rpartition("\t") for line in f]
+        rows = [(p, float(x)) for p, _, x in rows if p and not (p[0] == "<" and p[-1] == ">")]
+        return Pieces([p for p, _ in rows], [x for _, x in rows])
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -96,14 +104,20 @@ def word_scores(pieces: Pieces, words: pa.Array) -> np.ndarray:
     """log-probability of each word, with the mark of a word's start before it."""
     if not len(words):
         return np.zeros(0)
-    points, offsets = codepoints(pc.binary_join_element_wise(pa.scalar(SPACE), words, ""))
-    arcs = _arcs(pieces, points, offsets)
-    sizes = np.diff(offsets)
+    words = pc.binary_join_element_wise(pa.scalar(SPACE), words, "")
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    long = sizes > LONG_WORD
     out = np.zeros(len(words))
+    for w in np.flatnonzero(long):
+        out[w] = _long_word(pieces, codepoints(words.slice(w, 1))[0])
+    short = np.flatnonzero(~long)
+    if not len(short):
+        return out
+    points, offsets = codepoints(words.take(pa.array(short)))
+    arcs, sizes = _arcs(pieces, points, offsets), sizes[short]
     order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] <= LONG_WORD]
     live = sizes[order]
-    alpha = np.full((int(live[0]) + 1 if len(live) else 1, len(order)), -np.inf)
+    alpha = np.full((int(live[0]) + 1, len(order)), -np.inf)
     alpha[0] = 0
     for j in range(1, len(alpha)):
         m = int(np.searchsorted(-live, -j, "right"))  # the words of j characters or more
@@ -112,21 +126,29 @@ def word_scores(pieces: Pieces, words: pa.Array) -> np.ndarray:
         steps = alpha[j - spans : j, :m][::-1] + arcs[:spans, end]
         top = steps.max(axis=0)
         alpha[j, :m] = top + np.log(np.exp(steps - top).sum(axis=0))
-    out[order] = alpha[live, np.arange(len(order))]
-    for w in np.flatnonzero(sizes > LONG_WORD):
-        out[w] = _long_word(arcs[:, offsets[w] : offsets[w + 1]])
+    out[short[order]] = alpha[live, np.arange(len(order))]
     return out
 
 
-def _long_word(arcs: np.ndarray) -> float:
-    spans, ends = np.nonzero(np.isfinite(arcs))
-    order = np.argsort(ends, kind="stable")
-    alpha = [0.0] + [-math.inf] * arcs.shape[1]
-    for span, end, weight in zip(spans[order].tolist(), ends[order].tolist(), arcs[spans[order], ends[order]].tolist()):
-        a, b = alpha[end + 1], alpha[end - span] + weight
-        if b > a:
-            a, b = b, a
-        alpha[end + 1] = a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+def _long_word(pieces: Pieces, points: np.ndarray) -> float:
+    """A word of any length, by parts of ``PART`` characters that overlap by the longest
+    piece, so that what is held doesn't grow with it."""
+    reach = pieces.longest
+    alpha = [0.0]  # of the last places before the part
+    for a in range(0, len(points), PART):
+        low = max(0, a - reach + 1)
+        part = points[low : a + PART]
+        arcs = _arcs(pieces, part, np.array([0, len(part)]))
+        alpha = alpha[-(a - low + 1) :]
+        spans, ends = np.nonzero(np.isfinite(arcs[:, a - low :]))
+        order = np.argsort(ends, kind="stable")
+        alpha += [-math.inf] * (len(part) - (a - low))
+        ends = ends[order] + a - low
+        for span, end, weight in zip(spans[order].tolist(), ends.tolist(), arcs[spans[order], ends].tolist()):
+            x, y = alpha[end + 1], alpha[end - span] + weight
+            if y > x:
+                x, y = y, x
+            alpha[end + 1] = x + math.log1p(math.exp(y - x)) if y > -math.inf else x
     return alpha[-1]
 
 

@@ -103,6 +103,41 @@ def test_lattice_is_the_sum_over_segmentations(spark):
     assert ordered[0] - ordered[1] == pytest.approx(ordered[1] - ordered[2], rel=1e-6)
 
 
+def test_long_words_go_by_parts(monkeypatch):
+    rng = random.Random(18)
+    word = "".join(rng.choice("abcdé") for _ in range(700))
+    whole = lattice.word_scores(PIECES, pa.array([word, "ab", word[:300]]))
+    for part in (1, 2, 7, 64):
+        monkeypatch.setattr(lattice, "PART", part)
+        assert lattice.word_scores(PIECES, pa.array([word, "ab", word[:300]])) == pytest.approx(whole)
+    monkeypatch.setattr(lattice, "LONG_WORD", 10_000)
+    assert lattice.word_scores(PIECES, pa.array([word, "ab", word[:300]])) == pytest.approx(whole)
+
+
+def test_pieces_of_a_unigram_vocabulary(tmp_path):
+    rows = {"<unk>": 0.0, "<s>": 0.0, "▁a": -2.25, "b": -3.5, "▁": -4.125, "\t": -9.5}
+    (tmp_path / "uni.vocab").write_text("".join(f"{p}\t{x}\n" for p, x in rows.items()))
+    got = lattice.read_pieces(str(tmp_path / "uni.vocab"))
+    at, weight = got.look_up(np.concatenate([lattice.PolyHash(np.array([ord(c) for c in p], np.uint32))(np.array([0]), np.array([len(p)])) for p in rows]))
+    assert dict(zip(at.tolist(), weight.tolist())) == {2: -2.25, 3: -3.5, 4: -4.125, 5: -9.5}  # as they are given
+    assert got.byte == -10.5
+    only = lattice.word_scores(got, pa.array(["b"]))[0]
+    assert math.exp(only) == pytest.approx((math.exp(-4.125) + math.exp(3 * got.byte)) * (math.exp(-3.5) + math.exp(got.byte)))
+
+
+def test_ranks_become_probabilities():
+    got = lattice.read_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    assert np.exp(got.weights).sum() + 256 * math.exp(got.byte) == pytest.approx(1)
+    assert len(got.weights) > 31_000 and (got.weights > got.byte).all()
+
+
+def test_ties_in_rank(spark):
+    rows = [(i, t, "x") for i, t in ((5, "ab ab"), (2, "ab ab"), (None, "ab ab"), (3, "c"), (3, "c"), (1, None))]
+    got = {(r.doc_id, r.rank) for r in lattice.ranked_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    equal = sorted((r for r in got if r[0] in (None, 2, 5)), key=lambda r: r[1])
+    assert [i for i, _ in equal] == [None, 2, 5] and {n for _, n in got} == set(range(1, 7)) and (1, 1) in got
+
+
 def test_ranks(spark, awkward):
     rows = lattice.ranked_scores(awkward, PIECES).collect()
     groups = defaultdict(list)
