@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.exclusions import exclusion_pattern
-from palimpsest.functions.languages import BY_ENDING, BY_NAME, SETTINGS
+from palimpsest.functions.languages import BY_ENDING, BY_NAME, BY_PROGRAM, SETTINGS
 
 MOST_BYTES, MOST_LINES, MOST_WIDTH = 1_000_000, 40_000, 1096
 LICENSE_PATH = r"(?:LICEN[CS]E|LICENSE-.*|UNLICEN[CS]E|COPYING|README)(?:\.(?:txt|md))?$"
@@ -33,12 +33,17 @@ def path_reason(path: Column) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def language(path: Column) -> Column:
-    """By the whole name, else by its ending; empty if neither is known."""
+def language(path: Column, first: Column | None = None) -> Column:
+    """By the whole name, else by its ending, else by the program that the file's ``first``
+    line calls, without its version; empty if none is known."""
     name = F.substring_index(path, "/", -1)
     ending = F.lower(F.when(name.contains("."), F.substring_index(name, ".", -1)))
     look = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
-    return F.coalesce(look(BY_NAME, name), look(BY_ENDING, ending), F.lit(""))
+    known = [look(BY_NAME, name), look(BY_ENDING, ending)]
+    if first is not None:
+        program = F.regexp_extract(first, r"^#!\s*(?:\S*/)?(?:env\s+(?:-\S+\s+)*)?(?:\S*/)?([A-Za-z][A-Za-z+_-]*)[\d.]*(?:\s|$)", 1)
+        known.append(look(BY_PROGRAM, F.lower(program)))
+    return F.coalesce(*known, F.lit(""))
 
 
 def first_wide_line(lines: Column) -> Column:
@@ -46,7 +51,7 @@ def first_wide_line(lines: Column) -> Column:
     return F.get(F.transform(F.filter(lines, lambda x: F.octet_length(x) > MOST_WIDTH), F.octet_length), F.lit(0))
 
 
-def skip_reason(path: Column, size: Column, n_lines: Column, wide: Column, is_license: Column) -> Column:
+def skip_reason(path: Column, size: Column, n_lines: Column, wide: Column, is_license: Column, first: Column | None = None) -> Column:
     """The whole cascade, in order: size, licence, path, lines, width, language."""
     by_path = path_reason(path)
     return (
@@ -55,6 +60,6 @@ def skip_reason(path: Column, size: Column, n_lines: Column, wide: Column, is_li
         .when(by_path != "", by_path)
         .when(n_lines > MOST_LINES, f"File has more than {MOST_LINES} lines")
         .when(wide.isNotNull(), F.format_string(f"File has a line width of %d which is greater than max of {MOST_WIDTH}", wide))
-        .when(language(path) == "", UNKNOWN)
+        .when(language(path, first) == "", UNKNOWN)
         .otherwise("")
     )

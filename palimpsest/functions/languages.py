@@ -36,9 +36,37 @@ LANGUAGES = (
     Language("Haskell", "hs", line=("--",), block=(("{-", "-}"),)), Language("Erlang", "erl", line=("%",)), Language("TeX", "tex", line=("%",), branches=""),
     Language("Clojure", "clj cljs", line=(";",)), Language("Text", "txt", branches="", quotes=()),
 )
+#: Languages whose lines are told apart as those of another one.
+ALIKE = {
+    "C": "D:d di,Vala:vala vapi,Zig:zig,Solidity:sol,GLSL:glsl vert frag geom,HLSL:hlsl fx,Cuda:cu cuh,Metal:metal,Protocol Buffer:proto,Thrift:thrift,Objective-C++:mm,ActionScript:as,Haxe:hx,Verilog:v vh,SystemVerilog:sv svh,Apex:cls,Processing:pde,OpenCL:cl,Yacc:y,Lex:l,Stylus:styl,Gradle:gradle,Pony:pony,Chapel:chpl,FlatBuffers:fbs,QML:qml",
+    "JavaScript": "CoffeeScript:,Svelte:,JSON5:json5,Flow:flow",
+    "Python": "Cython:pyx pxd,Starlark:bzl star,GDScript:gd,Xonsh:xsh",
+    "Ruby": "Crystal:cr,RSpec:,Slim:,Puppet:pp",
+    "Shell": "Fish:fish,Awk:awk,Nix:nix,HCL:tf tfvars hcl,Tcl:tcl,Julia:jl,Nim:nim nims,Makefile:mk mak,CMake:cmake,Raku:raku p6,GraphQL:graphql gql,Properties:,Bitbake:bb,Just:,Dockerfile:dockerfile,CoffeeScript:coffee,Gnuplot:gp plt,Meson:,Jq:jq",
+    "Haskell": "Elm:elm,PureScript:purs,Agda:agda,Idris:idr,Dhall:dhall",
+    "SQL": "PLpgSQL:pgsql,PLSQL:pls plsql,Ada:adb ads,VHDL:vhd vhdl",
+    "Clojure": "Common Lisp:lisp lsp,Emacs Lisp:el,Scheme:scm ss,Racket:rkt,Assembly:asm",
+    "Erlang": "Prolog:pro,MATLAB:matlab,PostScript:ps eps",
+    "HTML": "Svelte:svelte,XSLT:xsl xslt,SVG:svg,ASP:asp aspx,Handlebars:hbs handlebars,EJS:ejs,Twig:twig",
+    "Text": "reStructuredText:rst,AsciiDoc:adoc asciidoc,Org:org,Textile:textile",
+}
+LANGUAGES += tuple(next(x for x in LANGUAGES if x.name == like)._replace(name=name, endings=endings) for like, more in ALIKE.items() for name, _, endings in (one.partition(":") for one in more.split(",")) if endings)
+LANGUAGES += (
+    Language("F#", "fs fsx fsi", line=("//",), block=(("(*", "*)"),)), Language("OCaml", "ml mli", block=(("(*", "*)"),), quotes=('"',)), Language("Pascal", "pas dpr", line=("//",), block=(("{", "}"), ("(*", "*)"))),
+    Language("Fortran", "f90 f95 f03", line=("!",)), Language("Visual Basic", "vb vbs bas", line=("'",), quotes=('"',)), Language("Batchfile", "bat cmd", line=("REM", "rem", "::")),
+    Language("Vim script", "vim", line=('"',), quotes=("'",)), Language("COBOL", "cob cbl", line=("*",)), Language("Smalltalk", "st", block=(('"', '"'),), quotes=("'",)),
+    Language("Haml", "haml", line=("-#",)), Language("Pug", "pug jade", **_C), Language("LLVM", "ll", line=(";",)), Language("AutoHotkey", "ahk", line=(";",)), Language("Sass", "sass", **_C),
+)
 BY_ENDING = {e: x.name for x in LANGUAGES for e in x.endings.split()}
 BY_NAME = {"Makefile": "Makefile", "Dockerfile": "Dockerfile", "Rakefile": "Ruby", "Gemfile": "Ruby", "Jenkinsfile": "Groovy"}
-NAMED = {x.name: x for x in LANGUAGES} | {n: Language(n, "", **_HASH) for n in ("Makefile", "Dockerfile")}
+BY_NAME |= {"CMakeLists.txt": "CMake", "Vagrantfile": "Ruby", "Podfile": "Ruby", "Guardfile": "Ruby", "Brewfile": "Ruby", "BUILD": "Starlark", "WORKSPACE": "Starlark", "SConstruct": "Python", "meson.build": "Meson", "GNUmakefile": "Makefile", "makefile": "Makefile", "Justfile": "Just"}
+#: By the program that a script's first line calls.
+BY_PROGRAM = {
+    **dict.fromkeys(("sh", "bash", "zsh", "dash", "ksh", "ash"), "Shell"), "fish": "Fish", "python": "Python", "pypy": "Python", "ruby": "Ruby", "perl": "Perl", "node": "JavaScript", "nodejs": "JavaScript", "deno": "TypeScript",
+    "php": "PHP", "rscript": "R", "lua": "Lua", "luajit": "Lua", "groovy": "Groovy", "make": "Makefile", "pwsh": "PowerShell", "elixir": "Elixir", "escript": "Erlang", "runhaskell": "Haskell", "runghc": "Haskell",
+    "awk": "Awk", "gawk": "Awk", "tclsh": "Tcl", "wish": "Tcl", "scala": "Scala", "swift": "Swift", "julia": "Julia", "racket": "Racket", "ocaml": "OCaml", "crystal": "Crystal", "nix-shell": "Nix", "raku": "Raku", "jq": "Jq", "kotlin": "Kotlin", "dart": "Dart",
+}
+NAMED = {x.name: x for x in LANGUAGES} | {n: Language(n, "", **_HASH) for n in ("Makefile", "Dockerfile", "Meson", "Just")}
 #: languages of settings rather than of programs
 SETTINGS = ("XML", "JSON", "TOML", "YAML", "INI", "SQL")
 GENERATED = re.compile(r"(?:machine generated|DO NOT (?:MODIFY|EDIT)|GENERATED)")

@@ -198,6 +198,11 @@ def reachable(edges: DataFrame, heads: DataFrame) -> DataFrame:
     return starts.join(graphs(edges), "repo", "left").select("repo", "graph", "heads").mapInArrow(run, "repo string, sha string")
 
 
+def roots(edges: DataFrame) -> DataFrame:
+    """(repo, sha): the commits that have no parent."""
+    return edges.groupBy("repo", F.col("child").alias("sha")).agg(F.count("parent").alias("n")).filter("n = 0").select("repo", "sha")
+
+
 def commit_range(edges: DataFrame, heads: DataFrame, start: DataFrame | None, inclusive: bool = True) -> DataFrame:
     """Commits reachable from ``heads`` but not from ``start`` (repo, sha), with
     ``start`` itself if ``inclusive``."""
@@ -210,6 +215,20 @@ def commit_range(edges: DataFrame, heads: DataFrame, start: DataFrame | None, in
     return found.join(reachable(edges, before), ["repo", "sha"], "left_anti")
 
 
+def common_parents(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """(repo, sha): the first commit that walks by level from all heads (repo, sha) of a
+    repository meet at; repositories whose heads have none in common are left out."""
+    asked = heads.groupBy("repo").agg(F.sort_array(F.collect_set("sha")).alias("heads"))
+
+    def run(batches):
+        for b in batches:
+            met = [(r["repo"], last_common_parent({n["child"]: n["parents"] for n in r["graph"]}, r["heads"])) for r in b.to_pylist()]
+            met = [x for x in met if x[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in met], pa.string()) for i in (0, 1)], ["repo", "sha"])
+
+    return graphs(edges).join(asked, "repo").select("repo", "graph", "heads").mapInArrow(run, "repo string, sha string")
+
+
 def children(edges: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, sha, children): each commit's children, sorted; none is an empty list."""
     grouped = edges.filter("parent IS NOT NULL").groupBy("repo", F.col("parent").alias("sha")).agg(F.sort_array(F.collect_set("child")).alias("children"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.log_text import numstat_path, raw_files
@@ -17,13 +17,15 @@ def commit_files(lines: DataFrame) -> DataFrame:
     A file that only a numstat line names is modified; a later line wins over an
     earlier one only in counts. One shuffle joins both by file.
     """
-    known = lines.filter("line <> ''")
-    raw = known.filter("line LIKE ':%'").select("repo", "sha", F.explode(raw_files(F.col("line"))).alias("f")).select("repo", "sha", "f.*")
-    stat = known.filter(~F.col("line").startswith(":") & (F.size(F.split("line", "\t")) == 3)).withColumn("p", F.split("line", "\t"))
     number = lambda i: F.expr(f"try_cast(get(p, {i}) AS int)")
     binary = F.get("p", F.lit(0)) == "-"
-    stat = stat.select("repo", "sha", numstat_path(F.get("p", F.lit(2))).alias("filename"), binary.alias("binary"), *[F.when(binary, 0).otherwise(F.coalesce(number(i), F.lit(0))).alias(n) for i, n in enumerate(("additions", "deletions"))])
-    one = raw.withColumn("told", F.lit(True)).unionByName(stat.withColumn("told", F.lit(False)), allowMissingColumns=True)
+    counts = [F.when(binary, 0).otherwise(F.coalesce(number(i), F.lit(0))).alias(n) for i, n in enumerate(("additions", "deletions"))]
+    kinds = {"filename": "string", "status": "string", "renamed": "boolean", "copied": "boolean", "renamed_from": "string", "renamed_to": "string", "copied_from": "string"}
+    none = {"additions": "int", "deletions": "int", "binary": "boolean"}
+    of_raw = lambda f: F.struct(F.lit(True).alias("told"), *[f[c].alias(c) for c in RAW], *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    of_stat = F.struct(F.lit(False).alias("told"), numstat_path(F.get("p", F.lit(2))).alias("filename"), *[F.lit(None).cast(t).alias(c) for c, t in list(kinds.items())[1:]], *counts, binary.alias("binary"))
+    found = F.when(F.col("line").startswith(":"), F.transform(raw_files(F.col("line")), of_raw)).when(F.size("p") == 3, F.array(of_stat))
+    one = lines.filter("line <> ''").withColumn("p", F.split("line", "\t")).select("repo", "sha", F.explode(found).alias("f")).select("repo", "sha", "f.*")
     keys = ["repo", "sha", "filename"]
     first = lambda c: F.max(F.when(F.col("told"), F.col(c))).alias(c)
     out = one.groupBy(*keys).agg(*[first(c) for c in RAW[1:]], *[F.max(F.when(~F.col("told"), F.col(c))).alias(c) for c in ("additions", "deletions", "binary")])
@@ -31,11 +33,6 @@ def commit_files(lines: DataFrame) -> DataFrame:
     return out.select(*keys, *[F.coalesce(c, filled[c]).alias(c) if c in filled else F.col(c) for c in (*RAW[1:], "additions", "deletions", "binary")])
 
 
-def with_ordinal(commits: DataFrame, order: str = "seq") -> DataFrame:
-    """``ordinal`` counts a repository's commits from 1 in log order."""
-    return commits.withColumn("ordinal", F.row_number().over(Window.partitionBy("repo").orderBy(order)).cast("bigint"))
-
-
 def files_by_commit(commits: DataFrame, files: DataFrame) -> DataFrame:
     """``commits`` with ``files``, a map from name to file."""
     fields = [c for c in files.columns if c not in ("repo", "sha")]

@@ -19,3 +19,17 @@ def totals(work: DataFrame) -> DataFrame:
 
 def largest(work: DataFrame, n: int = 10) -> DataFrame:
     return work.orderBy(F.desc("bytes"), "repo", "sha").limit(n)
+
+
+def live_state(fold: DataFrame) -> DataFrame:
+    """(repo, commits, files, lines): what a fold (with ``live``) leaves for later commits."""
+    live = fold.filter("live")
+    return live.groupBy("repo").agg(F.countDistinct("sha").alias("commits"), F.count(F.when(F.col("path") != "", 1)).alias("files"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).cast("bigint").alias("lines"))
+
+
+def dump(blame: DataFrame) -> DataFrame:
+    """(repo, sha, path, text): versions as text for a look, a line and its commit in each
+    line, by repository, commit and path."""
+    one = F.transform("lines", lambda x: F.concat(F.substring(x.commit, 1, 8), F.lit(" "), F.decode(x.line, "UTF-8")))
+    text = F.when(F.col("is_binary"), F.lit("(binary)")).otherwise(F.array_join(one, "\n"))
+    return blame.select("repo", "sha", "path", text.alias("text")).orderBy("repo", "sha", "path")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import classify, licenses
@@ -48,13 +48,17 @@ def with_license(files: DataFrame, path: str, content: str, threshold: float = l
     return asked.unionByName(files.filter(~F.coalesce(may, F.lit(False))).withColumn("license", F.lit(None).cast("struct<name:string,confidence:float>")))
 
 
-def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, sha, filename, language, size, loc .. blanks, complexity, weighted_complexity,
     skipped, license, status, lines) for each file version that its commit lists.
 
     Each line has its author's name, address and date, null if its commit isn't known.
+    With ``strict``, a version of a commit that isn't among ``commits`` is an error, and so is a
+    renamed file that its commit shows under no name; without, both are left out.
     """
     listed = commit_files.select("repo", "sha", F.col("filename").alias("path"), "status")
+    if strict:
+        check_matched(blame, commits, commit_files)
     rows = blame.filter("path <> ''").join(listed, ["repo", "sha", "path"])
     texts = F.transform("lines", lambda x: x.line)
     body = F.when(F.size("lines") > 0, F.concat(F.array_join(F.transform(texts, lambda x: F.decode(x, "ISO-8859-1")), "\n"), F.lit("\n"))).otherwise("")
@@ -62,8 +66,9 @@ def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame) ->
     gone = F.col("status") == "removed"
     judged = with_license(rows.filter(~gone), "path", "content")
     path = F.col("path")
-    reason = classify.skip_reason(path, F.col("size"), F.size("lines"), classify.first_wide_line(texts), F.col("license").isNotNull())
-    judged = judged.withColumn("skipped", reason).withColumn("language", F.when(F.col("skipped") == "", classify.language(path)).otherwise("")).drop("content")
+    first = F.decode(F.get(texts, F.lit(0)), "UTF-8")
+    reason = classify.skip_reason(path, F.col("size"), F.size("lines"), classify.first_wide_line(texts), F.col("license").isNotNull(), first)
+    judged = judged.withColumn("skipped", reason).withColumn("language", F.when(F.col("skipped") == "", classify.language(path, first)).otherwise("")).drop("content")
     keys = ["repo", "sha", "path"]
     kept = judged.filter("skipped = ''")
     counts = counted(kept.withColumn("lines", F.transform("lines", lambda x: x.line)), keys)
@@ -73,17 +78,39 @@ def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame) ->
         *keys, F.when(made, "").otherwise(F.col("language")).alias("language"), F.when(F.col("skipped") == "", F.col("size")).otherwise(0).alias("size"), *[zero(c) for c in ("loc", "sloc", "comments", "blanks", "complexity")],
         F.lit(0.0).alias("weighted_complexity"), F.when(made, classify.GENERATED).otherwise(F.col("skipped")).alias("skipped"), "license", "status", "lines", "classes",
     )
-    one = full.filter("skipped = '' OR loc > 0").select(*keys, F.posexplode("lines").alias("n", "l"), "classes")
-    kind = F.substring(F.col("classes"), F.col("n") + 1, F.lit(1))
-    who = commits.select("repo", F.col("sha").alias("origin"), F.col("author_name").alias("name"), F.col("author_email").alias("email"), "date")
-    line = F.struct("n", "name", "email", "date", (kind == "m").alias("comment"), (kind == "c").alias("code"), (kind == "b").alias("blank"), F.col("origin").alias("sha"))
-    lines = one.withColumn("origin", F.col("l.commit")).join(who, ["repo", "origin"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    lines = lines.withColumn("lines", F.transform("lines", lambda x: x.dropFields("n")))
-    out = full.drop("lines", "classes").join(lines, keys, "left")
+    # each version's different origins meet their authors; its lines stay where they are
+    shown = full.withColumn("shown", (F.col("skipped") == "") | (F.col("loc") > 0))
+    origins = shown.filter("shown").select(*keys, F.explode(F.array_distinct(F.transform("lines", lambda x: x.commit))).alias("origin"))
+    who = commits.select("repo", F.col("sha").alias("origin"), F.struct(F.col("author_name").alias("name"), F.col("author_email").alias("email"), "date").alias("who"))
+    found = origins.join(who, ["repo", "origin"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("origin", "who"))).alias("authors"))
+
+    def line(x: Column, i: Column) -> Column:
+        kind, author = F.substring(F.col("classes"), i + 1, F.lit(1)), F.col("authors")[x.commit]
+        return F.struct(author["name"].alias("name"), author["email"].alias("email"), author["date"].alias("date"), (kind == "m").alias("comment"), (kind == "c").alias("code"), (kind == "b").alias("blank"), x.commit.alias("sha"))
+
+    lines = F.when(F.col("shown") & (F.size("lines") > 0), F.transform("lines", line))
+    out = shown.join(found, keys, "left").withColumn("lines", lines).drop("shown", "classes", "authors")
     away = rows.filter(gone).select(*keys, F.lit("").alias("language"), *[F.lit(0).cast("bigint").alias(c) for c in ("size", "loc", "sloc", "comments", "blanks", "complexity")], F.lit(0.0).alias("weighted_complexity"), F.lit(classify.REMOVED).alias("skipped"), F.lit(None).cast("struct<name:string,confidence:float>").alias("license"), "status")
     return out.unionByName(away, allowMissingColumns=True).withColumnRenamed("path", "filename")
 
 
+class UnmatchedVersion(ValueError):
+    """A version whose commit, or a renamed file that its commit's log, doesn't have."""
+
+
 def unmatched(blame: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, sha) of versions whose commit isn't among ``commits``: none in a sound history."""
     return blame.select("repo", "sha").distinct().join(commits.select("repo", "sha"), ["repo", "sha"], "left_anti")
+
+
+def lost_renames(blame: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """(repo, sha, filename) of renamed files that the fold doesn't show, though it shows their commit."""
+    seen = blame.select("repo", "sha", F.col("path").alias("filename"))
+    renamed = commit_files.filter("renamed AND status <> 'removed'").select("repo", "sha", "filename")
+    return renamed.join(seen.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi").join(seen, ["repo", "sha", "filename"], "left_anti")
+
+
+def check_matched(blame: DataFrame, commits: DataFrame, commit_files: DataFrame) -> None:
+    for kind, rows in (("a version of an unknown commit", unmatched(blame, commits)), ("a renamed file that isn't shown", lost_renames(blame, commit_files))):
+        if (first := rows.first()) is not None:
+            raise UnmatchedVersion(f"{kind}: {first.asDict()}")

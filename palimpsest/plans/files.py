@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import classify
 from palimpsest.functions.languages import BY_ENDING, BY_NAME
+from palimpsest.functions.licenses import TEXTS, THRESHOLD
 from palimpsest.operators import stats
 from palimpsest.storage import read_table
 
@@ -58,13 +59,23 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.counted(d, ["doc_id"])
 
 
+def script_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scripts whose name says nothing, so that their first line does."""
+    first = F.element_at(F.array(*[F.lit(x) for x in FIRST_LINES]), F.pmod(F.col("p_partkey"), F.lit(len(FIRST_LINES))).cast("int") + 1)
+    rows = read_table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("bin/tool"), F.when(F.col("p_partkey") % 5 == 0, ".go").otherwise("")).alias("path"), first.alias("first"))
+    return rows.select("p_partkey", classify.language(F.col("path"), F.col("first")).alias("language"))
+
+
+FIRST_LINES = ("#!/bin/sh", "#!/usr/bin/env python3.11", "#! /usr/bin/env -S node --harmony", "#!/usr/local/bin/perl -w", "# no script", "", "#!/usr/bin/unheard-of", "#!/usr/bin/ruby2.7")
+
+
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a licence file: what it is, if it is one."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.lit("LICENSE").alias("path"), "text")
     return stats.with_license(d, "path", "text").select("doc_id", F.col("license.name").alias("name"), F.col("license.confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (page_paths, part_paths, file_reasons, line_counts, code_counts, licenses)}
+QUERIES = {f.__name__: f for f in (page_paths, part_paths, file_reasons, line_counts, code_counts, script_languages, licenses)}
 
 
 def _quoted(x: str) -> str:
@@ -83,7 +94,13 @@ _LANGUAGE = f"""CASE {" ".join(f"WHEN {_NAME} = '{k}' THEN '{v}'" for k, v in BY
 _FILES = f"""f AS (SELECT doc_id, source || '/' || doc_id || '.' || CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS.items())} END AS path,
   strlen(text) AS size, string_split(text, chr(10)) AS ls FROM documents)"""
 
+_PAIRS = "list_distinct(list_zip(w[:-2], w[2:]))"
 ORACLES = {
+    "script_languages": f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Go' ELSE (['Shell', 'Python', 'JavaScript', 'Perl', '', '', '', 'Ruby'])[p_partkey % {len(FIRST_LINES)} + 1] END AS language FROM part",
+    "licenses": f"""WITH r AS (SELECT name, len({_PAIRS}) AS n, unnest({_PAIRS}) AS p FROM (VALUES {", ".join(f"({_quoted(k)}, string_split({_quoted(v)}, ' '))" for k, v in TEXTS.items())}) AS t(name, w)),
+d AS (SELECT doc_id, unnest({_PAIRS}) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE strlen(text) <= {classify.MOST_BYTES})),
+s AS (SELECT d.doc_id, r.name, count(*) / any_value(r.n) AS share FROM d JOIN r ON d.p[1] = r.p[1] AND d.p[2] = r.p[2] GROUP BY ALL HAVING share >= {THRESHOLD})
+SELECT doc_id, max_by(name, share) AS name, max(share)::FLOAT AS confidence FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""",
     "page_paths": f"WITH p AS (SELECT page_id, regexp_extract(url, '{URL_PATH}', 1) AS path FROM pages) SELECT page_id, path, {_REASON} AS reason, {_LANGUAGE} AS language FROM p",
     "part_paths": f"""WITH p AS (SELECT p_partkey, ([{", ".join(map(_quoted, FOLDERS))}])[p_partkey % {len(FOLDERS)} + 1] || ([{", ".join(map(_quoted, NAMES))}])[(p_partkey // {len(FOLDERS)}) % {len(NAMES)} + 1] AS path FROM part)
 SELECT p_partkey, path, {_REASON} AS reason, {_LANGUAGE} AS language, {_matches("path", classify.LICENSE_PATH)} AS may_be_license FROM p""",

@@ -33,7 +33,7 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def default_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each default branch's commits in order."""
     b = branch_records(spark, sf_dir, include_default=True).filter("is_default")
-    return b.select("repo", "name", "branch_id", "head_sha", F.posexplode("commits").alias("pos", "sha"))
+    return b.select("repo", "name", "branch_id", "head_sha", F.posexplode("commits").alias("pos", "sha")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def reachable_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,15 @@ FROM b JOIN own ON own.repo = b.repo AND own.head = b.head LEFT JOIN m ON m.repo
 _ORDINALS = f"WITH {COMMITS_SQL} SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY ts, event_id) AS ordinal FROM c"
 
 ORACLES = {
+    # the walk of one branch as a list of what is to do and one of what is done, a row for each step
+    "default_history": f"""WITH RECURSIVE {COMMITS_SQL}, pa AS (SELECT repo, sha, list_filter([p0, p1], lambda x: x IS NOT NULL) AS ps FROM c),
+k(repo, head, todo, done) AS (
+  SELECT repo, sha, [sha], []::VARCHAR[] FROM tops
+  UNION ALL SELECT k.repo, k.head, CASE WHEN list_contains(k.done, pa.sha) THEN k.todo[:-2] ELSE list_concat(k.todo[:-2], pa.ps) END,
+    CASE WHEN list_contains(k.done, pa.sha) THEN k.done ELSE list_append(k.done, pa.sha) END
+  FROM k JOIN pa ON pa.repo = k.repo AND pa.sha = k.todo[-1] WHERE len(k.todo) > 0),
+f AS (SELECT repo, head, done, unnest(range(1, len(done) + 1)) AS i FROM k WHERE len(todo) = 0)
+SELECT repo, 'view' AS name, sha256('view') AS branch_id, head AS head_sha, len(done) - i AS pos, done[i] AS sha FROM f""",
     "branch_summary": _SUMMARY,
     "pull_requests": _PULLS,
     "reachable_commits": f"WITH RECURSIVE {COMMITS_SQL}, {_REACH} SELECT repo, sha FROM r",

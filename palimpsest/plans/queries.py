@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import files, graphs, history
+from palimpsest.plans import files, graphs, history, merges
 
-QUERIES = graphs.QUERIES | files.QUERIES | history.QUERIES
-ORACLES = graphs.ORACLES | files.ORACLES | history.ORACLES
+QUERIES = graphs.QUERIES | files.QUERIES | history.QUERIES | merges.QUERIES
+ORACLES = graphs.ORACLES | files.ORACLES | history.ORACLES | merges.ORACLES

@@ -2,15 +2,18 @@
 
 ``spark.read.format("patch_log").option("path", "/repos").load()``; formats are
 ``patch_log``, ``log_lines``, ``commit_log``, ``commit_graph``, ``refs`` and ``tree``. Options:
-``path`` (a repository or a folder of them), ``depth``, ``git``, ``commitFrom``, ``inclusive``,
-``allBranches``, ``remote`` (refs of origin) and ``commit`` (of ``tree``).
+``path`` (a repository or a folder of them), ``depth``, ``git``, ``commitFrom`` (a commit, or JSON of
+commits by repository; the others are read from their start), ``inclusive``,
+``allBranches``, ``remote`` (refs of origin), ``limit`` (that many commits from the start of a log) and ``commit`` (of ``tree``).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -29,12 +32,19 @@ class GitError(RuntimeError):
 
 
 def lines_of(git: str, folder: str, *args: str) -> Iterator[bytes]:
-    """Lines that git writes, as it writes them."""
-    run = subprocess.Popen([git, "-C", folder, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
-    yield from run.stdout
-    error = run.stderr.read().decode(errors="replace")
-    if run.wait():
-        raise GitError(f"{folder}: git {args[0]}: {error.strip()}")
+    """Lines that git writes, as it writes them. What it says of errors goes to a file, so
+    that it never waits for a reader; it ends when the reader does."""
+    with tempfile.TemporaryFile() as said:
+        run = subprocess.Popen([git, "-C", folder, *args], stdout=subprocess.PIPE, stderr=said)
+        try:
+            yield from run.stdout
+            if run.wait():
+                said.seek(0)
+                raise GitError(f"{folder}: git {args[0]}: {said.read().decode(errors='replace').strip()}")
+        finally:
+            run.kill()
+            run.stdout.close()
+            run.wait()
 
 
 def text_of(git: str, folder: str, *args: str) -> str:
@@ -58,7 +68,10 @@ class _Reader(DataSourceReader):
         self.root = options["path"].removeprefix("file:")
         self.git = options.get("git", "git")
         self.depth = int(options.get("depth", 1))
-        self.start = options.get("commitfrom", "")
+        start = options.get("commitfrom", "")
+        self.starts = json.loads(start) if start.startswith("{") else None
+        self.start = "" if self.starts is not None else start
+        self.limit = int(options.get("limit", 0))
         self.inclusive = str(options.get("inclusive", "true")).lower() == "true"
         self.all = str(options.get("allbranches", "false")).lower() == "true"
         self.remote = str(options.get("remote", "false")).lower() == "true"
@@ -68,10 +81,17 @@ class _Reader(DataSourceReader):
         """Repositories without commits are left out."""
         return [_Repo(os.path.relpath(d, self.root), d) for d in find_repos(self.root, self.depth) if head_of(self.git, d)]
 
-    def span(self) -> list[str]:
-        if self.start:
-            return [f"{self.start}{'^' if self.inclusive else ''}..HEAD"]
-        return ["--all"] if self.all else []
+    def span(self, name: str, folder: str) -> list[str]:
+        """What ``git log`` is asked for. Before a first commit there is nothing to leave out."""
+        start = self.start if self.starts is None else self.starts.get(name, "")
+        if not start:
+            return ["--all"] if self.all else []
+        known = lambda name: subprocess.run([self.git, "-C", folder, "rev-parse", "-q", "--verify", f"{name}^{{commit}}"], capture_output=True).returncode == 0
+        if not known(start):
+            raise GitError(f"{folder}: there's no commit {start}")
+        if not self.inclusive:
+            return [f"{start}..HEAD"]
+        return [f"{start}^..HEAD"] if known(f"{start}^") else ["HEAD"]
 
     def read(self, partition: _Repo | None) -> Iterator[tuple]:
         if partition is not None:
@@ -83,10 +103,12 @@ class _Reader(DataSourceReader):
 
 class PatchReader(_Reader):
     def rows(self, name, folder):
-        args = [*NO_ATTRIBUTES, "log", "-p", "-m", "--date-order", "--reverse", "--no-abbrev-commit", "--pretty=short", *self.span()]
+        args = [*NO_ATTRIBUTES, "log", "-p", "-m", "--date-order", "--reverse", "--no-abbrev-commit", "--pretty=short", *self.span(name, folder)]
         seq, last = -1, None
         for record in patch_log(lines_of(self.git, folder, *args)):
             seq += record.sha != last
+            if self.limit and seq >= self.limit:
+                return
             last = record.sha
             for i, diff in enumerate(record.changes or (None,)):
                 yield name, record.sha, seq, record.against, i, diff
@@ -94,12 +116,14 @@ class PatchReader(_Reader):
 
 class LogLineReader(_Reader):
     def rows(self, name, folder):
-        args = [*NO_ATTRIBUTES, "log", "-c", "--raw", "--reverse", "--numstat", "--pretty=format:!%H", *self.span()]
-        sha = ""
+        args = [*NO_ATTRIBUTES, "log", "-c", "--raw", "--reverse", "--numstat", "--pretty=format:!%H", *self.span(name, folder)]
+        sha, n = "", 0
         for raw in lines_of(self.git, folder, *args):
             line = raw.rstrip(b"\n").decode("utf-8", "replace")
             if line.startswith("!"):
-                sha = line[1:]
+                sha, n = line[1:], n + 1
+                if self.limit and n > self.limit:
+                    return
             elif line and not line.startswith("::"):  # a merge's combined line
                 yield name, sha, line
 
@@ -107,7 +131,9 @@ class LogLineReader(_Reader):
 class CommitReader(_Reader):
     def rows(self, name, folder):
         form = "%x1f".join(("%H", "%an", "%ae", "%cn", "%ce", "%aI", "%P", "%s"))
-        for i, raw in enumerate(lines_of(self.git, folder, "log", "--reverse", f"--pretty=format:{form}", *self.span())):
+        for i, raw in enumerate(lines_of(self.git, folder, "log", "--reverse", f"--pretty=format:{form}", *self.span(name, folder))):
+            if self.limit and i >= self.limit:
+                return
             sha, an, ae, cn, ce, date, parents, subject = raw.rstrip(b"\n").decode("utf-8", "replace").split("\x1f", 7)
             when = datetime.fromisoformat(date)
             yield name, sha, an, ae, cn, ce, when.astimezone(timezone.utc), int(when.utcoffset().total_seconds() // 60), i + 1, subject, parents.split()

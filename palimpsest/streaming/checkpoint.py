@@ -1,10 +1,24 @@
-"""State of a fold as tables: trees, versions, line texts, each text once."""
+"""State of a fold as tables: trees, versions, line texts, each text once.
+
+A state is a numbered list of repositories, each with its version and the part that holds
+it. A part has the repositories of one run; those of other runs stay in theirs.
+A list counts once it is whole, so that a run that breaks off changes nothing. The list
+before the newest one stays, older ones go with the parts that no list names.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLES = {
+    "trees": "repo string, part string, sha string, path string, blame_id string",
+    "blames": "repo string, part string, blame_id string, blame_commit string, is_binary boolean, lines array<struct<id:string,commit:string>>",
+    "lines": "repo string, part string, id string, line binary",
+}
+
 
 class UnexpectedCheckpoint(RuntimeError):
     """There's no checkpoint, or one of another version than asked for."""
@@ -15,35 +29,63 @@ def _fs(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def write_state(live: DataFrame, folder: str, version: str) -> None:
-    """Write the live rows of a fold. The tables go to a new folder, which takes
-    the place of the old one only when it is complete."""
+def numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The lists that are whole, oldest first."""
+    fs, path = _fs(spark, folder)
+    if not fs.exists(path(folder)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path(folder))]
+    return sorted(int(n[5:]) for n in names if n.startswith("list-") and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def versions(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """(repo, version, part) of a list, the newest one unless it is named."""
+    known = numbers(spark, folder)
+    if not known or (number is not None and number not in known):
+        raise UnexpectedCheckpoint(f"no checkpoint in {folder}" + (f" with number {number}" if known else ""))
+    return spark.read.parquet(f"{folder}/list-{known[-1] if number is None else number}")
+
+
+def write_state(live: DataFrame, folder: str, version: str | DataFrame, number: int | None = None) -> None:
+    """Write the live rows of a fold. ``version``: of all their repositories, or (repo, version);
+    repositories that aren't among them keep what the list before ``number`` has. By
+    default ``number`` follows the newest one; a list of that number is replaced."""
     spark = live.sparkSession
     fs, path = _fs(spark, folder)
-    new = f"{folder}.new"
-    fs.delete(path(new), True)
+    known = [n for n in numbers(spark, folder) if number is None or n < number]
+    number = number if number is not None else (known[-1] + 1 if known else 0)
+    if not isinstance(version, DataFrame):
+        version = live.select("repo").distinct().withColumn("version", F.lit(version))
+    part = f"part-{uuid.uuid4().hex}"
     plain = F.transform("lines", lambda x: F.concat(F.hex(x.line), F.lit(":"), x.commit))
     key = F.sha2(F.concat_ws("|", "repo", "path", "blame_commit", F.col("is_binary").cast("string"), F.array_join(plain, ",")), 256)
-    rows = live.select("repo", "sha", "path", "blame_commit", "is_binary", F.transform("lines", lambda x: F.struct(F.sha2(x.line, 256).alias("id"), x.line.alias("line"), x.commit.alias("commit"))).alias("lines"), key.alias("blame_id"))
-    rows.select("repo", "sha", "path", "blame_id").write.parquet(f"{new}/trees")
-    one = rows.select("repo", "blame_id", "blame_commit", "is_binary", F.transform("lines", lambda x: F.struct(x.id.alias("id"), x.commit.alias("commit"))).alias("lines"))
-    one.dropDuplicates(["repo", "blame_id"]).write.parquet(f"{new}/blames")
-    rows.select("repo", F.explode("lines").alias("l")).select("repo", "l.id", "l.line").dropDuplicates(["repo", "id"]).write.parquet(f"{new}/lines")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{new}/version")
-    fs.delete(path(folder), True)
-    if not fs.rename(path(new), path(folder)):
-        raise OSError(f"can't rename {new}")
-
-
-def read_state(spark: SparkSession, folder: str, expected: str | None = None) -> DataFrame:
-    """The rows that were written; of version ``expected`` unless that is None."""
-    fs, path = _fs(spark, folder)
-    if not fs.exists(path(f"{folder}/version")):
-        raise UnexpectedCheckpoint(f"no checkpoint in {folder}")
-    version = spark.read.parquet(f"{folder}/version").first()[0]
-    if expected is not None and version != expected:
-        raise UnexpectedCheckpoint(f"expected {expected}, found {version}")
-    trees, blames, texts = (spark.read.parquet(f"{folder}/{t}") for t in ("trees", "blames", "lines"))
+    rows = live.select("repo", F.lit(part).alias("part"), "sha", "path", "blame_commit", "is_binary", F.transform("lines", lambda x: F.struct(F.sha2(x.line, 256).alias("id"), x.line.alias("line"), x.commit.alias("commit"))).alias("lines"), key.alias("blame_id"))
+    rows.select("repo", "part", "sha", "path", "blame_id").write.parquet(f"{folder}/{part}/trees")
+    one = rows.select("repo", "part", "blame_id", "blame_commit", "is_binary", F.transform("lines", lambda x: F.struct(x.id.alias("id"), x.commit.alias("commit"))).alias("lines"))
+    one.dropDuplicates(["repo", "blame_id"]).write.parquet(f"{folder}/{part}/blames")
+    rows.select("repo", "part", F.explode("lines").alias("l")).select("repo", "part", "l.id", "l.line").dropDuplicates(["repo", "id"]).write.parquet(f"{folder}/{part}/lines")
+    listed = version.select("repo", "version", F.lit(part).alias("part"))
+    if known:
+        kept = versions(spark, folder, known[-1])
+        listed = listed.unionByName(kept.join(listed.select("repo"), "repo", "left_anti"))
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/list-{number}")
+    for old in known[:-1]:
+        fs.delete(path(f"{folder}/list-{old}"), True)
+    named = {r.part for n in (*known[-1:], number) for r in versions(spark, folder, n).select("part").distinct().collect()}
+    for name in [x.getPath().getName() for x in fs.listStatus(path(folder))]:
+        if name.startswith("part-") and name not in named:
+            fs.delete(path(f"{folder}/{name}"), True)
+
+
+def read_state(spark: SparkSession, folder: str, expected: str | None = None, number: int | None = None) -> DataFrame:
+    """The rows that were written; all of version ``expected`` unless that is None."""
+    listed = versions(spark, folder, number)
+    other = expected is not None and listed.filter(F.col("version") != expected).first()
+    if other:
+        raise UnexpectedCheckpoint(f"expected {expected}, found {other.version} for {other.repo}")
+    parts = [r.part for r in listed.select("part").distinct().collect()]
+    read = lambda t: spark.read.schema(TABLES[t]).parquet(*[f"{folder}/{p}/{t}" for p in parts]).join(listed.select("repo", "part"), ["repo", "part"], "left_semi").drop("part")
+    trees, blames, texts = map(read, TABLES)
     one = blames.select("repo", "blame_id", F.posexplode("lines").alias("n", "l")).select("repo", "blame_id", "n", "l.*")
     full = one.join(texts, ["repo", "id"]).groupBy("repo", "blame_id").agg(F.sort_array(F.collect_list(F.struct("n", "line", "commit"))).alias("lines"))
     none = F.expr("CAST(array() AS array<struct<line:binary,commit:string>>)")

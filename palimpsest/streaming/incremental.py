@@ -1,7 +1,7 @@
 """Histories that grow: patches as a stream, folded batch by batch.
 
-Each micro-batch continues from the checkpoint of the batch before, whose number
-is the checkpoint's version; a batch that is delivered again is folded from the
+Each micro-batch continues from the checkpoint of the batch before it, whose number
+the checkpoint has; a batch that is delivered again is folded from the
 state before it, so that results are the same. Commits come in history order,
 parents first; a batch takes whole commits.
 """
@@ -14,27 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.blame import fold_history
-from palimpsest.streaming.checkpoint import read_state, write_state
+from palimpsest.storage import discard, stash
+from palimpsest.streaming.checkpoint import numbers, read_state, write_state
 
 
 class IncrementalFold:
-    """A ``foreachBatch`` function over patches (schema ``PATCHES``)."""
+    """A ``foreachBatch`` function over patches (schema ``PATCHES``). ``edges``: the graph, or what
+    gives it anew for each batch. Only the repositories of a batch are read and written."""
 
-    def __init__(self, edges: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], keep: int = 1000):
+    def __init__(self, edges: DataFrame | Callable[[], DataFrame], folder: str, sink: Callable[[DataFrame, int], None], keep: int = 1000):
         self.edges, self.folder, self.sink, self.keep = edges, folder, sink, keep
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, f"{self.folder}/{number - 1}", str(number - 1)) if number else None
-        found = fold_history(batch, self.edges, state, self.keep)
-        found.write.mode("overwrite").parquet(f"{self.folder}/fold-{number}")
-        found = spark.read.schema(found.schema).parquet(f"{self.folder}/fold-{number}")
-        live = found.filter("live")
-        if state is not None:  # repositories without patches in this batch stay as they were
-            kept = state.join(batch.select("repo").distinct(), "repo", "left_anti")
-            live = live.drop("live").unionByName(kept)
-        write_state(live.withColumn("live", F.lit(True)), f"{self.folder}/{number}", str(number))
+        touched = batch.select("repo").distinct()
+        before = [n for n in numbers(spark, self.folder) if n < number]
+        state = read_state(spark, self.folder, number=before[-1]).join(touched, "repo", "left_semi") if before else None
+        edges = self.edges() if callable(self.edges) else self.edges
+        found = stash(fold_history(batch, edges, state, self.keep), "fold")
+        write_state(found.filter("live"), self.folder, touched.withColumn("version", F.lit(str(number))), number)
         self.sink(found.filter("NOT live").drop("live"), number)
+        discard(found)
 
 
 def start(patches: DataFrame, fold: IncrementalFold, checkpoint: str):

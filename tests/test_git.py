@@ -7,8 +7,11 @@ import pytest
 
 from palimpsest.__main__ import main
 from palimpsest.engine import HistoryEngine, Options
+from palimpsest.operators import stats
 from palimpsest.operators.validate import differences
+from palimpsest.sources.git import GitError, lines_of
 from palimpsest.sources.repos import each_repo, find_repos
+from palimpsest.streaming import checkpoint
 from palimpsest.streaming.checkpoint import UnexpectedCheckpoint
 
 
@@ -104,3 +107,87 @@ def test_command_line(spark, repos, capsys, tmp_path):
     assert main(["branches", str(repos)]) == 0
     assert "open" in capsys.readouterr().out
     assert main(["code", str(tmp_path)]) == 1
+
+
+def counting(tmp_path):
+    """A git that writes down what it's asked for."""
+    program, said = tmp_path / "git.sh", tmp_path / "said"
+    program.write_text(f'#!/bin/sh\necho "$@" >> {said}\nexec git "$@"\n')
+    program.chmod(0o755)
+    return str(program), said
+
+
+def test_code_folds_once(spark, repos, tmp_path):
+    program, said = counting(tmp_path)
+    engine = HistoryEngine(spark, Options(str(repos), git=program))
+    for _ in range(2):
+        assert engine.code().collect() and engine.code_by_commit().collect()
+    asked = said.read_text().splitlines()
+    assert sum(" -p " in a for a in asked) == 1 and sum("--numstat" in a for a in asked) == 1
+    assert {"fold", "commits", "commit_files", "edges"} <= {n for n, _, _ in engine.times.report()}
+
+
+def test_roots_and_limits(spark, repos):
+    first = git(repos / "one", "rev-list", "--max-parents=0", "HEAD")
+    assert [tuple(r) for r in HistoryEngine(spark, Options(str(repos))).roots().collect()] == [("one", first)]
+    few = HistoryEngine(spark, Options(str(repos), limit=2))
+    assert few.commits().count() == 2 and few.blame().select("sha").distinct().count() == 2 and few.code().count() == 2
+    inclusive = HistoryEngine(spark, Options(str(repos), commit_from=first))
+    assert inclusive.commits().count() == HistoryEngine(spark, Options(str(repos))).commits().count()
+
+
+def test_strict_checks(spark, repos):
+    engine = HistoryEngine(spark, Options(str(repos)))
+    shown, commits, files = engine.blame(), engine.commits(), engine.commit_files()
+    stats.check_matched(shown, commits, files)
+    sha = shown.first().sha
+    with pytest.raises(stats.UnmatchedVersion, match="unknown commit"):
+        stats.file_stats(shown, commits.filter(commits.sha != sha), files, strict=True)
+    with pytest.raises(stats.UnmatchedVersion, match="renamed"):
+        stats.file_stats(shown.filter("path <> 'cmd.go'"), commits, files, strict=True)
+
+
+def test_each_repository_resumes_where_it_was(spark, tmp_path):
+    state = str(tmp_path / "state")
+    root = tmp_path / "repos"
+    heads = {}
+    for name in ("a", "b", "c"):
+        (root / name).mkdir(parents=True)
+        git(root / name, "init", "-q", "-b", "master")
+        if name != "c":
+            put(root / name, "f.txt", f"{name} one\n", 1)
+            heads[name] = put(root / name, "f.txt", f"{name} one\n{name} two\n", 2)
+    assert HistoryEngine(spark, Options(str(root), checkpoints=state)).blame().count() == 4
+    assert {r.repo: r.version for r in checkpoint.versions(spark, state).collect()} == heads
+    heads["a"] = put(root / "a", "f.txt", "a zero\na one\na two\n", 3)
+    heads["c"] = put(root / "c", "f.txt", "c one\n", 3)
+    more = HistoryEngine(spark, Options(str(root), checkpoints=state, resume=True)).blame().collect()
+    assert {(r.repo, len(r.lines)) for r in more} == {("a", 3), ("c", 1)}
+    assert len({x.commit for r in more if r.repo == "a" for x in r.lines}) == 3
+    assert {r.repo: r.version for r in checkpoint.versions(spark, state).collect()} == heads
+    put(root / "b", "f.txt", "b one\nb two\nb three\n", 4)  # b was last touched two states ago
+    last = HistoryEngine(spark, Options(str(root), checkpoints=state, resume=True)).blame().collect()
+    assert [(r.repo, len({x.commit for x in r.lines})) for r in last] == [("b", 3)]
+
+
+def test_errors_of_git_do_not_block(tmp_path):
+    program = tmp_path / "git.sh"
+    program.write_text("#!/bin/sh\nhead -c 1000000 /dev/zero | tr '\\0' x >&2\necho line\nexit $CODE\n")
+    program.chmod(0o755)
+    os.environ["CODE"] = "0"
+    assert list(lines_of(str(program), ".", "log")) == [b"line\n"]
+    os.environ["CODE"] = "3"
+    with pytest.raises(GitError, match="log: xxx"):
+        list(lines_of(str(program), ".", "log"))
+    reader = lines_of("yes", "/")  # never ends by itself: a reader that stops ends it
+    reader.close()
+
+
+def test_totals_and_exit_codes(spark, repos, capsys, tmp_path):
+    assert main(["code", str(repos), "--profile", str(tmp_path / "profile")]) == 0
+    said = capsys.readouterr().out
+    assert "repositories: 2, without commits: 1, with entries: 1" in said and "fold: 1 x" in said
+    assert (tmp_path / "profile").stat().st_size > 0
+    assert main(["validate", str(repos)]) == 0
+    assert main(["dump", str(repos)]) == 0 and "beta changed on side" in capsys.readouterr().out
+    assert main(["code", str(repos), "--sha", "0" * 40]) == 1
