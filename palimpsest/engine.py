@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.logs import Times
 from palimpsest.operators import blame, graph, meta, stats
 from palimpsest.sources import git
+from palimpsest.sources.repos import repo_table
 from palimpsest.storage import exists, shared_dir, stash
 from palimpsest.streaming import checkpoint
 
@@ -90,6 +91,10 @@ class HistoryEngine:
     def edges(self) -> DataFrame:
         return self._once("edges", lambda: self.read("commit_graph"))
 
+    def repos(self) -> DataFrame:
+        """(repo, dir, is_bare)"""
+        return repo_table(self.spark, self.options.path, self.options.depth)
+
     def roots(self) -> DataFrame:
         """(repo, sha): commits without a parent."""
         return graph.roots(self.edges())

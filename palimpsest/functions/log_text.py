@@ -49,6 +49,9 @@ def raw_files(line: Column) -> Column:
     return F.when(~taken, empty).when((F.length(action) > 1) & action.startswith("R"), moved).when((F.length(action) > 1) & action.startswith("C"), copied).otherwise(plain)
 
 
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+
+
 def author(name: Column, email: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), email)
 
@@ -66,6 +69,15 @@ def zone_minutes(text: Column) -> Column:
     return F.when(text.endswith("Z"), 0).when(sign == "-", -value).otherwise(value)
 
 
+def git_time(text: Column) -> Column:
+    """The instant of a date as git writes it (``Mon Jan 2 15:04:05 2006 -0700``) or as
+    ISO 8601; null if it is neither."""
+    month = F.map_from_arrays(F.array(*[F.lit(m) for m in MONTHS]), F.array(*[F.lit(f"{i + 1:02d}") for i in range(12)]))
+    at = lambda i: F.regexp_extract(text, r"^\w{3} (\w{3}) +(\d{1,2}) (\d\d:\d\d:\d\d) (\d{4}) ([+-]\d\d)(\d\d)$", i)
+    iso = F.concat(at(4), F.lit("-"), month[at(1)], F.lit("-"), F.lpad(at(2), 2, "0"), F.lit("T"), at(3), at(5), F.lit(":"), at(6))
+    return F.try_to_timestamp(F.coalesce(F.when(at(4) != "", iso), text))
+
+
 def graph_line(line: Column) -> tuple[Column, Column]:
     """(sha, parents) of ``sha@parent parent``."""
     parents = F.filter(F.split(F.substring_index(line, "@", -1), " "), lambda x: x != "")

@@ -7,7 +7,7 @@ repositories without starting a group for each.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Container, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +37,7 @@ def descend(parents: Parents, head: str, stop: Iterable[str] = ()) -> set[str]:
     return found
 
 
-def history(parents: Parents, head: str, barred: set[str] = frozenset()) -> tuple[list[str], list[str]]:
+def history(parents: Parents, head: str, barred: Container[str] = frozenset()) -> tuple[list[str], list[str]]:
     """Commits in depth-first order, last parents first, turned round, and the
     barred parents met on the way."""
     order, met, seen, todo = [], [], set(), [head]
@@ -59,15 +59,63 @@ def history(parents: Parents, head: str, barred: set[str] = frozenset()) -> tupl
 def earliest(parents: Parents, points: Iterable[str]) -> list[str]:
     """The points without another point among their ancestors, sorted."""
     points = set(points)
+    if len(points) < 2:
+        return list(points)
     return sorted(p for p in points if not (descend(parents, p) - {p}) & points)
 
 
-def branch_commits(parents: Parents, default_head: str, on_default: set[str], head: str) -> tuple[list[str], list[str]]:
-    """The branch's own commits, oldest first, and where it left the default branch."""
-    if head in on_default:  # merged: what the default branch had without it
-        on_default = descend(parents, default_head, {head})
-    commits, met = history(parents, head, on_default)
-    return commits, earliest(parents, met)
+class Default:
+    """A default branch: its commits, their children, and its chain of first parents."""
+
+    def __init__(self, parents: Parents, head: str):
+        self.parents, self.head, self.commits = parents, head, descend(parents, head)
+        self.children: Parents = {}
+        for child, ps in parents.items():
+            for p in ps:
+                self.children.setdefault(p, []).append(child)
+        self.chain, at = {}, head
+        while at not in self.chain:
+            self.chain[at] = None
+            at = next(iter(parents.get(at, ())), at)
+
+    def without(self, head: str) -> Container[str]:
+        """The commits that it would have if ``head`` had no parents."""
+        return descend(self.parents, self.head, {head}) if head in self.chain else Without(self, head)
+
+
+class Without:
+    """Whether a commit is reached without passing a merged head that isn't on the chain of first
+    parents. All of the chain is; others are if a way up that avoids the head leads to it, so
+    that only what lies about the branch is walked."""
+
+    def __init__(self, default: Default, head: str):
+        self.default, self.head, self.known = default, head, {head: True}
+
+    def __contains__(self, commit: str) -> bool:
+        chain, commits, known = self.default.chain, self.default.commits, self.known
+        if commit in chain:
+            return True
+        if commit not in known:
+            seen, todo, found = {commit}, [commit], False
+            while todo and not found:
+                for child in self.default.children.get(todo.pop(), ()):
+                    if child == self.head or child in seen or child not in commits:
+                        continue
+                    found = child in chain or known.get(child, False)
+                    if found:
+                        break
+                    if child not in known:
+                        seen.add(child)
+                        todo.append(child)
+            known |= {commit: True} if found else dict.fromkeys(seen, False)
+        return known[commit]
+
+
+def branch_commits(default: Default, head: str) -> tuple[list[str], list[str]]:
+    """The branch's own commits, oldest first, and where it left the default branch; of a
+    merged one, where it would have without the merge."""
+    commits, met = history(default.parents, head, default.without(head) if head in default.commits else default.commits)
+    return commits, earliest(default.parents, met)
 
 
 def behind(parents: Parents, default_head: str, on_default: set[str], head: str) -> int:
@@ -110,14 +158,11 @@ def repo_branches(repo: str, parents: Parents, refs: list[dict], pull_requests:
     top = default["sha"]
     if top not in parents:
         raise UnknownCommit(top)
-    on_default = descend(parents, top)
-    children: Parents = {}
-    for child, ps in parents.items():
-        for p in ps:
-            children.setdefault(p, []).append(child)
+    branch = Default(parents, top)
+    on_default, children = branch.commits, branch.children
 
     def record(name: str, head: str) -> dict:
-        commits, points = branch_commits(parents, top, on_default, head)
+        commits, points = branch_commits(branch, head)
         merged = head in on_default
         return {
             "repo": repo, "branch_id": branch_id(name, points) if name else "", "name": name, "is_pull_request": not name, "head_sha": head, "is_default": False, "is_merged": merged,

@@ -17,8 +17,9 @@ def totals(work: DataFrame) -> DataFrame:
     return work.groupBy("is_merge").agg(F.count("*").alias("commits"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def largest(work: DataFrame, n: int = 10) -> DataFrame:
-    return work.orderBy(F.desc("bytes"), "repo", "sha").limit(n)
+def largest(work: DataFrame, n: int = 10, by: str = "bytes") -> DataFrame:
+    """The report of the ``n`` commits with most of ``by``."""
+    return work.orderBy(F.desc(by), "repo", "sha").limit(n)
 
 
 def live_state(fold: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.log_text import author, ref_line, zone_minutes
+from palimpsest.functions.log_text import author, bare_email, git_time, graph_line, ref_line, zone_minutes
 from palimpsest.operators import blame, meta, metrics
 from palimpsest.storage import read_table, stash_path
 from palimpsest.streaming import checkpoint
@@ -87,8 +87,29 @@ def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slowest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most costly orders, as a report of the slowest commits."""
-    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_totalprice").alias("cost"))
-    return rows.orderBy(F.desc("cost"), "sha").limit(10)
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("sha"), F.col("o_totalprice").alias("cost"))
+    return metrics.largest(rows, by="cost").select("sha", "cost")
+
+
+def largest_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest patches of the ledgers."""
+    return metrics.largest(metrics.commit_work(order_patches(order_commits(spark, sf_dir)))).select("repo", "sha", "bytes")
+
+
+def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fold of each ledger leaves for later commits, if it keeps no finished ones."""
+    commits = order_commits(spark, sf_dir)
+    return metrics.live_state(blame.fold_history(order_patches(commits), order_edges(commits), keep=0))
+
+
+def log_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, graph lines and dates parsed from lines made of the orders."""
+    k = F.col("o_orderkey").cast("string")
+    email = F.concat(F.lit("Name <"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), k, F.lit("@x.org]"))).otherwise(F.concat(k, F.lit("@x.org"))), F.lit(">"))
+    sha, parents = graph_line(F.concat(k, F.lit("@"), F.when(F.col("o_orderkey") % 3 == 0, "p q").when(F.col("o_orderkey") % 3 == 1, "p").otherwise("")))
+    date = F.date_format("o_orderdate", "EEE MMM d")
+    date = F.concat(date, F.lit(" 03:04:05 "), F.date_format("o_orderdate", "yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " +0530").otherwise(" -0700"))
+    return read_table(spark, sf_dir, "orders").select(sha.alias("sha"), bare_email(email).alias("email"), F.size(parents).cast("bigint").alias("n_parents"), F.unix_timestamp(git_time(date)).alias("seconds"))
 
 
 def ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +131,7 @@ def checked_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("sha", F.size("files").cast("bigint").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (ledger_lines, lines_by_author, resumed_ledger, item_files, slowest_orders, ref_lines, patch_totals, checked_commits)}
+QUERIES = {f.__name__: f for f in (ledger_lines, lines_by_author, resumed_ledger, item_files, slowest_orders, largest_patches, live_lines, log_fields, ref_lines, patch_totals, checked_commits)}
 
 _ORDERS = "o AS (SELECT o_custkey::VARCHAR AS repo, o_orderkey::VARCHAR AS sha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderstatus AS author FROM orders)"
 _LEDGER = f"WITH {_ORDERS} SELECT a.repo, a.sha, a.seq - b.seq + 1 AS line_no, 'order ' || b.sha AS line, b.sha AS origin_sha FROM o a JOIN o b ON a.repo = b.repo AND b.seq BETWEEN a.seq - {DEPTH - 1} AND a.seq"
@@ -137,5 +158,12 @@ SELECT false AS is_merge, count(*) AS commits, count(*) AS files,
       ELSE strlen('diff --git a/ledger b/ledger' || '--- a/ledger' || '+++ b/ledger' || '@@ -1,1 +1,1 @@' || '+order ' || sha) + 5 + context END)::BIGINT AS bytes FROM t""",
     "checked_commits": "SELECT l_orderkey::VARCHAR AS sha, sum(CASE WHEN moved THEN 2 ELSE 1 END)::BIGINT AS n_files FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag = 'N' AS moved FROM lineitem) GROUP BY 1",
     "slowest_orders": "SELECT o_orderkey AS sha, o_totalprice AS cost FROM orders ORDER BY cost DESC, sha LIMIT 10",
+    "largest_patches": f"""WITH {_ORDERS}, n AS (SELECT sha, repo, seq, least(seq - 1, {DEPTH}) AS old FROM o),
+t AS (SELECT a.repo, a.seq, a.sha, a.old, coalesce(sum(strlen('order ' || b.sha) + 2), 0) AS context FROM n a LEFT JOIN n b ON a.repo = b.repo AND b.seq BETWEEN a.seq - {DEPTH} AND a.seq - 1 GROUP BY ALL)
+SELECT repo, sha, (CASE WHEN old = 0 THEN strlen('diff --git a/ledger b/ledger' || '--- /dev/null' || '+++ b/ledger' || 'new file mode 100644' || '@@ -0,0 +1 @@' || '+order ' || sha) + 6
+      ELSE strlen('diff --git a/ledger b/ledger' || '--- a/ledger' || '+++ b/ledger' || '@@ -1,1 +1,1 @@' || '+order ' || sha) + 5 + context END)::BIGINT AS bytes FROM t ORDER BY bytes DESC, repo, sha LIMIT 10""",
+    "live_lines": f"WITH {_ORDERS} SELECT repo, 1::BIGINT AS commits, 1::BIGINT AS files, least(count(*), {DEPTH})::BIGINT AS lines FROM o GROUP BY repo",
+    "log_fields": """SELECT o_orderkey::VARCHAR AS sha, o_orderkey || '@x.org' AS email, ([2, 1, 0])[o_orderkey % 3 + 1]::BIGINT AS n_parents,
+  (epoch(o_orderdate) + 3 * 3600 + 4 * 60 + 5 + CASE WHEN o_orderkey % 2 = 0 THEN -19800 ELSE 25200 END)::BIGINT AS seconds FROM orders""",
     "ref_lines": "SELECT replace(s_name, '#', '/') AS name, sha256(s_suppkey::VARCHAR) AS sha, -(s_nationkey % 10 * 60 + 30)::BIGINT AS tz_min FROM supplier WHERE s_suppkey % 10 <> 0",
 }

@@ -127,6 +127,10 @@ def test_code_folds_once(spark, repos, tmp_path):
     assert {"fold", "commits", "commit_files", "edges"} <= {n for n, _, _ in engine.times.report()}
 
 
+def test_repository_table(spark, repos):
+    assert [(r.repo, r.is_bare) for r in HistoryEngine(spark, Options(str(repos))).repos().orderBy("repo").collect()] == [("empty", False), ("one", False)]
+
+
 def test_roots_and_limits(spark, repos):
     first = git(repos / "one", "rev-list", "--max-parents=0", "HEAD")
     assert [tuple(r) for r in HistoryEngine(spark, Options(str(repos))).roots().collect()] == [("one", first)]

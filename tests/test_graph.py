@@ -1,12 +1,14 @@
 """Graph walks on small parent maps."""
 
+import random
+
 import pytest
 
 from palimpsest.operators import graph
 
 
 def commits(parents, default, head):
-    return graph.branch_commits(parents, default, graph.descend(parents, default), head)
+    return graph.branch_commits(graph.Default(parents, default), head)
 
 
 CASES = {
@@ -54,6 +56,22 @@ def test_last_common_parent():
     assert graph.last_common_parent(parents, ["c5", "c8"]) == "c4"
 
 
+def test_walks_about_a_branch_are_those_of_the_whole():
+    rng = random.Random(3)
+    merged = 0
+    for _ in range(400):
+        n = rng.randrange(2, 14)
+        parents = {str(i): [str(p) for p in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 2, 2, 3])))] for i in range(n)}
+        default = graph.Default(parents, str(n - 1))
+        for head in parents:
+            if head in default.commits:
+                barred = graph.descend(parents, default.head, {head})
+                without = default.without(head)
+                assert {c for c in parents if c in without} == barred
+                merged += head not in default.chain
+    assert merged > 300
+
+
 def test_missing_commit_is_an_error():
     with pytest.raises(graph.UnknownCommit):
         commits({"m1": [], "b1": ["gone"]}, "m1", "b1")
