@@ -10,23 +10,29 @@ from palimpsest.storage import read_table, stash
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows beyond a threshold of their language and source, and those without a word."""
     return quality.filter_documents(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates; rows without a letter or digit stay."""
     return simhash.drop_near_duplicates(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the spans of personal data in their texts replaced by their kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the target weights use it: those of scarce languages more than once,
+    some of plentiful ones not at all. Rows without text go."""
     return mixing.mix(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Windows of related documents with their words, as they are after the stages before."""
+    return packing.pack(docs, texts=True)
 
 
 STAGES = [
@@ -42,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of ``documents``. No documents give no windows."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -37,13 +37,16 @@ CELL, MOST_CELLS, SAMPLE = 16_384, 1 << 14, 32
 PATH_WORDS = 1 << 20
 #: Pairs that one task may choose among; more are chosen in rounds over all tasks, with the same result.
 ALONE = 1 << 19
+#: ASCII white space, which parts words.
+BLANK = r"[ \t\n\x0B\f\r]"
 KEYS = [f"k{i}" for i in range(ORDERS)]
 LOW7, TOP = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
-def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """(doc_id, key, n_words, words) of the rows that have a word: 32-bit hashes of
-    the set of lower-cased words, in order, as bytes, and a 64-bit hash of the set."""
+    the set of lower-cased words, in order, as bytes, and a 64-bit hash of the set. With
+    ``texts``, the rows' texts too."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(chunk: pa.RecordBatch):
@@ -60,10 +63,12 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         key = np.add.reduceat(mix64(hashes ^ np.uint64(HASH_BASE)), heads).view(np.int64)
         offsets = (np.r_[heads, len(row)] * 4).astype(np.int32)
         sets = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer((hashes >> np.uint64(32)).astype(np.uint32))])
-        yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(full)), pa.array(key), pa.array(count[full].astype(np.int64)), sets], ["doc_id", "key", "n_words", "words"])
+        made = [chunk.column(0).take(pa.array(full)), pa.array(key), pa.array(count[full].astype(np.int64)), sets, chunk.column(1).take(pa.array(full))]
+        yield pa.RecordBatch.from_arrays(made[: len(names)], names)
 
+    names = ["doc_id", "key", "n_words", "words", "text"][: 5 if texts else 4]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary")
+    return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary" + ", text string" * texts)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -323,35 +328,45 @@ def paths(nodes: DataFrame, edges: DataFrame, most: int = PATH_WORDS, alone: int
     return whole.select(F.coalesce("whole", "path").alias("path"), F.coalesce("at", F.lit(0)).alias("at"), F.posexplode(seq).alias("pos", "key")).select("path", "key", F.struct("at", "pos").alias("place"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, most: int = PATH_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, k: int = NEAREST, most: int = PATH_WORDS, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """(path, part, window, n_words, pieces array<struct<doc_id, first, last>>), a row for each window.
 
     A window holds ``window`` words between white space, the last one of a path
     what is left. ``pieces`` are in order; words ``first`` (from 0) to before
-    ``last`` of the document are in this window, so that every word is in exactly one.
+    ``last`` of the document are in this window, so that every word is in exactly one. With
+    ``texts``, a piece has these words too, each with the white space after it.
     Documents of one word set, and repeated rows, follow each other by id, nulls first, then by length;
     where they alone have more than ``most`` words, they are parted by a hash of the id
     and length, else ``part`` is 0. A path ends with some ``most`` words. Null texts and those
     without a word are in no window; very long ones fill many. Only the two
     named columns are read. No words give no rows.
     """
-    sets = stash(word_sets(docs, id_col, text_col), "sets")
-    found = stash(sets.select("doc_id", "key", "n_words"), "found")
+    sets = stash(word_sets(docs, id_col, text_col, texts), "sets")
+    found = sets.select("doc_id", "key", "n_words", *["text"] * texts) if texts else stash(sets.select("doc_id", "key", "n_words"), "found")
     made = stash(sketches(sets), "sketches")
-    discard(sets)
+    if not texts:
+        discard(sets)
     near = stash(related(made, k), "near")
     discard(made)
     nodes = stash(found.groupBy("key").agg(F.sum("n_words").alias("words")), "nodes")
     walked = stash(paths(nodes, graph(near), most).join(nodes, "key"), "walked")
     parts = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(most)))
     part: Column = F.when(F.col("words") > most, F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "n_words"), parts)).otherwise(F.lit(0)).cast("int")
-    joined = found.select("doc_id", "key", "n_words").join(small_side(walked), "key").withColumn("part", part)
+    joined = found.join(small_side(walked), "key").withColumn("part", part)
     order = Window.partitionBy("path", "part").orderBy("place", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = joined.select("path", "part", "doc_id", "n_words", F.sum("n_words").over(order).alias("end")).withColumn("start", F.col("end") - F.col("n_words"))
-    w = F.lit(window).cast("bigint")
-    cut = laid.withColumn("window", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w))))
-    low, high = F.greatest("start", F.col("window") * w), F.least("end", (F.col("window") + 1) * w)
-    piece = F.struct(low.alias("at"), "doc_id", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"))
-    packed = cut.groupBy("path", "part", "window").agg(F.sum(high - low).alias("n_words"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    inner = lambda x: F.struct(x.doc_id.alias("doc_id"), x["first"].alias("first"), x["last"].alias("last"))
+    end, w = F.col("end"), F.lit(window).cast("bigint")
+    start = end - F.col("n_words")
+    laid = joined.withColumn("end", F.sum("n_words").over(order))
+    if texts:
+        laid = laid.withColumn("tokens", F.split(F.regexp_replace("text", f"^{BLANK}+", ""), f"(?<={BLANK})(?={BLANK.replace('[', '[^')})"))
+
+    def cut(n: Column) -> Column:
+        low, high = F.greatest(start, n * w), F.least(end, (n + 1) * w)
+        words = [F.array_join(F.slice("tokens", (low - start + 1).cast("int"), (high - low).cast("int")), "").alias("text")] if texts else []
+        return F.struct(n.alias("window"), low.alias("at"), "doc_id", (low - start).alias("first"), (high - start).alias("last"), *words)
+
+    pieces = laid.select("path", "part", F.explode(F.transform(F.sequence(F.floor(start / w), F.floor((end - 1) / w)), cut)).alias("p"))
+    shown = ["doc_id", "first", "last", *["text"] * texts]
+    packed = pieces.groupBy("path", "part", F.col("p.window").alias("window")).agg(F.sum(F.col("p.last") - F.col("p.first")).alias("n_words"), F.sort_array(F.collect_list(F.struct("p.at", *[f"p.{c}" for c in shown]))).alias("pieces"))
+    inner = lambda x: F.struct(*[x[c].alias(c) for c in shown])
     return packed.select("path", "part", "window", "n_words", F.transform("pieces", inner).alias("pieces"))

@@ -758,6 +758,20 @@ def test_windows_hold_every_word_once(spark, awkward):
     assert any(r.part for r in rows)
 
 
+def test_windows_with_texts(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select((F.col("doc_id") + 100_000).alias("doc_id"), "text").filter("doc_id > 100002")).unionByName(spark.createDataFrame([(77777, "  a\n\n b\x0bc \x0c\r d")], "doc_id long, text string"))
+    plain, full = (packing.pack(docs, window=300, texts=t).collect() for t in (False, True))
+    assert sorted((r.path, r.part, r.window, r.n_words, [tuple(p)[:3] for p in r.pieces]) for r in full) == sorted((r.path, r.part, r.window, r.n_words, [tuple(p) for p in r.pieces]) for r in plain)
+    parts = defaultdict(Counter)
+    for r in full:
+        for p in r.pieces:
+            assert len(p.text.split()) == p["last"] - p["first"]
+            parts[p.doc_id][p["first"], p.text] += 1
+    for r in docs.collect():
+        got = "".join(t for _, t in sorted(parts[r.doc_id]))
+        assert got == re.sub(r"^[ \t\n\x0b\x0c\r]+", "", r.text or "")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_with_sql(spark, name):
     got = QUERIES[name](spark, SF).toArrow()
@@ -785,3 +799,19 @@ def test_pipeline(spark):
     assert {p.doc_id for r in rows for p in r.pieces} == {r.doc_id for r in docs.collect()}
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    assert any("[EMAIL]" in p.text or "[SECRET]" in p.text for r in rows for p in r.pieces)
+
+
+def test_pipeline_on_awkward_rows(spark, awkward, tmp_path):
+    import corpus_pipeline
+
+    named = awkward.select("doc_id", "text", "lang", "source", F.lit(1).alias("n_chars"), F.lit("x").alias("label"), F.lit("y").alias("pattern"))
+    for rows, folder in ((named, "some"), (named.limit(0), "none")):
+        rows.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, "").cache()
+            assert docs.columns == before.columns
+        windows = corpus_pipeline.run(spark, f"{tmp_path}/{folder}").collect()
+        left = {r.doc_id for r in docs.collect()}
+        assert {p.doc_id for r in windows for p in r.pieces} == left and bool(left) == (folder == "some")
