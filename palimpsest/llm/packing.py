@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import HASH_BASE, concatenated, map_text, mix64, strings, words_of
+from palimpsest.llm.arrow import HASH_BASE, concatenated, map_text, mix64, strings, text_chunks, words_of
 from palimpsest.storage import discard, small_side, stash
 
 NEAREST, WINDOW = 5, 2048
@@ -36,7 +36,7 @@ CELL, MOST_CELLS, SAMPLE = 16_384, 1 << 14, 32
 #: A path takes no more documents once it would hold more words than this.
 PATH_WORDS = 1 << 20
 #: Pairs that one task may choose among; more are chosen in rounds over all tasks, with the same result.
-ALONE = 1 << 19
+ALONE = 1 << 17
 #: ASCII white space, which parts words.
 BLANK = r"[ \t\n\x0B\f\r]"
 KEYS = [f"k{i}" for i in range(ORDERS)]
@@ -68,7 +68,7 @@ def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     names = ["doc_id", "key", "n_words", "words", "text"][: 5 if texts else 4]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary" + ", text string" * texts)
+    return map_text(rows, run, f"doc_id {kind}, key bigint, n_words bigint, words binary" + ", text string" * texts, limit=2 << 20)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +123,7 @@ def sketches(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                part = b.slice(a, 4096)
+            for part in text_chunks([b], 1, 1 << 20):
                 row, words = _words(part.column(1))
                 made, keys = sketch_of(row, words, part.num_rows, shared.value)
                 offsets = (np.arange(part.num_rows + 1) * BINS).astype(np.int32)
