@@ -94,9 +94,10 @@ def weights(found: DataFrame) -> np.ndarray:
 
 
 def sketch_of(row: np.ndarray, words: np.ndarray, n: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n x ``BINS`` bytes, n x ``ORDERS`` sort keys). A byte is 1 to 255 for the
-    bin's winner, 0 if no word is in the bin; a key starts with the whole hash of one bin's winner
-    and goes on with parts of two others', where an empty bin borrows from the next one."""
+    """(n x ``BINS`` bytes, n x ``ORDERS`` sort keys) of sets that have a word. A byte stands for its
+    bin's winner; where no word falls into a bin, the other bins' winners race once more for it,
+    which makes sketches of small sets as exact as those of large ones. A key starts with the
+    whole hash of one bin's winner and goes on with parts of two others'."""
     mixed = mix64(words.astype(np.uint64) * np.uint64(HASH_BASE) + np.uint64(1))
     bin_of = (mixed & np.uint64(BINS - 1)).astype(np.int64)
     time = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)) / weight[words % COUNTERS]
@@ -105,16 +106,19 @@ def sketch_of(row: np.ndarray, words: np.ndarray, n: int, weight: np.ndarray) ->
     np.minimum.at(best, row * BINS + bin_of, entry)
     best = best.reshape(n, BINS)
     full = best != np.iinfo(np.uint64).max
-    winner = mix64((best & np.uint64(0xFFFFFFFF)) + np.uint64(HASH_BASE))
-    sketch = np.where(full, 1 + winner % np.uint64(255), np.uint64(0)).astype(np.uint8)
-
-    def lead(at: int) -> np.ndarray:
-        next_full = np.argmax(np.roll(full, -at, axis=1), axis=1)
-        return winner[np.arange(n), (at + next_full) % BINS] >> np.uint64(32)
-
+    word = best & np.uint64(0xFFFFFFFF)
+    scale = np.where(full, 1 / weight[(word % np.uint64(COUNTERS)).astype(np.int64)], np.inf).astype(np.float32)
+    won = word.copy()
+    for b in np.flatnonzero(~full.all(axis=0)).tolist():
+        at = np.flatnonzero(~full[:, b])
+        again = mix64(word[at] * np.uint64(HASH_BASE) + np.uint64(2 + b)) >> np.uint64(40)
+        time = -np.log((again.astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)) * scale[at]
+        won[at, b] = word[at, time.argmin(axis=1)]
+    winner = mix64(won + np.uint64(HASH_BASE))
     step = BINS // ORDERS
-    keys = [(lead(i * step) << np.uint64(32)) | (lead(i * step + step // 3) & np.uint64(0xFFFF)) << np.uint64(16) | (lead(i * step + 2 * step // 3) & np.uint64(0xFFFF)) for i in range(ORDERS)]
-    return sketch, (np.stack(keys, axis=1) if n else np.zeros((0, ORDERS), np.uint64)).view(np.int64)
+    lead = lambda at, bits: winner[:, at] >> np.uint64(64 - bits)
+    keys = [(lead(i * step, 32) << np.uint64(32)) | (lead(i * step + step // 3, 16) << np.uint64(16)) | lead(i * step + 2 * step // 3, 16) for i in range(ORDERS)]
+    return (winner & np.uint64(255)).astype(np.uint8), np.stack(keys, axis=1).view(np.int64)
 
 
 def sketches(found: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def sketches(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in text_chunks([b], 1, 1 << 20):
+            for part in text_chunks((b.slice(a, 2048) for a in range(0, b.num_rows, 2048)), 1, 1 << 20):
                 row, words = _words(part.column(1))
                 made, keys = sketch_of(row, words, part.num_rows, shared.value)
                 offsets = (np.arange(part.num_rows + 1) * BINS).astype(np.int32)
@@ -134,11 +138,11 @@ def sketches(found: DataFrame) -> DataFrame:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sketches, row by row, as eight bytes a number."""
-    x, both = a ^ b, a | b
-    zero = lambda v: np.bitwise_count(~(((v & LOW7) + LOW7) | v | LOW7) & TOP).sum(axis=1, dtype=np.int32)
-    empty = zero(both)
-    return ((zero(x) - empty) / np.maximum(BINS - empty, 1)).astype(np.float32)
+    """Estimated similarity of sketches, row by row, as eight bytes a number: the share of equal
+    bytes, less what chance makes equal."""
+    x = a ^ b
+    equal = np.bitwise_count(~(((x & LOW7) + LOW7) | x | LOW7) & TOP).sum(axis=1, dtype=np.int32)
+    return np.maximum((equal - BINS / 256) / (BINS - BINS / 256), 0).astype(np.float32)
 
 
 def nearest_in_order(cell: np.ndarray, key: np.ndarray, sketch: np.ndarray, reach: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +161,7 @@ def nearest_in_order(cell: np.ndarray, key: np.ndarray, sketch: np.ndarray, reac
 def related(made: DataFrame, k: int = NEAREST, reach: int = REACH, cell_rows: int = CELL) -> DataFrame:
     """(key, near array<struct<d, other>>): the ``k`` nearest others that any order shows
     for each row of ``made`` (stashed ``sketches``), nearest first, ties by key; d is 1 less the
-    estimated similarity. Sets without an equal bin are no pair.
+    estimated similarity. Sets with no more equal bins than chance gives are no pair.
 
     An order is cut into cells of some ``cell_rows`` rows at the keys of a sample by hash,
     so that the result depends on the rows alone. Keys that many sets share
