@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_LIMIT = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
@@ -85,8 +86,23 @@ def stashed_bytes(df: DataFrame) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def row_width(kind: T.DataType) -> int:
+    """Bytes of a value in memory, where its type tells; texts and lists count as short ones."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(row_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 24 + row_width(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 48 + row_width(kind.keyType) + row_width(kind.valueType)
+    return 24 if isinstance(kind, (T.StringType, T.BinaryType, T.DecimalType)) else 8
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``df`` (a stashed table) with a broadcast hint if its files, taken at
-    four times their compressed size, fit ``limit``; else as it is, so that the
-    join shuffles."""
-    return F.broadcast(df) if 4 * stashed_bytes(df) <= limit else df
+    """``df`` (a stashed table) with a broadcast hint if it fits ``limit`` both by its
+    files, taken at four times their compressed size, and by its rows, taken at the width of
+    their types; else as it is, so that the join shuffles."""
+    if 4 * stashed_bytes(df) > limit:
+        return df
+    if not hasattr(df, "stash_rows"):
+        df.stash_rows = df.count()
+    return F.broadcast(df) if df.stash_rows * (16 + row_width(df.schema)) <= limit else df
