@@ -555,6 +555,21 @@ def test_shards(spark, awkward):
     assert {r.shard for r in sharding.shards(awkward, 1 << 40).collect()} == {""}
 
 
+def test_written_shards(spark, awkward, tmp_path):
+    docs = awkward.withColumn("shard_", F.lit(1))  # both names of the folder's column are taken
+    sharding.write_shards(docs, f"{tmp_path}/out", 4000)
+    got = spark.read.parquet(f"{tmp_path}/out").withColumn("file", F.input_file_name())
+    plain = lambda df: sorted(map(repr, df.select(docs.columns).collect()))
+    assert plain(got) == plain(docs)
+    sizes = Counter()
+    for r in got.select("file", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect():
+        sizes[r.file.rsplit("/", 2)[1]] += r.n
+    want = Counter()
+    for r in sharding.shards(awkward, 4000).collect():
+        want["shard__=b" + r.shard] += r.bytes
+    assert sizes == want
+
+
 def test_flow_is_cheapest():
     rng = random.Random(6)
     for _ in range(20):
