@@ -23,6 +23,8 @@ from palimpsest.storage import small_side, stash
 SPACE = "▁"
 #: Words beyond this go by parts, of this many characters.
 LONG_WORD, PART = 96, 1 << 15
+#: Characters whose arcs are held at a time.
+ARCS_OF = 1 << 18
 _caches: dict[int, HashCache] = {}
 
 
@@ -160,9 +162,13 @@ def _text_scores(pieces: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     values = np.zeros(len(keys))
     values[known] = cache.values[at[known]]
     new = np.flatnonzero(~known)
-    for a in range(0, len(new), 20_000):  # bounds the arcs that are held
-        part = new[a : a + 20_000]
-        values[part] = word_scores(pieces, words.take(pa.array(first[part])))
+    some = words.take(pa.array(first[new]))
+    upto = np.cumsum(np.minimum(pc.utf8_length(some).to_numpy(zero_copy_only=False), LONG_WORD).astype(np.int64))
+    a = 0
+    while a < len(new):  # words of so many characters at a time, which bounds the arcs that are held
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + ARCS_OF, "right")))
+        values[new[a:b]] = word_scores(pieces, some.slice(a, b - a))
+        a = b
     if len(new):
         if len(cache.keys) + len(new) > cache.limit:
             cache.clear()
