@@ -195,3 +195,22 @@ def test_totals_and_exit_codes(spark, repos, capsys, tmp_path):
     assert main(["validate", str(repos)]) == 0
     assert main(["dump", str(repos)]) == 0 and "beta changed on side" in capsys.readouterr().out
     assert main(["code", str(repos), "--sha", "0" * 40]) == 1
+
+
+def test_trees_and_returns(spark, tmp_path):
+    one = tmp_path / "one"
+    one.mkdir()
+    git(one, "init", "-q", "-b", "master")
+    put(one, "a.txt", "first\r\nsecond line here\r\n", 1)
+    put(one, "dir/b c.txt", "x\n", 2)
+    put(one, "a.txt", "first\r\nsecond line changed\r\nthird line added\r\n", 3)
+    engine = HistoryEngine(spark, Options(str(one)))
+    assert sorted(r.path for r in engine.read("tree").collect()) == ["a.txt", "dir/b c.txt"]
+    assert sorted(r.path for r in engine.read("tree", commit="HEAD~2").collect()) == ["a.txt"]
+    assert differences(engine).collect() == []
+    last = max((r for r in engine.blame().filter("path = 'a.txt'").collect()), key=lambda r: len(r.lines))
+    assert [bytes(x.line) for x in last.lines] == [b"first", b"second line changed", b"third line added"]
+    assert [r.name for r in engine.read("refs").collect()] == ["master"]
+    git(one, "checkout", "-q", "HEAD~1")
+    with pytest.raises(Exception, match="detached"):
+        engine.read("refs").collect()
