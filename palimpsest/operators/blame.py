@@ -8,6 +8,7 @@ child is folded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -160,33 +161,38 @@ class Fold:
         self.trees.pop(commit, None)
 
 
+COLUMNS = ("repo", "sha", "parents", "uses", "diff_from", "diff", "path", "blame_commit", "is_binary", "lines")
+
+
 def _history(batches) -> Iterator[tuple]:
-    """Commits of sorted rows: (repo, sha, parents, diffs by parent, uses, rows of
-    the state or None)."""
+    """Commits of sorted rows (``COLUMNS`` first): (repo, sha, parents, diffs by parent, uses,
+    versions of the state or None)."""
     now = None
     for b in batches:
-        for r in b.to_pylist():
-            if now is None or (now[0], now[1]) != (r["repo"], r["sha"]):
+        for repo, sha, parents, uses, diff_from, diff, path, commit, binary, lines in zip(*(b.column(i).to_pylist() for i in range(len(COLUMNS)))):
+            if now is None or (now[0], now[1]) != (repo, sha):
                 if now is not None:
                     yield now
-                now = (r["repo"], r["sha"], r["parents"] or [], {}, r["uses"] or 0, [] if r["path"] is not None else None)
+                now = (repo, sha, parents or [], {}, uses or 0, {} if path is not None else None)
             if now[5] is not None:
-                now[5].append(r)
+                if path:
+                    now[5][path] = Blame(commit, tuple(x["line"] for x in lines or ()), tuple(x["commit"] for x in lines or ()), binary)
                 continue
-            diffs = now[3].setdefault(r["diff_from"] or "", [])
-            if r["diff"] is not None:
-                diffs.append(r["diff"])
+            diffs = now[3].setdefault(diff_from or "", [])
+            if diff is not None:
+                diffs.append(diff)
     if now is not None:
         yield now
 
 
 def _rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
-    line = pa.struct([("line", pa.binary()), ("commit", pa.string())])
     blames = [r[3] for r in rows]
-    lines = [[{"line": x, "commit": o} for x, o in zip(b.lines, b.owners)] for b in blames]
+    ends = pa.array(list(accumulate((len(b.lines) for b in blames), initial=0)), pa.int32())
+    parts = [pa.array([x for b in blames for x in b.lines], pa.binary()), pa.array([x for b in blames for x in b.owners], pa.string())]
+    lines = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["line", "commit"]))
     texts = [pa.array(v, pa.string()) for v in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [b.commit for b in blames])]
     flags = [pa.array(v, pa.bool_()) for v in ([b.binary for b in blames], [r[4] for r in rows])]
-    return pa.RecordBatch.from_arrays([*texts, flags[0], pa.array(lines, pa.list_(line)), flags[1]], ["repo", "sha", "path", "blame_commit", "is_binary", "lines", "live"])
+    return pa.RecordBatch.from_arrays([*texts, flags[0], lines, flags[1]], ["repo", "sha", "path", "blame_commit", "is_binary", "lines", "live"])
 
 
 def with_parents(patches: DataFrame, edges: DataFrame) -> DataFrame:
@@ -197,10 +203,6 @@ def with_parents(patches: DataFrame, edges: DataFrame) -> DataFrame:
     return patches.join(parents.select("repo", "sha", F.col("p.parent").alias("parents")), ["repo", "sha"], "left").join(uses, ["repo", "sha"], "left")
 
 
-def _loaded(r: dict) -> Blame:
-    return Blame(r["blame_commit"], tuple(bytes(x["line"]) for x in r["lines"] or ()), tuple(x["commit"] for x in r["lines"] or ()), r["is_binary"])
-
-
 def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
     """Schema ``BLAME`` and ``live``: the shown versions of each commit, and with
     ``live`` the whole trees of the commits that later ones may build on.
@@ -223,10 +225,10 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
                 fold = Fold((lambda c, p, r=name: full_blame(r, c, p)) if full_blame else None)
                 repo, left, done = name, {}, []
             if old is not None:
-                fold.trees[sha] = {r["path"]: _loaded(r) for r in old if r["path"]}
+                fold.trees[sha] = old
                 left[sha] = uses
                 continue
-            shown = fold.step(sha, parents, {k: [file_diff(bytes(d)) for d in v] for k, v in parts.items()})
+            shown = fold.step(sha, parents, {k: [file_diff(d) for d in v] for k, v in parts.items()})
             left[sha] = uses or 1  # a head may get children later
             for p in parents:
                 left[p] = left.get(p, 1) - 1
@@ -248,7 +250,7 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
         uses = edges.join(patches.select("repo", F.col("sha").alias("child")).distinct(), ["repo", "child"], "left_semi").filter("parent IS NOT NULL").groupBy("repo", F.col("parent").alias("sha")).agg(F.count("*").alias("uses"))
         held = state.select("repo", "sha", "path", "blame_commit", "is_binary", "lines", F.lit(-1).cast("bigint").alias("seq")).join(uses, ["repo", "sha"], "left").withColumn("uses", F.coalesce("uses", F.lit(1)))
         rows = rows.unionByName(held, allowMissingColumns=True)
-    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "sha", "change_ix").mapInArrow(run, f"{BLAME}, live boolean")
+    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "sha", "change_ix").select(*COLUMNS).mapInArrow(run, f"{BLAME}, live boolean")
 
 
 def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
