@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 HASH_BASE = 0x9E3779B97F4A7C15
 
 
@@ -34,6 +34,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     def run(batches):
         for chunk in text_chunks(batches, 1, limit):
             yield from fn(chunk)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task without it
 
     return df.mapInArrow(run, schema)
 
