@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import blame, graph, meta, stats
-from palimpsest.storage import read_table
+from palimpsest.storage import read_table, stash
 
 PARENTS = {"b": (), "l": ("b",), "r": ("b",), "m": ("l", "r"), "n": ("m",), "d": ("n",)}
 SHORT = "c_custkey % 3 = 0"
@@ -88,7 +88,7 @@ def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # plain names have no language; an ending gives them one
     named = lambda c: F.when(F.col(c).contains("."), F.col(c)).otherwise(F.concat(c, F.lit(".txt"))).alias(c)
     shown = blame.blame_history(merge_patches(spark, sf_dir), merge_edges(spark, sf_dir)).filter("path <> ''").withColumn("path", named("path"))
-    out = stats.file_stats(shown, commits, files.withColumn("filename", named("filename")))
+    out = stats.file_stats(stash(shown, "shown"), commits, stash(files.withColumn("filename", named("filename")), "files"))
     authors = F.array_join(F.transform("lines", lambda x: F.substring_index(x["name"], "/", -1)), "")
     return out.select("repo", "sha", "filename", "language", "status", "skipped", "size", "loc", "sloc", F.coalesce(authors, F.lit("")).alias("authors"))
 
