@@ -1,8 +1,8 @@
 """Line provenance: which commit each line of each file version comes from.
 
 A repository's patches are folded in history order. A partition holds whole
-repositories, sorted, and streams them; a commit's files are let go once its last
-child is folded.
+repositories, sorted, and streams them; a repository's edges come first, and a commit's
+files are let go once its last child is folded.
 """
 
 from __future__ import annotations
@@ -42,30 +42,36 @@ def apply_diff(old: Blame, diff: FileDiff, commit: str) -> Blame:
         raise HistoryError(f"{commit}: a binary version has no lines")
     lines: list[bytes] = []
     owners: list[str] = []
-    at = 0
+    start = at = 0  # old lines from start to at are kept, but not yet copied
+
+    def copy() -> None:
+        lines.extend(old.lines[start:at])
+        owners.extend(old.owners[start:at])
 
     def keep(to: int) -> None:
         nonlocal at
         if not at <= to <= len(old.lines):
             raise HistoryError(f"{commit} {diff.after}: line {to} of {len(old.lines)}")
-        lines.extend(old.lines[at:to])
-        owners.extend(old.owners[at:to])
         at = to
 
-    for hunk in sorted(diff.hunks, key=lambda h: h.ranges[0].offset):
+    for hunk in diff.hunks if len(diff.hunks) < 2 else sorted(diff.hunks, key=lambda h: h.ranges[0].offset):
         keep(max(0, hunk.ranges[0].offset - 1))
         for line in hunk.lines:
             sign = line[:1]
             if sign in (b" ", b"\t"):
                 keep(at + 1)
             elif sign == b"-":
-                at += 1
+                copy()
+                start = at = at + 1
             elif sign == b"+":
+                copy()
+                start = at
                 lines.append(line[1:])
                 owners.append(commit)
             elif not is_end_mark(line):
                 raise PatchError(f"{commit} {diff.after}: {line!r}")
     keep(len(old.lines))
+    copy()
     return Blame(commit, tuple(lines), tuple(owners))
 
 
@@ -161,22 +167,76 @@ class Fold:
         self.trees.pop(commit, None)
 
 
-COLUMNS = ("repo", "sha", "parents", "uses", "diff_from", "diff", "path", "blame_commit", "is_binary", "lines")
+COLUMNS = ("repo", "kind", "sha", "parent", "parent_ix", "diff_from", "diff", "path", "blame_commit", "is_binary", "lines")
+#: Kinds of rows, as they come in each repository: its graph, the commits to be folded (if there is a state), the state, the patches.
+EDGE, KEY, STATE, PATCH = range(4)
+
+
+def _values(column: pa.Array) -> list:
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_list(column.type):
+        texts, commits = map(_values, column.flatten().flatten())
+        out, at = [], 0
+        for n in column.value_lengths().to_pylist():
+            out.append((tuple(texts[at : at + (n or 0)]), tuple(commits[at : at + (n or 0)])))
+            at += n or 0
+        return out
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+class Graph:
+    """One repository's edges: a commit's parents in order, and how many children it has."""
+
+    def __init__(self):
+        self.edges: dict[str, list[tuple[int | None, str]]] = {}
+        self.uses: dict[str, int] = {}
+        self.keys: set[str] = set()
+        self.later: dict[str, int] = {}
+
+    def add(self, child: str, parent_ix: int | None, parent: str) -> None:
+        self.edges.setdefault(child, []).append((parent_ix, parent))
+        self.uses[parent] = self.uses.get(parent, 0) + 1
+
+    def expect(self, sha: str) -> None:
+        """A commit that will be folded; ``later`` has how many of them a commit is parent of."""
+        if sha not in self.keys:
+            self.keys.add(sha)
+            for _, p in self.edges.get(sha, ()):
+                self.later[p] = self.later.get(p, 0) + 1
+
+    def parents(self, sha: str) -> list[str]:
+        edges = self.edges.get(sha, ())
+        if len(edges) > 1:
+            edges = sorted(set(edges), key=lambda e: (e[0] is not None, e[0] or 0, e[1]))
+        return [p for _, p in edges]
 
 
 def _history(batches) -> Iterator[tuple]:
-    """Commits of sorted rows (``COLUMNS`` first): (repo, sha, parents, diffs by parent, uses,
+    """Commits of sorted rows (``COLUMNS`` first): (repo, sha, graph, diffs by parent,
     versions of the state or None)."""
-    now = None
+    now = graph = at = None
     for b in batches:
-        for repo, sha, parents, uses, diff_from, diff, path, commit, binary, lines in zip(*(b.column(i).to_pylist() for i in range(len(COLUMNS)))):
-            if now is None or (now[0], now[1]) != (repo, sha):
+        for repo, kind, sha, parent, parent_ix, diff_from, diff, path, commit, binary, lines in zip(*(_values(b.column(i)) for i in range(len(COLUMNS)))):
+            if repo != at or graph is None:
+                if now is not None:
+                    yield now
+                now, graph, at = None, Graph(), repo
+            if kind == EDGE:
+                graph.add(sha, parent_ix, parent)
+                continue
+            if kind == KEY:
+                graph.expect(sha)
+                continue
+            if now is None or now[1] != sha or (now[4] is None) != (kind == PATCH):
                 if now is not None:
                     yield now
-                now = (repo, sha, parents or [], {}, uses or 0, {} if path is not None else None)
-            if now[5] is not None:
+                now = (repo, sha, graph, {}, {} if kind == STATE else None)
+            if kind == STATE:
                 if path:
-                    now[5][path] = Blame(commit, tuple(x["line"] for x in lines or ()), tuple(x["commit"] for x in lines or ()), binary)
+                    now[4][path] = Blame(commit, *(lines or ()), binary=binary)
                 continue
             diffs = now[3].setdefault(diff_from or "", [])
             if diff is not None:
@@ -195,69 +255,72 @@ def _rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*texts, flags[0], lines, flags[1]], ["repo", "sha", "path", "blame_commit", "is_binary", "lines", "live"])
 
 
-def with_parents(patches: DataFrame, edges: DataFrame) -> DataFrame:
-    """Patches with their commit's parents in order, and how many children it has."""
-    known = edges.filter("parent IS NOT NULL")
-    parents = known.groupBy("repo", F.col("child").alias("sha")).agg(F.sort_array(F.collect_set(F.struct("parent_ix", "parent"))).alias("p"))
-    uses = known.groupBy("repo", F.col("parent").alias("sha")).agg(F.count("*").alias("uses"))
-    return patches.join(parents.select("repo", "sha", F.col("p.parent").alias("parents")), ["repo", "sha"], "left").join(uses, ["repo", "sha"], "left")
-
-
-def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
+def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, rows: tuple[bool, ...] = (False, True), parts: int | None = None) -> DataFrame:
     """Schema ``BLAME`` and ``live``: the shown versions of each commit, and with
-    ``live`` the whole trees of the commits that later ones may build on.
+    ``live`` the whole trees of the commits that later ones may build on. ``rows``: which of
+    them, by ``live``.
 
     ``state`` has the live rows of an earlier fold. ``keep``: finished commits that
     stay in memory for late children, as the graph may grow later. Repositories are
-    the unit of parallel work: one shuffle by repository, then a stream of its rows.
+    the unit of parallel work: one shuffle of edges, state and patches by repository (into
+    ``parts`` parts if given, so that a part stays small whatever the input), then a stream of its rows.
     """
 
     def run(batches):
-        fold, repo, left, done, out = Fold(), None, {}, [], []
+        fold, repo, left, done, out, held = Fold(), None, {}, [], [], 0
 
         def finish():
-            live = [c for c in fold.trees if left.get(c, 1) > 0]
+            live = [c for c in fold.trees if left.get(c, 1) > 0] if True in rows else []
             return [(repo, c, path, b, True) for c in live for path, b in sorted(fold.trees[c].items())] + [(repo, c, "", Blame(c), True) for c in live if not fold.trees[c]]
 
-        for name, sha, parents, parts, uses, old in _history(batches):
+        for name, sha, graph, by_parent, old in _history(batches):
             if name != repo:
-                out += finish() if repo is not None else []
+                ended = finish() if repo is not None else []
+                out += ended
+                held += sum(len(r[3].lines) for r in ended)
                 fold = Fold((lambda c, p, r=name: full_blame(r, c, p)) if full_blame else None)
                 repo, left, done = name, {}, []
             if old is not None:
                 fold.trees[sha] = old
-                left[sha] = uses
+                left[sha] = graph.later.get(sha, 1)
                 continue
-            shown = fold.step(sha, parents, {k: [file_diff(d) for d in v] for k, v in parts.items()})
-            left[sha] = uses or 1  # a head may get children later
+            parents = graph.parents(sha)
+            shown = fold.step(sha, parents, {k: [file_diff(d) for d in v] for k, v in by_parent.items()})
+            left[sha] = graph.uses.get(sha, 1)  # a head may get children later
             for p in parents:
                 left[p] = left.get(p, 1) - 1
                 if left[p] <= 0:
                     done.append(p)
             while len(done) > keep:
                 fold.forget(done.pop(0))
-            out += [(name, sha, path, b, False) for path, b in sorted(shown.items())]
-            if sum(len(b.lines) for _, _, _, b, _ in out) > 50_000 or len(out) > 2000:
+            if False in rows:
+                for path, b in sorted(shown.items()) if len(shown) > 1 else shown.items():
+                    out.append((name, sha, path, b, False))
+                    held += len(b.lines)
+            if held > 50_000 or len(out) > 2000:
                 yield _rows(out)
-                out = []
+                out, held = [], 0
         out += finish() if repo is not None else []
         if out:
             yield _rows(out)
 
-    blank = {"blame_commit": "string", "is_binary": "boolean", "lines": LINES, "path": "string"}
-    rows = with_parents(patches, edges).select("repo", "sha", "seq", "diff_from", "change_ix", "diff", "parents", "uses", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+    def of(kind: int, frame: DataFrame) -> DataFrame:
+        kinds = {"sha": "string", "seq": "bigint", "change_ix": "int", "parent": "string", "parent_ix": "int", "diff_from": "string", "diff": "binary", "path": "string", "blame_commit": "string", "is_binary": "boolean", "lines": LINES}
+        return frame.select("repo", F.lit(kind).alias("kind"), *[(F.col(c) if c in frame.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    known = edges.filter("parent IS NOT NULL").select("repo", F.col("child").alias("sha"), "parent", "parent_ix")
+    all_rows = of(EDGE, known).unionByName(of(PATCH, patches.select("repo", "sha", "seq", "diff_from", "change_ix", "diff")))
     if state is not None:
-        uses = edges.join(patches.select("repo", F.col("sha").alias("child")).distinct(), ["repo", "child"], "left_semi").filter("parent IS NOT NULL").groupBy("repo", F.col("parent").alias("sha")).agg(F.count("*").alias("uses"))
-        held = state.select("repo", "sha", "path", "blame_commit", "is_binary", "lines", F.lit(-1).cast("bigint").alias("seq")).join(uses, ["repo", "sha"], "left").withColumn("uses", F.coalesce("uses", F.lit(1)))
-        rows = rows.unionByName(held, allowMissingColumns=True)
-    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "sha", "change_ix").select(*COLUMNS).mapInArrow(run, f"{BLAME}, live boolean")
+        all_rows = all_rows.unionByName(of(KEY, patches.select("repo", "sha"))).unionByName(of(STATE, state.select("repo", "sha", "path", "blame_commit", "is_binary", "lines")))
+    apart = all_rows.repartition(parts, "repo") if parts else all_rows.repartition("repo")
+    return apart.sortWithinPartitions("repo", "kind", "seq", "sha", "change_ix").select(*COLUMNS).mapInArrow(run, f"{BLAME}, live boolean")
 
 
-def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None) -> DataFrame:
+def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, parts: int | None = None) -> DataFrame:
     """A row (schema ``BLAME``) for each file that each commit changes, with the
     commit that every line comes from; merges show deletions and what differs
     from every parent. ``patches`` has a row without diff for a commit without changes."""
-    return fold_history(patches, edges, None, keep, full_blame).filter("NOT live").drop("live")
+    return fold_history(patches, edges, None, keep, full_blame, (False,), parts).drop("live")
 
 
 def blame_lines(blame: DataFrame) -> DataFrame:

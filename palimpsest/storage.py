@@ -23,6 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, rows: int) -> int:
+    """How many parts of about ``rows`` rows ``df`` (a table) makes: a part stays small whatever
+    the input. A small table is spread over the cores, if there's enough for each."""
+    n = df.count()
+    return max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, n // 1000))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a local one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
