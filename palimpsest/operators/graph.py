@@ -7,7 +7,7 @@ repositories without starting a group for each.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Container, Iterable
+from collections.abc import Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,11 +150,11 @@ def branch_id(name: str, points: list[str]) -> str:
     return hashlib.sha256((name + (points[0] if points else "")).encode()).hexdigest()
 
 
-def repo_branches(repo: str, parents: Parents, refs: list[dict], pull_requests: Iterable[str] = (), include_default: bool = False, only_pull_requests: bool = False) -> list[dict]:
+def repo_branches(repo: str, parents: Parents, refs: list[dict], pull_requests: Iterable[str] = (), include_default: bool = False, only_pull_requests: bool = False) -> Iterator[dict]:
     """One record for each branch, and for each pull request that the graph has."""
     default = next((r for r in refs if r["is_default"]), None)
     if default is None:
-        return []
+        return
     top = default["sha"]
     if top not in parents:
         raise UnknownCommit(top)
@@ -170,17 +170,15 @@ def repo_branches(repo: str, parents: Parents, refs: list[dict], pull_requests:
             "behind_default_count": behind(parents, top, on_default, head) if points and not merged else 0, "ahead_default_count": len(commits), "first_commit": commits[0],
         }
 
-    out = []
     if include_default and not only_pull_requests:
         commits, _ = history(parents, top)
-        out.append(record("-", top) | {
+        yield record("-", top) | {
             "branch_id": hashlib.sha256(default["name"].encode()).hexdigest(), "name": default["name"], "is_default": True, "is_merged": False, "merge_commit": "",
             "branched_from_commits": [], "commits": commits, "behind_default_count": 0, "ahead_default_count": 0, "first_commit": commits[0],
-        })
+        }
     if not only_pull_requests:
-        out += [record(r["name"], r["sha"]) for r in sorted(refs, key=lambda r: r["name"]) if not r["is_default"]]
-    out += [record("", sha) for sha in sorted(set(pull_requests)) if sha in parents]
-    return out
+        yield from (record(r["name"], r["sha"]) for r in sorted(refs, key=lambda r: r["name"]) if not r["is_default"])
+    yield from (record("", sha) for sha in sorted(set(pull_requests)) if sha in parents)
 
 
 def graphs(edges: DataFrame, commits: DataFrame | None = None) -> DataFrame:
@@ -194,6 +192,54 @@ def graphs(edges: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     return one.groupBy("repo").agg(F.collect_list("node").alias("graph"))
 
 
+#: commits or rows that a Python worker holds at once, and those of one repository besides
+HELD = 20_000
+
+
+def graph_rows(batches) -> Iterator[dict]:
+    """Rows with a column ``graph``, which becomes a map from commit to parents, a few at a time: a
+    batch may have thousands of graphs, and as Python objects they take many times its size."""
+    for b in batches:
+        sizes = b.column("graph").value_lengths().fill_null(0).to_pylist()
+        at = 0
+        while at < len(sizes):
+            end, n = at + 1, sizes[at]
+            while end < len(sizes) and n + sizes[end] <= HELD and end - at < HELD // 10:
+                n += sizes[end]
+                end += 1
+            some = b.slice(at, end - at)
+            children, parents = some.column("graph").flatten().flatten()
+            child = children.to_numpy(zero_copy_only=False).tolist()
+            parent = parents.flatten().to_numpy(zero_copy_only=False).tolist()
+            counts = parents.value_lengths().fill_null(0).to_pylist()
+            node = edge = 0
+            for size, row in zip(sizes[at:end], some.drop_columns(["graph"]).to_pylist()):
+                graph = {}
+                for i in range(node, node + size):
+                    graph[child[i]] = parent[edge : edge + counts[i]]
+                    edge += counts[i]
+                node += size
+                yield row | {"graph": graph}
+            at = end
+
+
+def commit_batches(rows: Iterable[tuple[str, Iterable[str]]]) -> Iterator[pa.RecordBatch]:
+    """(repo, sha) of repositories with their commits, in batches of bounded size."""
+    repo, sha = [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(sha, pa.string())], ["repo", "sha"])
+
+    for name, commits in rows:
+        sha += commits
+        repo += [name] * (len(sha) - len(repo))
+        if len(sha) > HELD:
+            yield batch()
+            repo, sha = [], []
+    if sha:
+        yield batch()
+
+
 def branches(edges: DataFrame, refs: DataFrame, pull_requests: DataFrame | None = None, commits: DataFrame | None = None, include_default: bool = False, only_pull_requests: bool = False) -> DataFrame:
     """A row for each branch of each repository (schema ``BRANCHES``).
 
@@ -208,37 +254,38 @@ def branches(edges: DataFrame, refs: DataFrame, pull_requests: DataFrame | None
         joined = joined.withColumn("prs", F.lit(None).cast("array<string>"))
     names = [c.split()[0] for c in BRANCHES.split(", ")]
 
+    ints, arrays = {"behind_default_count", "ahead_default_count"}, {"commits", "branched_from_commits"}
+    kinds = {n: pa.int32() if n in ints else pa.list_(pa.string()) if n in arrays else pa.bool_() if n.startswith("is_") else pa.string() for n in names}
+
     def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                parents = {n["child"]: n["parents"] for n in r["graph"]}
-                rows += repo_branches(r["repo"], parents, r["refs"], r["prs"] or (), include_default, only_pull_requests)
-            if rows:
-                ints = {"behind_default_count", "ahead_default_count"}
-                arrays = {"commits", "branched_from_commits"}
-                kinds = {n: pa.int32() if n in ints else pa.list_(pa.string()) if n in arrays else pa.bool_() if n.startswith("is_") else pa.string() for n in names}
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in names], names)
+        rows, held = [], 0
+        for r in graph_rows(batches):
+            for found in repo_branches(r["repo"], r["graph"], r["refs"], r["prs"] or (), include_default, only_pull_requests):
+                rows.append(found)
+                held += 5 + len(found["commits"])
+                if held > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], kinds[n]) for n in names], names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], kinds[n]) for n in names], names)
 
     return joined.select("repo", "graph", "refs", "prs").mapInArrow(run, BRANCHES)
 
 
+def all_reached(parents: Parents, heads: Iterable[str]) -> set[str]:
+    found: set[str] = set()
+    for h in heads:
+        if h not in found:
+            found |= descend(parents, h, found)
+    return found
+
+
 def reachable(edges: DataFrame, heads: DataFrame) -> DataFrame:
     """(repo, sha): the heads (repo, sha) and their ancestors, by repository."""
     starts = heads.groupBy("repo").agg(F.collect_set("sha").alias("heads"))
 
     def run(batches):
-        for b in batches:
-            repo, sha = [], []
-            for r in b.to_pylist():
-                parents = {n["child"]: n["parents"] for n in r["graph"] or ()}
-                found = set()
-                for h in r["heads"]:
-                    if h not in found:
-                        found |= descend(parents, h, found)
-                repo += [r["repo"]] * len(found)
-                sha += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(sha, pa.string())], ["repo", "sha"])
+        yield from commit_batches((r["repo"], sorted(all_reached(r["graph"], r["heads"]))) for r in graph_rows(batches))
 
     return starts.join(graphs(edges), "repo", "left").select("repo", "graph", "heads").mapInArrow(run, "repo string, sha string")
 
@@ -251,13 +298,20 @@ def roots(edges: DataFrame) -> DataFrame:
 def commit_range(edges: DataFrame, heads: DataFrame, start: DataFrame | None, inclusive: bool = True) -> DataFrame:
     """Commits reachable from ``heads`` but not from ``start`` (repo, sha), with
     ``start`` itself if ``inclusive``."""
-    found = reachable(edges, heads)
     if start is None:
-        return found
-    before = start
-    if inclusive:
-        before = edges.filter("parent IS NOT NULL").join(start.select("repo", F.col("sha").alias("child")), ["repo", "child"], "left_semi").select("repo", F.col("parent").alias("sha"))
-    return found.join(reachable(edges, before), ["repo", "sha"], "left_anti")
+        return reachable(edges, heads)
+    ends = [x.groupBy("repo").agg(F.collect_set("sha").alias(c)) for x, c in ((heads, "heads"), (start, "start"))]
+
+    def run(batches):
+        def rest(r):
+            graph, start = r["graph"], r["start"] or ()
+            before = [p for s in start for p in graph.get(s, ())] if inclusive else start
+            return sorted(all_reached(graph, r["heads"]) - all_reached(graph, before))
+
+        yield from commit_batches((r["repo"], rest(r)) for r in graph_rows(batches))
+
+    joined = ends[0].join(ends[1], "repo", "left").join(graphs(edges), "repo", "left")
+    return joined.select("repo", "graph", "heads", "start").mapInArrow(run, "repo string, sha string")
 
 
 def common_parents(edges: DataFrame, heads: DataFrame) -> DataFrame:
@@ -266,10 +320,8 @@ def common_parents(edges: DataFrame, heads: DataFrame) -> DataFrame:
     asked = heads.groupBy("repo").agg(F.sort_array(F.collect_set("sha")).alias("heads"))
 
     def run(batches):
-        for b in batches:
-            met = [(r["repo"], last_common_parent({n["child"]: n["parents"] for n in r["graph"]}, r["heads"])) for r in b.to_pylist()]
-            met = [x for x in met if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in met], pa.string()) for i in (0, 1)], ["repo", "sha"])
+        met = ((r["repo"], last_common_parent(r["graph"], r["heads"])) for r in graph_rows(batches))
+        yield from commit_batches((repo, [sha]) for repo, sha in met if sha)
 
     return graphs(edges).join(asked, "repo").select("repo", "graph", "heads").mapInArrow(run, "repo string, sha string")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.storage import read_table
+from palimpsest.storage import parts_of, read_table
+
+#: events that make a part
+EVENTS = 50_000
 
 #: Events as commits: a repository is a user, a branch an event type, ``view`` the default one.
 COMMITS_SQL = """
@@ -24,7 +27,8 @@ tops AS (SELECT repo, sha FROM refs WHERE name = 'view')"""
 
 def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, branch, ts, event_id, p0, p1)"""
-    e = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo"), F.col("event_id").cast("string").alias("sha"), F.col("event_type").alias("branch"), "ts", "event_id")
+    events = read_table(spark, sf_dir, "events")
+    e = events.select(F.col("user_id").cast("string").alias("repo"), F.col("event_id").cast("string").alias("sha"), F.col("event_type").alias("branch"), "ts", "event_id").repartition(parts_of(events, EVENTS), "repo")
     repo = Window.partitionBy("repo").orderBy("ts", "event_id")
     branch = Window.partitionBy("repo", "branch").orderBy("ts", "event_id")
     view = F.last(F.when(F.col("branch") == "view", F.col("sha")), ignorenulls=True).over(repo.rowsBetween(Window.unboundedPreceding, -1))
