@@ -4,7 +4,7 @@ import re
 
 import pyarrow as pa
 
-from palimpsest.operators import blame, graph
+from palimpsest.operators import blame, graph, meta
 from palimpsest.plans import history, merges
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,12 @@ def test_histories_are_made_in_parts(spark, monkeypatch):
     monkeypatch.setattr(merges, "CUSTOMERS", 10)
     assert merges._customers(spark, SF).rdd.getNumPartitions() >= 15
     assert exchanges(merges.root_commits(spark, SF)) == 1
+
+
+def test_files_of_a_log_are_shuffled_as_lines(spark, tmp_path):
+    spark.createDataFrame([("r", "c", "1\t2\tf")], "repo string, sha string, line string").write.parquet(f"{tmp_path}/l")
+    found = meta.commit_files(spark.read.parquet(f"{tmp_path}/l"))
+    grouped = meta.files_by_commit(spark.createDataFrame([("r", "c")], "repo string, sha string"), found)
+    assert exchanges(found) == 1 and grouped.first().files["f"].additions == 1
+    # shuffled before they are parsed, and not again
+    assert exchanges(history.item_files(spark, SF)) == 1 and exchanges(history.checked_commits(spark, SF)) == 2
