@@ -8,7 +8,7 @@ files are let go once its last child is folded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, repeat
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -42,6 +42,7 @@ def apply_diff(old: Blame, diff: FileDiff, commit: str) -> Blame:
         raise HistoryError(f"{commit}: a binary version has no lines")
     lines: list[bytes] = []
     owners: list[str] = []
+    known = len(old.lines)
     start = at = 0  # old lines from start to at are kept, but not yet copied
 
     def copy() -> None:
@@ -50,27 +51,31 @@ def apply_diff(old: Blame, diff: FileDiff, commit: str) -> Blame:
 
     def keep(to: int) -> None:
         nonlocal at
-        if not at <= to <= len(old.lines):
-            raise HistoryError(f"{commit} {diff.after}: line {to} of {len(old.lines)}")
+        if not at <= to <= known:
+            raise HistoryError(f"{commit} {diff.after}: line {to} of {known}")
         at = to
 
     for hunk in diff.hunks if len(diff.hunks) < 2 else sorted(diff.hunks, key=lambda h: h.ranges[0].offset):
         keep(max(0, hunk.ranges[0].offset - 1))
         for line in hunk.lines:
             sign = line[:1]
-            if sign in (b" ", b"\t"):
-                keep(at + 1)
+            if sign == b" " or sign == b"\t":
+                if at >= known:
+                    keep(at + 1)
+                at += 1
             elif sign == b"-":
-                copy()
+                if start < at:
+                    copy()
                 start = at = at + 1
             elif sign == b"+":
-                copy()
-                start = at
+                if start < at:
+                    copy()
+                    start = at
                 lines.append(line[1:])
                 owners.append(commit)
             elif not is_end_mark(line):
                 raise PatchError(f"{commit} {diff.after}: {line!r}")
-    keep(len(old.lines))
+    keep(known)
     copy()
     return Blame(commit, tuple(lines), tuple(owners))
 
@@ -167,7 +172,7 @@ class Fold:
         self.trees.pop(commit, None)
 
 
-COLUMNS = ("repo", "kind", "sha", "parent", "parent_ix", "diff_from", "diff", "path", "blame_commit", "is_binary", "lines")
+COLUMNS = ("repo", "kind", "sha", "parent", "parent_ix", "parents", "uses", "diff_from", "diff", "path", "blame_commit", "is_binary", "lines")
 #: Kinds of rows, as they come in each repository: its graph, the commits to be folded (if there is a state), the state, the patches.
 EDGE, KEY, STATE, PATCH = range(4)
 
@@ -175,6 +180,10 @@ EDGE, KEY, STATE, PATCH = range(4)
 def _values(column: pa.Array) -> list:
     if column.null_count == len(column):
         return [None] * len(column)
+    if pa.types.is_list(column.type) and not pa.types.is_struct(column.type.value_type):
+        inner = column.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = list(accumulate((n or 0 for n in column.value_lengths().to_pylist()), initial=0))
+        return [inner[a:b] for a, b in zip(ends, ends[1:])]
     if pa.types.is_list(column.type):
         texts, commits = map(_values, column.flatten().flatten())
         out, at = [], 0
@@ -200,11 +209,11 @@ class Graph:
         self.edges.setdefault(child, []).append((parent_ix, parent))
         self.uses[parent] = self.uses.get(parent, 0) + 1
 
-    def expect(self, sha: str) -> None:
+    def expect(self, sha: str, parents: list[str] | None = None) -> None:
         """A commit that will be folded; ``later`` has how many of them a commit is parent of."""
         if sha not in self.keys:
             self.keys.add(sha)
-            for _, p in self.edges.get(sha, ()):
+            for p in (p for _, p in self.edges.get(sha, ())) if parents is None else parents:
                 self.later[p] = self.later.get(p, 0) + 1
 
     def parents(self, sha: str) -> list[str]:
@@ -215,11 +224,13 @@ class Graph:
 
 
 def _history(batches) -> Iterator[tuple]:
-    """Commits of sorted rows (``COLUMNS`` first): (repo, sha, graph, diffs by parent,
-    versions of the state or None)."""
+    """Commits of sorted rows (those of ``COLUMNS`` that they need): (repo, sha, graph, diffs by parent,
+    versions of the state or None, parents and uses if the rows tell them)."""
     now = graph = at = None
     for b in batches:
-        for repo, kind, sha, parent, parent_ix, diff_from, diff, path, commit, binary, lines in zip(*(_values(b.column(i)) for i in range(len(COLUMNS)))):
+        has = set(b.schema.names)
+        columns = [_values(b.column(c)) if c in has else repeat(None) for c in COLUMNS]
+        for repo, kind, sha, parent, parent_ix, parents, uses, diff_from, diff, path, commit, binary, lines in zip(*columns):
             if repo != at or graph is None:
                 if now is not None:
                     yield now
@@ -228,12 +239,12 @@ def _history(batches) -> Iterator[tuple]:
                 graph.add(sha, parent_ix, parent)
                 continue
             if kind == KEY:
-                graph.expect(sha)
+                graph.expect(sha, parents)
                 continue
             if now is None or now[1] != sha or (now[4] is None) != (kind == PATCH):
                 if now is not None:
                     yield now
-                now = (repo, sha, graph, {}, {} if kind == STATE else None)
+                now = (repo, sha, graph, {}, {} if kind == STATE else None, parents, uses)
             if kind == STATE:
                 if path:
                     now[4][path] = Blame(commit, *(lines or ()), binary=binary)
@@ -255,7 +266,7 @@ def _rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*texts, flags[0], lines, flags[1]], ["repo", "sha", "path", "blame_commit", "is_binary", "lines", "live"])
 
 
-def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, rows: tuple[bool, ...] = (False, True), parts: int | None = None) -> DataFrame:
+def fold_history(patches: DataFrame, edges: DataFrame | None, state: DataFrame | None = None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, rows: tuple[bool, ...] = (False, True), parts: int | None = None) -> DataFrame:
     """Schema ``BLAME`` and ``live``: the shown versions of each commit, and with
     ``live`` the whole trees of the commits that later ones may build on. ``rows``: which of
     them, by ``live``.
@@ -264,6 +275,8 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
     stay in memory for late children, as the graph may grow later. Repositories are
     the unit of parallel work: one shuffle of edges, state and patches by repository (into
     ``parts`` parts if given, so that a part stays small whatever the input), then a stream of its rows.
+    Without ``edges``, ``patches`` has each commit's ``parents`` (array, in order) and ``uses`` (of how
+    many edges it is the parent): rows of their own for edges would be made, sorted and sent beside them.
     """
 
     def run(batches):
@@ -273,7 +286,7 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
             live = [c for c in fold.trees if left.get(c, 1) > 0] if True in rows else []
             return [(repo, c, path, b, True) for c in live for path, b in sorted(fold.trees[c].items())] + [(repo, c, "", Blame(c), True) for c in live if not fold.trees[c]]
 
-        for name, sha, graph, by_parent, old in _history(batches):
+        for name, sha, graph, by_parent, old, told, uses in _history(batches):
             if name != repo:
                 ended = finish() if repo is not None else []
                 out += ended
@@ -284,9 +297,9 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
                 fold.trees[sha] = old
                 left[sha] = graph.later.get(sha, 1)
                 continue
-            parents = graph.parents(sha)
+            parents = graph.parents(sha) if told is None else told
             shown = fold.step(sha, parents, {k: [file_diff(d) for d in v] for k, v in by_parent.items()})
-            left[sha] = graph.uses.get(sha, 1)  # a head may get children later
+            left[sha] = graph.uses.get(sha, 1) if told is None else uses or 1  # a head may get children later
             for p in parents:
                 left[p] = left.get(p, 1) - 1
                 if left[p] <= 0:
@@ -304,19 +317,27 @@ def fold_history(patches: DataFrame, edges: DataFrame, state: DataFrame | None =
         if out:
             yield _rows(out)
 
-    def of(kind: int, frame: DataFrame) -> DataFrame:
-        kinds = {"sha": "string", "seq": "bigint", "change_ix": "int", "parent": "string", "parent_ix": "int", "diff_from": "string", "diff": "binary", "path": "string", "blame_commit": "string", "is_binary": "boolean", "lines": LINES}
-        return frame.select("repo", F.lit(kind).alias("kind"), *[(F.col(c) if c in frame.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    needed = {"sha": "string", "seq": "bigint", "change_ix": "int"}
+    needed |= {"parents": "array<string>", "uses": "int"} if edges is None else {"parent": "string", "parent_ix": "int"}
+    needed |= {"diff_from": "string", "diff": "binary"}
+    if state is not None:
+        needed |= {"path": "string", "blame_commit": "string", "is_binary": "boolean", "lines": LINES}
+
+    def of(kind: int, frame: DataFrame, *columns: str) -> DataFrame:
+        return frame.select("repo", F.lit(kind).alias("kind"), *[(F.col(c) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
 
-    known = edges.filter("parent IS NOT NULL").select("repo", F.col("child").alias("sha"), "parent", "parent_ix")
-    all_rows = of(EDGE, known).unionByName(of(PATCH, patches.select("repo", "sha", "seq", "diff_from", "change_ix", "diff")))
+    told = ("parents",) if edges is None else ()
+    all_rows = of(PATCH, patches, "sha", "seq", "diff_from", "change_ix", "diff", *told, *(("uses",) if told else ()))
+    if edges is not None:
+        known = edges.filter("parent IS NOT NULL").select("repo", F.col("child").alias("sha"), "parent", "parent_ix")
+        all_rows = of(EDGE, known, "sha", "parent", "parent_ix").unionByName(all_rows)
     if state is not None:
-        all_rows = all_rows.unionByName(of(KEY, patches.select("repo", "sha"))).unionByName(of(STATE, state.select("repo", "sha", "path", "blame_commit", "is_binary", "lines")))
+        all_rows = all_rows.unionByName(of(KEY, patches, "sha", *told)).unionByName(of(STATE, state, "sha", "path", "blame_commit", "is_binary", "lines"))
     apart = all_rows.repartition(parts, "repo") if parts else all_rows.repartition("repo")
-    return apart.sortWithinPartitions("repo", "kind", "seq", "sha", "change_ix").select(*COLUMNS).mapInArrow(run, f"{BLAME}, live boolean")
+    return apart.sortWithinPartitions("repo", "kind", "seq", "sha", "change_ix").select(*[c for c in COLUMNS if c in needed or c in ("repo", "kind")]).mapInArrow(run, f"{BLAME}, live boolean")
 
 
-def blame_history(patches: DataFrame, edges: DataFrame, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, parts: int | None = None) -> DataFrame:
+def blame_history(patches: DataFrame, edges: DataFrame | None, keep: int = 1000, full_blame: Callable[[str, str, str], Blame] | None = None, parts: int | None = None) -> DataFrame:
     """A row (schema ``BLAME``) for each file that each commit changes, with the
     commit that every line comes from; merges show deletions and what differs
     from every parent. ``patches`` has a row without diff for a commit without changes."""

@@ -86,3 +86,22 @@ def test_files_of_a_log_are_shuffled_as_lines(spark, tmp_path):
     assert exchanges(found) == 1 and grouped.first().files["f"].additions == 1
     # shuffled before they are parsed, and not again
     assert exchanges(history.item_files(spark, SF)) == 1 and exchanges(history.checked_commits(spark, SF)) == 2
+
+
+def test_a_fold_needs_no_rows_for_edges(spark):
+    """Patches that tell their parents give what edges beside them give, with one sort for the orders' windows."""
+    commits = history.order_commits(spark, SF)
+    for keep, rows in ((0, (True,)), (1000, (False, True))):
+        told = blame.fold_history(history.order_patches(commits), None, keep=keep, rows=rows, parts=3)
+        beside = blame.fold_history(history.order_patches(commits), history.order_edges(commits), keep=keep, rows=rows)
+        assert sorted(map(repr, told.collect())) == sorted(map(repr, beside.collect()))
+    plan = history.live_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Scan parquet") == 1
+
+
+def test_a_resumed_fold_by_told_parents(spark):
+    commits = history.order_commits(spark, SF)
+    patches, edges = history.order_patches(commits), history.order_edges(commits)
+    state = blame.fold_history(patches.filter("seq <= 7"), edges).filter("live")
+    told, beside = (blame.fold_history(patches.filter("seq > 7"), e, state, keep=0) for e in (None, edges))
+    assert sorted(map(repr, told.collect())) == sorted(map(repr, beside.collect()))
