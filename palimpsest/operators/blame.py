@@ -177,7 +177,8 @@ COLUMNS = ("repo", "kind", "sha", "parent", "parent_ix", "parents", "uses", "dif
 EDGE, KEY, STATE, PATCH = range(4)
 
 
-def _values(column: pa.Array) -> list:
+def column_values(column: pa.Array) -> list:
+    """A column as Python values; lists of lines and their commits as pairs of tuples."""
     if column.null_count == len(column):
         return [None] * len(column)
     if pa.types.is_list(column.type) and not pa.types.is_struct(column.type.value_type):
@@ -185,7 +186,7 @@ def _values(column: pa.Array) -> list:
         ends = list(accumulate((n or 0 for n in column.value_lengths().to_pylist()), initial=0))
         return [inner[a:b] for a, b in zip(ends, ends[1:])]
     if pa.types.is_list(column.type):
-        texts, commits = map(_values, column.flatten().flatten())
+        texts, commits = map(column_values, column.flatten().flatten())
         out, at = [], 0
         for n in column.value_lengths().to_pylist():
             out.append((tuple(texts[at : at + (n or 0)]), tuple(commits[at : at + (n or 0)])))
@@ -229,7 +230,7 @@ def _history(batches) -> Iterator[tuple]:
     now = graph = at = None
     for b in batches:
         has = set(b.schema.names)
-        columns = [_values(b.column(c)) if c in has else repeat(None) for c in COLUMNS]
+        columns = [column_values(b.column(c)) if c in has else repeat(None) for c in COLUMNS]
         for repo, kind, sha, parent, parent_ix, parents, uses, diff_from, diff, path, commit, binary, lines in zip(*columns):
             if repo != at or graph is None:
                 if now is not None:

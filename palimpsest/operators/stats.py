@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import classify, licenses
 from palimpsest.functions.languages import count_lines
+from palimpsest.operators.blame import LINES, column_values
 
 COUNTS = "loc bigint, sloc bigint, comments bigint, blanks bigint, complexity bigint, generated boolean, classes string"
 
@@ -48,50 +51,118 @@ def with_license(files: DataFrame, path: str, content: str, threshold: float = l
     return asked.unionByName(files.filter(~F.coalesce(may, F.lit(False))).withColumn("license", F.lit(None).cast("struct<name:string,confidence:float>")))
 
 
-def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame, strict: bool = False) -> DataFrame:
+#: Kinds of rows, as they come in each repository (and share of its commits): authors; of each path, what became of it and its version.
+WHO, LISTED, VERSION = range(3)
+PERSON = "name:string,email:string,date:timestamp"
+STATS = (
+    "repo string, sha string, filename string, language string, size bigint, loc bigint, sloc bigint, comments bigint, blanks bigint, complexity bigint, weighted_complexity double, "
+    f"skipped string, license struct<name:string,confidence:float>, status string, lines array<struct<{PERSON},comment:boolean,code:boolean,blank:boolean,sha:string>>"
+)
+COLUMNS = ("repo", "kind", "sha", "path", "name", "email", "status", "size", "skipped", "language", "may", "lines")
+NOBODY = (None, None, None)
+
+
+def _judged(blame: DataFrame) -> DataFrame:
+    """``blame`` with what columns can say: size, why it is left out unless as a licence, language, whether it may be a licence."""
+    texts = F.transform("lines", lambda x: x.line)
+    size = F.coalesce(F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x.line) + 1), F.lit(0)).cast("bigint")
+    path, first = F.col("path"), F.decode(F.get(F.col("lines"), F.lit(0))["line"], "UTF-8")
+    rows = blame.filter("path <> ''").select("repo", "sha", "path", "lines", size.alias("size"))
+    reason = classify.skip_reason(path, F.col("size"), F.size("lines"), classify.first_wide_line(texts), F.lit(False), first)
+    may = path.rlike(classify.LICENSE_PATH) & (F.col("size") <= classify.MOST_BYTES)
+    rows = rows.select("*", reason.alias("skipped"), may.alias("may"))
+    return rows.withColumn("language", F.when(F.col("skipped") == "", classify.language(path, first)).otherwise(""))
+
+
+def _stat(lines: tuple[bytes, ...], size: int, skipped: str, language: str, may: bool) -> tuple:
+    """(language, size, loc, sloc, comments, blanks, complexity, skipped, license, classes or None if its lines aren't shown)"""
+    if may:
+        found = licenses.detect("".join(_decoded(x) + "\n" for x in lines))
+        if found:
+            return "", 0, 0, 0, 0, 0, 0, classify.LICENSE, {"name": found[0], "confidence": found[1]}, None
+    if skipped:
+        return "", 0, 0, 0, 0, 0, 0, skipped, None, None
+    n = count_lines(language, [_decoded(x) for x in lines])
+    return "" if n.generated else language, size, n.loc, n.sloc, n.comments, n.blanks, n.complexity, classify.GENERATED if n.generated else "", None, n.classes
+
+
+def _stat_rows(rows: list[tuple], date: pa.DataType) -> pa.RecordBatch:
+    """Rows (repo, sha, filename, what ``_stat`` gives, status, commits of the lines and authors or None)."""
+    kinds = [pa.string()] * 4 + [pa.int64()] * 6 + [pa.string(), pa.struct([("name", pa.string()), ("confidence", pa.float32())])]
+    made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    shown = [(r[12], r[14]) if r[12] and r[14] else None for r in rows]
+    classes = "".join(x[0] for x in shown if x)
+    people = [p for x in shown if x for p in x[1][1]]
+    fields = [pa.array([p[i] for p in people], kind) for i, kind in enumerate((pa.string(), pa.string(), date))]
+    fields += [pa.array([c == of for c in classes], pa.bool_()) for of in "mcb"]
+    fields.append(pa.array([c for x in shown if x for c in x[1][0]], pa.string()))
+    ends = list(accumulate((len(x[0]) if x else 0 for x in shown), initial=0))
+    offsets = pa.array([end if x else None for end, x in zip(ends, shown)] + [ends[-1]], pa.int32())
+    lines = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, [*(f.split(":")[0] for f in PERSON.split(",")), "comment", "code", "blank", "sha"]))
+    made = [*made[:10], pa.array([0.0] * len(rows), pa.float64()), *made[10:], pa.array([r[13] for r in rows], pa.string()), lines]
+    return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in STATS.split(", ")])
+
+
+def file_stats(blame: DataFrame, commits: DataFrame, commit_files: DataFrame, strict: bool = False, parts: int | None = None) -> DataFrame:
     """(repo, sha, filename, language, size, loc .. blanks, complexity, weighted_complexity,
     skipped, license, status, lines) for each file version that its commit lists.
 
     Each line has its author's name, address and date, null if its commit isn't known.
     With ``strict``, a version of a commit that isn't among ``commits`` is an error, and so is a
     renamed file that its commit shows under no name; without, both are left out.
+
+    One shuffle by repository brings versions, lists and authors together (into ``parts`` parts if given),
+    then a part streams its rows and holds the authors of one repository. Without ``parts`` there may be few large
+    repositories: each one's commits are dealt out to the cores, and its authors go to all shares.
     """
-    listed = commit_files.select("repo", "sha", F.col("filename").alias("path"), "status")
     if strict:
         check_matched(blame, commits, commit_files)
-    rows = blame.filter("path <> ''").join(listed, ["repo", "sha", "path"])
-    texts = F.transform("lines", lambda x: x.line)
-    body = F.when(F.size("lines") > 0, F.concat(F.array_join(F.transform(texts, lambda x: F.decode(x, "ISO-8859-1")), "\n"), F.lit("\n"))).otherwise("")
-    rows = rows.withColumn("content", F.decode(F.encode(body, "ISO-8859-1"), "UTF-8")).withColumn("size", F.length(F.encode(body, "ISO-8859-1")).cast("bigint"))
-    gone = F.col("status") == "removed"
-    judged = with_license(rows.filter(~gone), "path", "content")
-    path = F.col("path")
-    first = F.decode(F.get(texts, F.lit(0)), "UTF-8")
-    reason = classify.skip_reason(path, F.col("size"), F.size("lines"), classify.first_wide_line(texts), F.col("license").isNotNull(), first)
-    judged = judged.withColumn("skipped", reason).withColumn("language", F.when(F.col("skipped") == "", classify.language(path, first)).otherwise("")).drop("content")
-    keys = ["repo", "sha", "path"]
-    kept = judged.filter("skipped = ''")
-    counts = counted(kept.withColumn("lines", F.transform("lines", lambda x: x.line)), keys)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    made = F.coalesce("generated", F.lit(False))
-    full = judged.join(counts, keys, "left").select(
-        *keys, F.when(made, "").otherwise(F.col("language")).alias("language"), F.when(F.col("skipped") == "", F.col("size")).otherwise(0).alias("size"), *[zero(c) for c in ("loc", "sloc", "comments", "blanks", "complexity")],
-        F.lit(0.0).alias("weighted_complexity"), F.when(made, classify.GENERATED).otherwise(F.col("skipped")).alias("skipped"), "license", "status", "lines", "classes",
-    )
-    # each version's different origins meet their authors; its lines stay where they are
-    shown = full.withColumn("shown", (F.col("skipped") == "") | (F.col("loc") > 0))
-    origins = shown.filter("shown").select(*keys, F.explode(F.array_distinct(F.transform("lines", lambda x: x.commit))).alias("origin"))
-    who = commits.select("repo", F.col("sha").alias("origin"), F.struct(F.col("author_name").alias("name"), F.col("author_email").alias("email"), "date").alias("who"))
-    found = origins.join(who, ["repo", "origin"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("origin", "who"))).alias("authors"))
-
-    def line(x: Column, i: Column) -> Column:
-        kind, author = F.substring(F.col("classes"), i + 1, F.lit(1)), F.col("authors")[x.commit]
-        return F.struct(author["name"].alias("name"), author["email"].alias("email"), author["date"].alias("date"), (kind == "m").alias("comment"), (kind == "c").alias("code"), (kind == "b").alias("blank"), x.commit.alias("sha"))
-
-    lines = F.when(F.col("shown") & (F.size("lines") > 0), F.transform("lines", line))
-    out = shown.join(found, keys, "left").withColumn("lines", lines).drop("shown", "classes", "authors")
-    away = rows.filter(gone).select(*keys, F.lit("").alias("language"), *[F.lit(0).cast("bigint").alias(c) for c in ("size", "loc", "sloc", "comments", "blanks", "complexity")], F.lit(0.0).alias("weighted_complexity"), F.lit(classify.REMOVED).alias("skipped"), F.lit(None).cast("struct<name:string,confidence:float>").alias("license"), "status")
-    return out.unionByName(away, allowMissingColumns=True).withColumnRenamed("path", "filename")
+    shares = 1 if parts else blame.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches):
+        out, held, repo, who, key, listed, kind_of_date = [], 0, None, {}, None, [], None
+        for b in batches:
+            dates = b.column("date")
+            kind_of_date = dates.type
+            for name, kind, sha, path, author, email, status, size, skipped, language, may, lines, date, share in zip(*(column_values(b.column(c)) for c in COLUMNS), column_values(dates.cast(pa.int64())), b.column("share").to_pylist()):
+                if (name, share) != repo:
+                    repo, who = (name, share), {}
+                if kind == WHO:
+                    who[sha] = (author, email, date)
+                    continue
+                if (name, share, sha, path) != key:
+                    key, listed = (name, share, sha, path), []
+                if kind == LISTED:
+                    listed.append(status)
+                    continue
+                texts, owners = lines or ((), ())
+                for status in listed:
+                    if status == "removed":
+                        found = ("", 0, 0, 0, 0, 0, 0, classify.REMOVED, None, None)
+                    else:
+                        found = _stat(texts, size, skipped, language, may)
+                    shown = (owners, [who.get(c, NOBODY) for c in owners]) if found[9] else None
+                    out.append((name, sha, path, *found, status, shown))
+                    held += len(owners) if shown else 0
+                if held > 50_000 or len(out) > 2000:
+                    yield _stat_rows(out, kind_of_date)
+                    out, held = [], 0
+        if out:
+            yield _stat_rows(out, kind_of_date)
+
+    kinds = {"path": "string", "name": "string", "email": "string", "date": "timestamp", "status": "string", "size": "bigint", "skipped": "string", "language": "string", "may": "boolean", "lines": LINES}
+    share = (lambda c: F.lit(0)) if shares == 1 else (lambda c: F.pmod(F.xxhash64(c), F.lit(shares)).cast("int"))
+
+    def of(kind: int, frame: DataFrame, share, **columns: str) -> DataFrame:
+        return frame.select("repo", F.lit(kind).alias("kind"), "sha", share.alias("share"), *[(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    every = F.lit(0) if shares == 1 else F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    rows = of(WHO, commits.select("repo", "sha", "author_name", "author_email", "date"), every, name="author_name", email="author_email", date="date")
+    rows = rows.unionByName(of(LISTED, commit_files, share("sha"), path="filename", status="status"))
+    rows = rows.unionByName(of(VERSION, _judged(blame), share("sha"), **{c: c for c in ("path", "size", "skipped", "language", "may", "lines")}))
+    apart = rows.repartition(parts, "repo") if parts else rows.repartition("repo", "share")
+    order = ("repo", "share", F.col("kind") != WHO, "sha", "path", "kind")
+    return apart.sortWithinPartitions(*order).select(*COLUMNS, "date", "share").mapInArrow(run, STATS)
 
 
 class UnmatchedVersion(ValueError):

@@ -1,10 +1,11 @@
 """What a task or a worker holds, and how often work is done, doesn't grow with the input."""
 
 import re
+from datetime import datetime
 
 import pyarrow as pa
 
-from palimpsest.operators import blame, graph, meta
+from palimpsest.operators import blame, graph, meta, stats
 from palimpsest.plans import history, merges
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,40 @@ def test_patches_are_written_once_in_the_plan(spark):
     """What is made of a customer's patches isn't spelled out for each of them: code that long isn't compiled."""
     for rows in (merges.merge_patches(spark, SF), merges.merge_edges(spark, SF)):
         assert rows._jdf.queryExecution().optimizedPlan().toString().count("concat(") <= 6
+
+
+def test_statistics_meet_in_one_shuffle(spark, tmp_path):
+    """Versions, lists and authors come together once, and are counted in one pass."""
+    line = "struct<line:binary,commit:string>"
+    versions = [("r", s, p, s, False, [(t, c) for t, c in lines]) for s, p, lines in (("1", "a.py", [(b"x = 1", "1"), (b"# y", "0"), (b"", "1")]), ("2", "a.py", [(b"z", "1")]), ("2", "LICENSE", [(b"no", "2")]), ("3", "gone.py", []), ("3", "not listed.py", [(b"x", "3")]))]
+    tables = {
+        "blame": spark.createDataFrame(versions, f"repo string, sha string, path string, blame_commit string, is_binary boolean, lines array<{line}>"),
+        "commits": spark.createDataFrame([("r", "1", "Ann", "ann@x"), ("r", "2", "Bob", "bob@x"), ("q", "0", "Eve", "eve@x")], "repo string, sha string, author_name string, author_email string").selectExpr("*", "timestamp '2020-01-02 03:04:05.000006' AS date"),
+        "files": spark.createDataFrame([("r", "1", "a.py", "added"), ("r", "2", "a.py", "modified"), ("r", "2", "LICENSE", "added"), ("r", "3", "gone.py", "removed"), ("r", "4", "b.py", "added")], "repo string, sha string, filename string, status string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    read = [spark.read.parquet(f"{tmp_path}/{name}") for name in tables]
+    for parts in (None, 2):
+        out = stats.file_stats(*read, parts=parts)
+        assert exchanges(out) == 1 and out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        rows = {(r.sha, r.filename): r for r in out.collect()}
+        assert sorted(rows) == [("1", "a.py"), ("2", "LICENSE"), ("2", "a.py"), ("3", "gone.py")]
+        one = rows["1", "a.py"]
+        assert (one.language, one.size, one.loc, one.sloc, one.comments, one.blanks, one.skipped, one.status, one.license) == ("Python", 11, 3, 1, 1, 1, "", "added", None)
+        assert [(x.name, x.email, x.comment, x.code, x.blank, x.sha) for x in one.lines] == [("Ann", "ann@x", False, True, False, "1"), (None, None, True, False, False, "0"), ("Ann", "ann@x", False, False, True, "1")]
+        assert one.lines[0].date == datetime(2020, 1, 2, 3, 4, 5, 6) and one.lines[1].date is None
+        assert (rows["2", "LICENSE"].skipped, rows["2", "LICENSE"].lines, rows["3", "gone.py"].skipped, rows["3", "gone.py"].lines) == ("File was on an exclusion list", None, "File was removed", None)
+        assert rows["2", "a.py"].lines[0].name == "Ann"
+
+
+def test_many_lines_of_statistics_keep_their_places(spark):
+    made = spark.range(7000).selectExpr("'r' AS repo", "cast(id AS string) AS sha", "concat('f', id, if(id % 3 = 0, '.png', '.py')) AS path", "transform(sequence(1, id % 40 + 1), i -> named_struct('line', cast(concat('x = ', id) AS binary), 'commit', cast(id - i % 3 AS string))) AS lines")
+    files = made.selectExpr("repo", "sha", "path AS filename", "'added' AS status")
+    commits = made.selectExpr("repo", "sha", "concat('n', sha) AS author_name", "'' AS author_email", "cast(NULL AS timestamp) AS date")
+    rows = stats.file_stats(made, commits, files, parts=2).collect()
+    assert len(rows) == 7000
+    for r in rows:
+        n = int(r.sha)
+        want = None if n % 3 == 0 else [(f"n{n - i % 3}" if n >= i % 3 else None, f"{n - i % 3}", True) for i in range(1, n % 40 + 2)]
+        assert (r.lines and [(x.name, x.sha, x.code) for x in r.lines]) == want and r.loc == len(want or ())
