@@ -257,7 +257,7 @@ def _history(batches) -> Iterator[tuple]:
         yield now
 
 
-def _rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
+def blame_rows(rows: list[tuple[str, str, str, Blame, bool]]) -> pa.RecordBatch:
     blames = [r[3] for r in rows]
     ends = pa.array(list(accumulate((len(b.lines) for b in blames), initial=0)), pa.int32())
     parts = [pa.array([x for b in blames for x in b.lines], pa.binary()), pa.array([x for b in blames for x in b.owners], pa.string())]
@@ -312,11 +312,11 @@ def fold_history(patches: DataFrame, edges: DataFrame | None, state: DataFrame |
                     out.append((name, sha, path, b, False))
                     held += len(b.lines)
             if held > 50_000 or len(out) > 2000:
-                yield _rows(out)
+                yield blame_rows(out)
                 out, held = [], 0
         out += finish() if repo is not None else []
         if out:
-            yield _rows(out)
+            yield blame_rows(out)
 
     needed = {"sha": "string", "seq": "bigint", "change_ix": "int"}
     needed |= {"parents": "array<string>", "uses": "int"} if edges is None else {"parent": "string", "parent_ix": "int"}

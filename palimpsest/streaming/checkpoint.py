@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.blame import Blame, blame_rows, column_values
+from palimpsest.schemas import BLAME
+
 TABLES = {
     "trees": "repo string, part string, sha string, path string, blame_id string",
     "blames": "repo string, part string, blame_id string, blame_commit string, is_binary boolean, lines array<struct<id:string,commit:string>>",
@@ -77,18 +80,59 @@ def write_state(live: DataFrame, folder: str, version: str | DataFrame, number:
             fs.delete(path(f"{folder}/{name}"), True)
 
 
-def read_state(spark: SparkSession, folder: str, expected: str | None = None, number: int | None = None) -> DataFrame:
-    """The rows that were written; all of version ``expected`` unless that is None."""
+LISTED, LINE, VERSION, TREE = range(4)
+COLUMNS = ("repo", "kind", "part", "id", "line", "commit", "is_binary", "lines", "sha", "path")
+
+
+def _state_rows(batches):
+    """Rows of a state from sorted rows (``COLUMNS``), a repository's list, lines, versions and trees one after the other."""
+    repo = part = None
+    texts, known, out, held = {}, {}, [], 0
+    for b in batches:
+        for name, kind, of, key, line, commit, binary, lines, sha, path in zip(*(column_values(b.column(c)) for c in COLUMNS)):
+            if name != repo:
+                repo, part, texts, known = name, None, {}, {}
+            if kind == LISTED:
+                part = of
+            elif part is None or of != part:
+                continue  # of another list
+            elif kind == LINE:
+                texts[key] = line
+            elif kind == VERSION:
+                ids, commits = lines or ((), ())
+                if any(x not in texts for x in ids):
+                    raise UnexpectedCheckpoint(f"{repo}: version {key} has a line that the state lacks")
+                known[key] = Blame(commit, tuple(texts[x] for x in ids), commits, binary)
+            else:
+                if key not in known:
+                    raise UnexpectedCheckpoint(f"{repo}: {sha} {path} has a version that the state lacks")
+                out.append((repo, sha, path, known[key], True))
+                held += len(known[key].lines)
+                if held > 50_000 or len(out) > 2000:
+                    yield blame_rows(out).drop_columns(["live"])
+                    out, held = [], 0
+    if out:
+        yield blame_rows(out).drop_columns(["live"])
+
+
+def read_state(spark: SparkSession, folder: str, expected: str | None = None, number: int | None = None, parts: int | None = None) -> DataFrame:
+    """The rows that were written; all of version ``expected`` unless that is None.
+
+    One shuffle by repository (into ``parts`` parts if given) brings the tables together, then a part streams its rows; it
+    holds the state of one repository, as the fold that goes on from it does."""
     listed = versions(spark, folder, number)
     other = expected is not None and listed.filter(F.col("version") != expected).first()
     if other:
         raise UnexpectedCheckpoint(f"expected {expected}, found {other.version} for {other.repo}")
-    parts = [r.part for r in listed.select("part").distinct().collect()]
-    read = lambda t: spark.read.schema(TABLES[t]).parquet(*[f"{folder}/{p}/{t}" for p in parts]).join(listed.select("repo", "part"), ["repo", "part"], "left_semi").drop("part")
-    trees, blames, texts = map(read, TABLES)
-    one = blames.select("repo", "blame_id", F.posexplode("lines").alias("n", "l")).select("repo", "blame_id", "n", "l.*")
-    full = one.join(texts, ["repo", "id"]).groupBy("repo", "blame_id").agg(F.sort_array(F.collect_list(F.struct("n", "line", "commit"))).alias("lines"))
-    none = F.expr("CAST(array() AS array<struct<line:binary,commit:string>>)")
-    known = blames.drop("lines").join(full, ["repo", "blame_id"], "left")
-    known = known.withColumn("lines", F.coalesce(F.transform("lines", lambda x: F.struct(x.line.alias("line"), x.commit.alias("commit"))), none))
-    return trees.join(known, ["repo", "blame_id"]).select("repo", "sha", "path", "blame_commit", "is_binary", "lines")
+    written = [r.part for r in listed.select("part").distinct().collect()]
+    kinds = {"part": "string", "id": "string", "line": "binary", "commit": "string", "is_binary": "boolean", "lines": TABLES["blames"].partition("lines ")[2], "sha": "string", "path": "string"}
+
+    def of(kind: int, frame: DataFrame, **columns: str) -> DataFrame:
+        return frame.select("repo", F.lit(kind).alias("kind"), *[(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    trees, blames, texts = (spark.read.schema(TABLES[t]).parquet(*[f"{folder}/{p}/{t}" for p in written]) for t in TABLES)
+    rows = of(LISTED, listed, part="part").unionByName(of(LINE, texts, part="part", id="id", line="line"))
+    rows = rows.unionByName(of(VERSION, blames, part="part", id="blame_id", commit="blame_commit", is_binary="is_binary", lines="lines"))
+    rows = rows.unionByName(of(TREE, trees, part="part", id="blame_id", sha="sha", path="path"))
+    apart = rows.repartition(parts, "repo") if parts else rows.repartition("repo")
+    return apart.sortWithinPartitions("repo", "kind").select(*COLUMNS).mapInArrow(_state_rows, BLAME)

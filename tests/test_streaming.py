@@ -36,3 +36,17 @@ def test_checkpoint_versions(spark, tmp_path):
     with pytest.raises(checkpoint.UnexpectedCheckpoint):
         checkpoint.read_state(spark, folder, "one")
     assert sorted(map(repr, checkpoint.read_state(spark, folder, "two").collect())) == sorted(map(repr, live.drop("live").collect()))
+
+
+def test_a_state_is_read_by_one_shuffle(spark, tmp_path):
+    commits = order_commits(spark, SF)
+    live = blame.fold_history(order_patches(commits), None).filter("live").drop("live")
+    parts = [live.filter("repo < 40"), live.filter("repo >= 20")]
+    for i, (rows, name) in enumerate(zip(parts, "ab")):
+        checkpoint.write_state(rows, f"{tmp_path}/s", name, i)
+    read = checkpoint.read_state(spark, f"{tmp_path}/s", parts=2)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, live.collect()))  # repositories of both parts come once
+    old = checkpoint.read_state(spark, f"{tmp_path}/s", "a", 0)
+    assert sorted(map(repr, old.collect())) == sorted(map(repr, parts[0].collect()))
